@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasm.llm import bpe, pack, quantiles, runs, skeleton, spans
+from rasm.llm import bpe, pack, quantiles, residue, runs, skeleton, spans
 from rasm.session import table
 
 
@@ -76,7 +76,11 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(bpe.count_tokens(_texts(spark, d), "text"), "doc_id", "n_tokens", 2048)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_percentiles, p2_by_month, p3_found, p3_groups, p5_found, p5_runs, p6_ids, p7_pack)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "documents").select("doc_id", "text", "paper_key"), "doc_id", "text", "paper_key")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_percentiles, p2_by_month, p3_found, p3_groups, p5_found, p5_runs, p6_ids, p7_pack, p8_found)}
 
 _RUNS = """
 with once as (select session_id, chunk_index, arg_min(matched_ayah, received_at) as m, arg_min(start_time_s, received_at) as s, arg_min(end_time_s, received_at) as e
