@@ -31,7 +31,7 @@ FORMS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>",
 
 KEHEH, FARSI_YEH = "ک", "ی"
 MARK = "[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۤۧۨ-ۭ̀-ͯ]"
-JOINS = "[ؠآ-غـ-يٮٯٱ-ۓۺ-ۿ]"
+JOINS = "[ؠآ-غـ-يٮ-ٯٱ-ۓۺ-ۿ]"
 #: Before a letter that joins, Farsi yeh has two dots and keheh no sign inside, as yeh and kaf; at the end of a word they differ.
 BEFORE_JOIN = re.compile(f"[{KEHEH}{FARSI_YEH}](?={MARK}*{JOINS})")
 PLAIN = re.compile("[^ -~،؛؟ء-غـ-يً-ْ٠-٩]")
