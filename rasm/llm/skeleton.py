@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasm.functions.text import span
 from rasm.session import broadcast_if_small
 
 # Letters and digits of other scripts drawn like the letter on the right in any place.
@@ -29,12 +30,12 @@ DRAWN_FORMATS = {0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x8E2, 0x890,
 UNSEEN = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0]
 FORMS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<vertical>"}
 
-KEHEH, FARSI_YEH = "ک", "ی"
-MARK = "[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۤۧۨ-ۭ̀-ͯ]"
-JOINS = "[ؠآ-غـ-يٮ-ٯٱ-ۓۺ-ۿ]"
+KEHEH, FARSI_YEH = span("06A9"), span("06CC")
+MARK = "[" + span("0610-061A 064B-065F 0670 06D6-06DC 06DF-06E4 06E7-06E8 06EA-06ED 0300-036F") + "]"
+JOINS = "[" + span("0620 0622-063F 0640-064A 066E-066F 0671-06D3 06FA-06FF") + "]"
 #: Before a letter that joins, Farsi yeh has two dots and keheh no sign inside, as yeh and kaf; at the end of a word they differ.
 BEFORE_JOIN = re.compile(f"[{KEHEH}{FARSI_YEH}](?={MARK}*{JOINS})")
-PLAIN = re.compile("[^ -~،؛؟ء-غـ-يً-ْ٠-٩]")
+PLAIN = re.compile("[^" + span("0020-007E 060C 061B 061F 0621-063A 0640-064A 064B-0652 0660-0669") + "]")
 
 
 @lru_cache(1)
@@ -60,7 +61,7 @@ def skeleton(text: str) -> str:
     if PLAIN.search(text):
         text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes()))
         if KEHEH in text or FARSI_YEH in text:
-            text = BEFORE_JOIN.sub(lambda m: "ك" if m.group() == KEHEH else "ي", text).replace(FARSI_YEH, "ى")
+            text = BEFORE_JOIN.sub(lambda m: span("0643") if m.group() == KEHEH else span("064A"), text).replace(FARSI_YEH, span("0649"))
         return text
     return unicodedata.normalize("NFD", text)
 
