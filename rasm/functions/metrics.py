@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ def _coded(t: Column, words: Column) -> Column:
     return F.array_join(F.transform(t, char), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it: an expression in a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_edits(hyp: Column, ref: Column) -> Column:
     """Levenshtein distance of two arrays of words, up to 20,000 different words in a pair."""
-    words = F.array_distinct(F.concat(hyp, ref))
-    return F.levenshtein(_coded(hyp, words), _coded(ref, words))
+    both = F.struct(hyp.alias("h"), ref.alias("r"), F.array_distinct(F.concat(hyp, ref)).alias("w"))
+    return let(both, lambda x: F.levenshtein(_coded(x["h"], x["w"]), _coded(x["r"], x["w"])))
 
 
 def wer(hyp: Column, ref: Column) -> Column:
@@ -32,9 +39,14 @@ def wer(hyp: Column, ref: Column) -> Column:
 
 def coverage(hyp: Column, ref: Column) -> Column:
     """Share of the reference's words, as a bag, in the hypothesis; 0.0 if either is empty."""
-    count = lambda t, w: F.size(F.filter(t, lambda x: x == w))
-    shared = F.aggregate(F.array_distinct(ref), F.lit(0), lambda a, w: a + F.least(count(hyp, w), count(ref, w)))
-    return F.when((F.size(ref) == 0) | (F.size(hyp) == 0), F.lit(0.0)).otherwise(shared / F.size(ref))
+    both = F.struct(hyp.alias("h"), ref.alias("r"), F.array_distinct(F.array_intersect(ref, hyp)).alias("w"))
+
+    def share(x: Column) -> Column:
+        count = lambda t, w: F.size(t) - F.size(F.array_remove(t, w))
+        shared = F.aggregate(x["w"], F.lit(0), lambda a, w: a + F.least(count(x["h"], w), count(x["r"], w)))
+        return F.when((F.size(x["r"]) == 0) | (F.size(x["h"]) == 0), F.lit(0.0)).otherwise(shared / F.size(x["r"]))
+
+    return let(both, share)
 
 
 def clamp(c: Column) -> Column:

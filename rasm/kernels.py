@@ -31,21 +31,41 @@ def indel_ratio(a: Sequence[Hashable], b: Sequence[Hashable]) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best indel_ratio of the shorter text with a window of its length (or a cut one at either edge) of the longer."""
+    """The best indel_ratio of the shorter text with a window of its length (or a cut one at either edge) of the longer.
+
+    Windows are tried in the order of the characters they share with the shorter text, which bounds what they can reach."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     n = len(short)
     if not n:
         return 0.0
     if short in long:
         return 100.0
-    best = 0.0
-    inside = set(short)
+    at: dict[str, int] = {}
+    need: dict[str, int] = {}
+    for i, x in enumerate(short):
+        at[x] = at.get(x, 0) | 1 << i
+        need[x] = need.get(x, 0) + 1
+    bounds, common, have = [], 0, dict.fromkeys(need, 0)
     for i in range(1 - n, len(long)):
-        w = long[max(0, i) : i + n]
-        # a window that does not end in a shared character, or is cut at the left and does not start there, is never best
-        if (w[-1] if i + n <= len(long) else w[0]) in inside:
-            best = max(best, indel_ratio(short, w))
-    return best
+        if i + n <= len(long) and (x := long[i + n - 1]) in need:
+            have[x] += 1
+            common += have[x] <= need[x]
+        if i > 0 and (x := long[i - 1]) in need:
+            have[x] -= 1
+            common -= have[x] < need[x]
+        lo, hi = max(0, i), min(len(long), i + n)
+        bounds.append((-2.0 * common / (n + hi - lo), lo, hi))
+    bounds.sort()
+    best, full = 0.0, (1 << n) - 1
+    for bound, lo, hi in bounds:
+        if -bound <= best:
+            break
+        v = full
+        for y in long[lo:hi]:
+            u = v & at.get(y, 0)
+            v = (v + u | v - u) & full
+        best = max(best, 2.0 * (n - v.bit_count()) / (n + hi - lo))
+    return 100.0 * best
 
 
 def levenshtein(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
