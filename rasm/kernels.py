@@ -6,6 +6,8 @@ from collections import Counter
 from collections.abc import Hashable, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
+
 Op = tuple[str, int, int, int, int]
 
 
@@ -33,39 +35,29 @@ def indel_ratio(a: Sequence[Hashable], b: Sequence[Hashable]) -> float:
 def partial_ratio(a: str, b: str) -> float:
     """The best indel_ratio of the shorter text with a window of its length (or a cut one at either edge) of the longer.
 
-    Windows are tried in the order of the characters they share with the shorter text, which bounds what they can reach."""
+    The common subsequences with all windows are found together, a bit vector of up to 64 letters for each."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     n = len(short)
     if not n:
         return 0.0
     if short in long:
         return 100.0
+    windows = len(long) + n - 1
+    if n > 64:
+        return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
     at: dict[str, int] = {}
-    need: dict[str, int] = {}
     for i, x in enumerate(short):
         at[x] = at.get(x, 0) | 1 << i
-        need[x] = need.get(x, 0) + 1
-    bounds, common, have = [], 0, dict.fromkeys(need, 0)
-    for i in range(1 - n, len(long)):
-        if i + n <= len(long) and (x := long[i + n - 1]) in need:
-            have[x] += 1
-            common += have[x] <= need[x]
-        if i > 0 and (x := long[i - 1]) in need:
-            have[x] -= 1
-            common -= have[x] < need[x]
-        lo, hi = max(0, i), min(len(long), i + n)
-        bounds.append((-2.0 * common / (n + hi - lo), lo, hi))
-    bounds.sort()
-    best, full = 0.0, (1 << n) - 1
-    for bound, lo, hi in bounds:
-        if -bound <= best:
-            break
-        v = full
-        for y in long[lo:hi]:
-            u = v & at.get(y, 0)
-            v = (v + u | v - u) & full
-        best = max(best, 2.0 * (n - v.bit_count()) / (n + hi - lo))
-    return 100.0 * best
+    masks = np.zeros(len(long) + 2 * n - 2, np.uint64)  # a letter outside matches nothing
+    masks[n - 1 : n - 1 + len(long)] = [at.get(x, 0) for x in long]
+    v = np.full(windows, (1 << n) - 1, np.uint64)
+    for k in range(n):
+        u = v & masks[k : k + windows]
+        v = (v + u) | (v - u)
+    common = n - np.bitwise_count(v & np.uint64((1 << n) - 1)).astype(int)
+    at_end = np.arange(1 - n, len(long))
+    size = np.minimum(len(long), at_end + n) - np.maximum(0, at_end)
+    return float((200.0 * common / (n + size)).max())
 
 
 def levenshtein(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
@@ -154,11 +146,12 @@ def best_of(first: list[dict], second: list[dict]) -> list[dict]:
     return sorted(out, key=lambda x: (far if x["ref_index"] is None else x["ref_index"], far if x["hyp_index"] is None else x["hyp_index"]))
 
 
-def overlap(previous: list[str], current: list[str], most: int = 10, least: float = 85.0) -> int:
-    """Words at the start of current that repeat the end of previous: the length of the best ratio, the shorter of equals."""
+def overlap(previous: list[str], current: list[str], most: int = 10, least: float = 0.85) -> int:
+    """Words at the start of current that repeat the end of previous: the length with the best ratio of matching runs, the
+    shorter of equals."""
     best, size = 0.0, 0
     for k in range(1, min(most, len(previous), len(current)) + 1):
-        r = indel_ratio(" ".join(previous[-k:]), " ".join(current[:k]))
+        r = SequenceMatcher(None, " ".join(previous[-k:]), " ".join(current[:k])).ratio()
         if r >= least and r > best:
             best, size = r, k
     return size

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasm import kernels
 from rasm.operators import corpus
-from rasm.session import broadcast_if_small
+from rasm.session import broadcast_if_small, spread
 
 
 def bm25(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFrame:
@@ -59,6 +59,7 @@ def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFra
     fill = fill.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("global_idx"))).where(c("r") <= k - F.coalesce("have", F.lit(0)))
     cand = top.unionByName(fill.select(key, "global_idx", F.lit(0.0).alias("score")))
     pairs = cand.join(broadcast_if_small(ref.select("global_idx", "surah", "norm_text")), "global_idx").join(queries.select(key, "norm"), key).join(perfect(queries, key, ref), key, "left")
+    pairs = spread(pairs, key, "global_idx")
 
     @F.pandas_udf("double")
     def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -85,7 +86,7 @@ def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step:
     grams = lambda w: F.array_distinct(F.concat(tx.ngrams(w, 2), tx.ngrams(w, 3)))
     cand = ngram_candidates(wins, "wid", corpus.ngram_index(ref)).select(c(f"wid.{key}").alias(key), c("wid.t").alias("t"), "global_idx")
     pairs = wins.join(cand, [key, "t"], "left").join(broadcast_if_small(ref.select("global_idx", "surah", "norm_text", "tokens")), "global_idx", "left")
-    pairs = pairs.withColumn("overlap", F.coalesce(m.overlap_coefficient(grams(c("words")), grams(c("tokens"))), F.lit(0.0)))
+    pairs = spread(pairs, key, "t").withColumn("overlap", F.coalesce(m.overlap_coefficient(grams(c("words")), grams(c("tokens"))), F.lit(0.0)))
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

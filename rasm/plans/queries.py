@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.operators import corpus, evaluate, match, retrieve, windows
+from rasm.operators import align, corpus, evaluate, match, retrieve, sessions, windows
 from rasm.operators.intervals import periods_and_gaps
 from rasm.plans import sql as S
-from rasm.session import table
+from rasm.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -571,3 +571,96 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
 def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
     o, k, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
     return o.join(k, c("o_custkey") == c("c_custkey")).join(n, c("c_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# Alignment and sessions (kernels in Python: no SQL)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    ref = _ref(spark, d).select(F.concat_ws(":", "surah", "ayah").alias("id"), c("norm_text").alias("ref"), c("raw_text").alias("ref_raw"), c("tokens").alias("ref_words"))
+    rows = _once(spark, d, "raw_asr", "corrected_text", "matched_surah_ayah_id", "confidence")
+    joined = rows.join(F.broadcast(ref), c("matched_surah_ayah_id") == c("id"))
+    return spread(joined.withColumns({"a": tx.normalize(c("raw_asr")), "b": tx.normalize(c("corrected_text"))}), *_KEY)
+
+
+@query()
+def word_annotations(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d).withColumn("words", align.spoken(align.annotations(c("a"), c("ref"), c("confidence"))))
+    return p.select(*_KEY, align.minor_fixes(c("words")).alias("fixed"), F.inline("words"))
+
+
+@query()
+def best_of_two(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select(*_KEY, F.inline(align.best_annotations(c("a"), c("b"), c("ref"))))
+
+
+@query()
+def wrong_word_spans(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d).withColumn("w", align.spoken(align.annotations(c("a"), c("ref"), F.lit(None))))
+    return p.select(*_KEY, F.inline(align.wrong_words(F.transform("w", lambda x: x["status"]), F.transform("w", lambda x: x["word"]))))
+
+
+@query()
+def diacritic_check(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "labeled_examples")
+    v = align.vowel_check(c("predicted_word"), c("reference_word"), c("surah"), c("ayah"))
+    return spread(e, "example_id").select("example_id", v.alias("v")).select("example_id", "v.skipped", "v.reason", "v.harakaat", "v.makhraj")
+
+
+def _skeletons(spark: SparkSession, d: str) -> set[str]:
+    """Skeletons of the fixed corpus's words: as many as it has, some thousands."""
+    words = _ref(spark, d).select(F.explode(F.split(tx.display(c("raw_text")), " ")).alias("w"))
+    return {r["s"] for r in words.select(tx.smart_word(c("w")).alias("s")).distinct().collect()}
+
+
+@query()
+def merge_engines(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d).withColumn("against", F.when(c("confidence") >= 0.4, c("ref")))
+    return align.merged(p, "a", "b", "against", _KEY, _skeletons(spark, d))
+
+
+@query()
+def boundary_recovery(spark: SparkSession, d: str) -> DataFrame:
+    words = {r["word"] for r in corpus.vocabulary(_ref(spark, d)).select("word").distinct().collect()}  # of the fixed corpus
+    return spread(_once(spark, d, "raw_asr"), *_KEY).select(*_KEY, align.split_known(tx.normalize(c("raw_asr")), words).alias("text"))
+
+
+@query()
+def merged_transcript(spark: SparkSession, d: str) -> DataFrame:
+    t = _once(spark, d, "corrected_text").select(*_KEY, c("corrected_text").alias("text"), tx.normalize(c("corrected_text")).alias("norm"))
+    return sessions.transcripts(t)
+
+
+@query()
+def fragment_carry(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.fragments(_pairs(spark, d).select(*_KEY, c("a").alias("text"), c("ref_words").alias("ref")))
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    lock = c("surah_lock_state")
+    return _once(spark, d, "surah_lock_state").select(*_KEY, lock["top_surah"].alias("surah"), lock["top_score"].alias("score"), lock["margin"].alias("margin"))
+
+
+@query()
+def lock_fsm(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.locks(_votes(spark, d))
+
+
+@query()
+def correction_fsm(spark: SparkSession, d: str) -> DataFrame:
+    wrong = F.transform(F.filter(F.coalesce("word_errors", F.array()), lambda x: ~x["status"].isin("correct", "minor")), lambda x: x["word"])
+    return sessions.corrections(_once(spark, d, "verdict", "confidence", "word_errors").select(*_KEY, "verdict", "confidence", wrong.alias("wrong")))
+
+
+@query()
+def progressive_pointer(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.progress(_once(spark, d, "matched_ayah", "verdict", "cer", "coverage", "confidence"))
+
+
+@query(f"""with {S.ONCE.replace('raw := raw_asr', 'words := word_errors, raw := raw_asr')}, w as (select session_id, chunk_index, r.id as id, unnest(r.words) as x from once where r.id is not null),
+s as (select session_id, id, x.ref_index as ref_index, x.status as status, chunk_index, x.hyp_index as h from w where x.status is not null)
+select session_id, id, ref_index, case when bool_or(status = 'correct') then 'correct' else arg_max(status, (chunk_index, h, status)) end as status from s group by 1, 2, 3""")
+def word_status(spark: SparkSession, d: str) -> DataFrame:
+    w = _once(spark, d, "matched_surah_ayah_id", "word_errors").where("matched_surah_ayah_id is not null")
+    w = w.select("session_id", c("matched_surah_ayah_id").alias("id"), "chunk_index", F.explode("word_errors").alias("x")).select("session_id", "id", c("x.ref_index").alias("ref_index"), c("x.status").alias("status"), F.struct("chunk_index", "x.hyp_index", "x.status").alias("seq"))
+    return sessions.word_statuses(w, ["session_id", "id"], "ref_index", "status", "seq")

@@ -36,3 +36,8 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """df with a broadcast hint if the optimizer's size estimate is below limit, else df unchanged (a shuffle join)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over spark.sql.shuffle.partitions tasks: small rows that cost much Python time each must not be put together by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
