@@ -108,7 +108,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     c = F.col
     last = F.floor((c("n") - 1) / capacity)
     cut = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")
-    pieces = items.select(c(key).alias("key"), c(size).cast("long").alias("n")).where("n >= 1").select("key", "n", cut)
+    # written once: ranges are drawn from a pass of their own, and counting the sizes may cost much
+    sized = checkpoint(items.select(c(key).alias("key"), c(size).cast("long").alias("n")).where("n >= 1"))
+    pieces = sized.select("key", "n", cut)
     pieces = pieces.select("key", "piece", F.least(F.lit(capacity), c("n") - c("piece") * capacity).alias("size"))
     # sorted in ranges: a length of which a third of all items are takes as many partitions as it needs
     order = pieces.repartitionByRange("size", "key", "piece").sortWithinPartitions("size", "key", "piece")
