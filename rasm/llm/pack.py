@@ -4,7 +4,8 @@ How containers are filled depends only on how many items there are of each lengt
 So the search runs on the driver over that table, whatever the number of items: the largest length left opens a container, a
 bitset subset-sum over the lengths left finds the fullest combination that fits with it, and the combination is taken as
 often as the counts allow before the next search. The items are then dealt to their places by rank within their length, in
-one narrow stage against the (bounded) table of combinations.
+one narrow stage against the (bounded) table of combinations. Items above the capacity, which have to be cut anyway, are laid
+end to end and cut to measure: first into the space that the others leave unused, the rest into containers of their own.
 """
 
 from __future__ import annotations
@@ -97,34 +98,58 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank.astype(np.int64))], names=[*b.schema.names, "part", "nth"])
 
 
+def gaps(combos: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> np.ndarray:
+    """Rows (first token on the tape, space, container, place) of the space left, as many containers of one space in a row as there
+    are; the last row, of whole containers, has no end."""
+    rows, tape, container = [], 0, 0
+    for times, inside in combos:
+        space = capacity - sum(n * k for n, k in inside)
+        if space:
+            rows.append((tape, space, container, sum(k for _, k in inside)))
+            tape += times * space
+        container += times
+    return np.array([*rows, (tape, capacity, container, 0)], dtype=np.int64)
+
+
+def cut(begin: int, size: int, table: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(container, place, from token, size) of the pieces of an item that lies on the tape from begin. It is longer than any space,
+    so a space holds the end of one item and the start of the next at most."""
+    out, pos = [], begin
+    while pos < begin + size:
+        tape, space, container, place = table[np.searchsorted(table[:, 0], pos, side="right") - 1].tolist()
+        nth, inside = divmod(pos - tape, space)
+        stop = min(begin + size, pos - inside + space)
+        out.append((container + nth, place + (inside > 0), pos - begin, stop - pos))
+        pos = stop
+    return out
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """`container, place, <key>, piece, from_token, size` for each item, or each piece of an item above the capacity.
 
-    Items whose size is null or below 1 get no row. An item above the capacity is cut into full pieces and a rest; no other item
-    is cut. Repeated rows are items of their own. Every container but those of the last, short items is as full as the lengths
-    left allow. Containers count from 0 without holes. Ties between items of one length are broken by key and piece."""
+    Items whose size is null or below 1 get no row. Only items above the capacity are cut. Repeated rows are items of their own.
+    Containers count from 0 without holes. Ties between items of one length are broken by key. Space stays unused only where the
+    items to be cut do not suffice to fill it, and in one last container."""
     if not 1 <= capacity <= 1 << 20:
         raise ValueError("capacity must be between 1 and 2**20: the search keeps a table of that many lengths on the driver")
     c = F.col
-    last = F.floor((c("n") - 1) / capacity)
-    cut = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")
     # written once: ranges are drawn from a pass of their own, and counting the sizes may cost much
-    sized = checkpoint(items.select(c(key).alias("key"), c(size).cast("long").alias("n")).where("n >= 1"))
-    pieces = sized.select("key", "n", cut)
-    pieces = pieces.select("key", "piece", F.least(F.lit(capacity), c("n") - c("piece") * capacity).alias("size"))
+    sized = checkpoint(items.select(c(key).alias("key"), c(size).cast("long").alias("size")).where("size >= 1"))
+    kind = dict(sized.dtypes)["key"]
     # sorted in ranges: a length of which a third of all items are takes as many partitions as it needs
-    order = pieces.repartitionByRange("size", "key", "piece").sortWithinPartitions("size", "key", "piece")
-    kind = dict(pieces.dtypes)["key"]
-    ranked = checkpoint(order.mapInArrow(_rank, f"key {kind}, piece long, size long, part int, nth long"))
+    order = sized.where(c("size") <= capacity).repartitionByRange("size", "key").sortWithinPartitions("size", "key")
+    ranked = checkpoint(order.mapInArrow(_rank, f"key {kind}, size long, part int, nth long"))
     # a length spans whole partitions but for the first and last: at most partitions + capacity rows come to the driver
     held = ranked.groupBy("size", "part").agg(F.count("*").alias("n")).orderBy("size", "part").collect()
     counts: dict[int, int] = {}
-    before = []
+    starts = {}
     for r in held:
-        before.append((r["part"], r["size"], counts.get(r["size"], 0)))
+        starts[r["part"], r["size"]] = counts.get(r["size"], 0)
         counts[r["size"]] = counts.get(r["size"], 0) + r["n"]
-    table = places(combinations(counts, capacity))
-    starts = {(p, n): b for p, n, b in before}
+    combos = combinations(counts, capacity)
+    table, space = places(combos), gaps(combos, capacity)
+    names = ["container", "place", key, "piece", "from_token", "size"]
+    ddl = f"container long, place int, `{key}` {kind}, piece int, from_token long, size long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (table[:, 0] << 42) + table[:, 1]
@@ -137,7 +162,35 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
             rank = b.column("nth").to_numpy() + np.repeat(add, np.diff(change, append=len(n)))
             row = table[np.searchsorted(keys, (n << 42) + rank, side="right") - 1]
             by, at = np.divmod(rank - row[:, 1], row[:, 4])
-            piece = b.column("piece").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(row[:, 2] + by), pa.array((row[:, 3] + at).astype(np.int32)), b.column("key"), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(n)], names=["container", "place", key, "piece", "from_token", "size"])
+            none = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row[:, 2] + by), pa.array((row[:, 3] + at).astype(np.int32)), b.column("key"), pa.array(none.astype(np.int32)), pa.array(none), pa.array(n)], names=names)
+
+    long = sized.where(c("size") > capacity).repartitionByRange("size", "key").sortWithinPartitions("size", "key")
+    tape = checkpoint(long.mapInArrow(_lay, f"key {kind}, size long, part int, at long"))
+    parts = tape.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect()  # a row per partition
+    offset = dict(zip((r["part"] for r in parts), np.cumsum([0, *[r["n"] for r in parts]]).tolist()))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, out = [], []
+            for k, n, part, at in zip(*(b.column(i).to_pylist() for i in range(4))):
+                got = cut(offset[part] + at, n, space)
+                keys += [k] * len(got)
+                out += [(w, p, i, f, s) for i, (w, p, f, s) in enumerate(got)]
+            if out:
+                w, p, i, f, s = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(p, pa.int32()), pa.array(keys, b.column(0).type), pa.array(i, pa.int32()), pa.array(f, pa.int64()), pa.array(s, pa.int64())], names=names)
+
+    return ranked.mapInArrow(deal, ddl).unionByName(tape.mapInArrow(pieces, ddl))
 
-    return ranked.mapInArrow(deal, f"container long, place int, `{key}` {kind}, piece int, from_token long, size long")
+
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partition and where each item begins on its tape."""
+    from pyspark import TaskContext
+
+    part, done = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column("size").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n) + done
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array((ends - n).astype(np.int64))], names=[*b.schema.names, "part", "at"])
+        done = int(ends[-1]) if len(ends) else done
