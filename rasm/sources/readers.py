@@ -10,9 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from rasm.functions import text as tx
 
+SAMPLES = ArrayType(FloatType())
 #: Envelopes that a corpus export may be wrapped in.
 ENVELOPES = ("tafsir", "all_ayat", "verses", "data")
 
@@ -104,12 +106,12 @@ def encode_wav(x: np.ndarray, rate: int = 16_000) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def wav_samples(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_wav(bytes(b)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def pcm16_samples(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else np.frombuffer(bytes(b)[: len(b) // 2 * 2], "<i2").astype(np.float32) / 32768)
 
@@ -150,7 +152,7 @@ def condition(x: np.ndarray, rate: int = 16_000) -> np.ndarray:
     return y.astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def conditioned(samples: pd.Series) -> pd.Series:
     return samples.map(lambda x: None if x is None else condition(np.asarray(x, np.float32)))
 
