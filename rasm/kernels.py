@@ -35,26 +35,37 @@ def indel_ratio(a: Sequence[Hashable], b: Sequence[Hashable]) -> float:
 def partial_ratio(a: str, b: str) -> float:
     """The best indel_ratio of the shorter text with a window of its length (or a cut one at either edge) of the longer.
 
-    The common subsequences with all windows are found together, a bit vector of up to 64 letters for each."""
+    The common subsequences with all windows are found together, with bit vectors of 64 letters a word."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     n = len(short)
     if not n:
         return 0.0
     if short in long:
         return 100.0
-    windows = len(long) + n - 1
-    if n > 64:
-        return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    windows, words = len(long) + n - 1, (n + 63) // 64
     at: dict[str, int] = {}
     for i, x in enumerate(short):
         at[x] = at.get(x, 0) | 1 << i
-    masks = np.zeros(len(long) + 2 * n - 2, np.uint64)  # a letter outside matches nothing
-    masks[n - 1 : n - 1 + len(long)] = [at.get(x, 0) for x in long]
-    v = np.full(windows, (1 << n) - 1, np.uint64)
+    low = (1 << 64) - 1
+    masks = np.zeros((words, len(long) + 2 * n - 2), np.uint64)  # a letter outside matches nothing
+    for w in range(words):
+        masks[w, n - 1 : n - 1 + len(long)] = [at.get(x, 0) >> 64 * w & low for x in long]
+    v = np.full((words, windows), low, np.uint64)
     for k in range(n):
-        u = v & masks[k : k + windows]
-        v = (v + u) | (v - u)
-    common = n - np.bitwise_count(v & np.uint64((1 << n) - 1)).astype(int)
+        carry: np.ndarray | None = None
+        for w in range(words):
+            own = v[w]
+            u = own & masks[w, k : k + windows]
+            s = own + u
+            if words > 1:
+                over = s < u
+                if carry is not None:
+                    s = s + carry
+                    over = over | (s < carry)
+                carry = over.astype(np.uint64)
+            v[w] = s | (own - u)
+    kept = np.array([((1 << n) - 1) >> 64 * w & low for w in range(words)], np.uint64)[:, None]
+    common = n - np.bitwise_count(v & kept).astype(int).sum(axis=0)
     at_end = np.arange(1 - n, len(long))
     size = np.minimum(len(long), at_end + n) - np.maximum(0, at_end)
     return float((200.0 * common / (n + size)).max())
