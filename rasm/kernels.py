@@ -303,3 +303,45 @@ def viterbi(emissions: list[list[tuple[int, float]]], surah: list[int], locked:
 def coverage(hyp: list[str], ref: list[str]) -> float:
     """Share of the reference's words, as a bag, that the hypothesis holds; 0 if either is empty."""
     return sum((Counter(hyp) & Counter(ref)).values()) / len(ref) if hyp and ref else 0.0
+
+
+def strip_prefix(words: list[str], phrase: list[str], least: float = 75.0, most: int = 20, share: float = 0.7, extra: int = 2) -> list[str]:
+    """words without a start that is alike to phrase: the length (share x its words up to `extra` more) of the best ratio."""
+    head = words[:most]
+    if len(head) < 2:
+        return words
+    best, size = 0.0, 0
+    for n in range(max(2, int(len(phrase) * share)), min(len(head), len(phrase) + extra) + 1):
+        r = indel_ratio(" ".join(head[:n]), " ".join(phrase))
+        if r > best:
+            best, size = r, n
+    return words[size:] if best >= least else words
+
+
+def close_tokens(a: str, b: str) -> bool:
+    """Equal, one begins the other (both of 2 letters or more), or a ratio of 72."""
+    return a == b or min(len(a), len(b)) >= 2 and (a.startswith(b) or b.startswith(a)) or indel_ratio(a, b) >= 72
+
+
+def strip_close(words: list[str], phrase: list[str]) -> list[str]:
+    """words without the phrase in front, word by word alike; also if they are no more than its first two or more words."""
+    n = 0
+    while n < min(len(words), len(phrase)) and close_tokens(words[n], phrase[n]):
+        n += 1
+    return words[n:] if n == len(phrase) or n >= 2 and n == len(words) else words
+
+
+def fix_partly(hyp: list[str], ref: list[str]) -> list[str]:
+    """hyp with words of replaced runs put right where their CER is at most 0.5, and what such a run lacks put in.
+
+    What is put in goes to the place counted in the words as they were, as earlier insertions do not move it."""
+    out = list(hyp)
+    for tag, i1, i2, j1, j2 in blocks(hyp, ref, autojunk=False):
+        if tag != "replace":
+            continue
+        shared = min(i2 - i1, j2 - j1)
+        for n in range(shared):
+            if levenshtein(hyp[i1 + n], ref[j1 + n]) / max(1, len(ref[j1 + n])) <= 0.5:
+                out[i1 + n] = ref[j1 + n]
+        out[i2:i2] = ref[j1 + shared : j2]
+    return out

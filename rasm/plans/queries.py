@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.operators import align, corpus, evaluate, match, retrieve, sessions, windows
+from rasm.operators import align, corpus, evaluate, guard, match, retrieve, sessions, windows
 from rasm.operators.intervals import periods_and_gaps
 from rasm.plans import sql as S
 from rasm.session import spread, table
@@ -664,3 +664,41 @@ def word_status(spark: SparkSession, d: str) -> DataFrame:
     w = _once(spark, d, "matched_surah_ayah_id", "word_errors").where("matched_surah_ayah_id is not null")
     w = w.select("session_id", c("matched_surah_ayah_id").alias("id"), "chunk_index", F.explode("word_errors").alias("x")).select("session_id", "id", c("x.ref_index").alias("ref_index"), c("x.status").alias("status"), F.struct("chunk_index", "x.hyp_index", "x.status").alias("seq"))
     return sessions.word_statuses(w, ["session_id", "id"], "ref_index", "status", "seq")
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    rows = _once(spark, d, "raw_asr", "matched_ayah", "matched_surah_ayah_id")
+    surah = F.get(F.split("matched_surah_ayah_id", ":"), F.lit(0)).cast("int")
+    return rows.select(*_KEY, surah.alias("surah"), c("matched_ayah").alias("expected"), c("raw_asr").alias("raw"))
+
+
+@query()
+def guard_preserve(spark: SparkSession, d: str) -> DataFrame:
+    return guard.guard(_raw(spark, d), _ref(spark, d), corpus.spans(_ref(spark, d), 3), _KEY)
+
+
+@query()
+def guard_replace(spark: SparkSession, d: str) -> DataFrame:
+    return guard.guard(_raw(spark, d), _ref(spark, d), None, _KEY, "aggressive", preserve=False)
+
+
+@query()
+def invocation_strip(spark: SparkSession, d: str) -> DataFrame:
+    ways = ("fuzzy", "wide", "words", "exact")
+    return spread(_once(spark, d, "raw_asr"), *_KEY).select(*_KEY, *[guard.strip_invocations(c("raw_asr"), w).alias(w) for w in ways])
+
+
+@query()
+def synthetic_labels(spark: SparkSession, d: str) -> DataFrame:
+    return guard.corrupted(table(spark, d, "ayah_entries"))
+
+
+@query()
+def chunk_messages(spark: SparkSession, d: str) -> DataFrame:
+    return guard.messages(table(spark, d, "chunk_results"))
+
+
+@query(f"with {S.ONCE}, {S.HYP} select session_id, chunk_index, greatest(lag(expected) over w + 1, expected) as at, coalesce(expected - (lag(expected) over w + 1) >= 2, false) as skipped from hyp window w as (partition by session_id order by chunk_index)")
+def position_policy(spark: SparkSession, d: str) -> DataFrame:
+    before = F.lag("expected").over(Window.partitionBy("session_id").orderBy("chunk_index")) + 1
+    return guard.position(_hyp(spark, d).withColumn("due", before), "due", "expected").select(*_KEY, "at", "skipped")
