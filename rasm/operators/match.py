@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.session import broadcast_if_small
+from rasm.session import broadcast_if_small, spread
 
 
 def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int) -> DataFrame:
@@ -22,21 +22,28 @@ def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int) -> Dat
     return hit.unionByName(empty.join(near, same))
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Adds cer, wer, coverage of `norm` against `norm_text`."""
-    h, r = tx.tokens(F.col("norm")), tx.tokens(F.col("norm_text"))
-    return pairs.withColumns({"cer": m.cer(F.col("norm"), F.col("norm_text")), "wer": m.wer(h, r), "coverage": m.coverage(h, r)})
+def nearest(pairs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The candidates of each key with its least CER, with `cer, wer, coverage` of `norm` against `norm_text`.
+
+    CER comes first in the order, so the dearer scores are taken only of the candidates that share the least. A key's candidates
+    are gathered: those of a band, or of one chapter."""
+    c = F.col
+    each = pairs.withColumn("cer", m.cer(c("norm"), c("norm_text")))
+    rows = each.groupBy(*keys).agg(F.first("norm").alias("norm"), F.min("cer").alias("least"), F.collect_list(F.struct("cer", "norm_text", *columns)).alias("x"))
+    few = rows.select(*keys, "norm", F.inline(F.filter("x", lambda x: x["cer"] == c("least"))))
+    h, r = tx.tokens(c("norm")), tx.tokens(c("norm_text"))
+    return few.withColumns({"wer": m.wer(h, r), "coverage": m.coverage(h, r)})
 
 
 def best(pairs: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
-    """The candidate of each key with the least `order`: an aggregate with partial sums, no sort."""
+    """The candidate of each key with the least `order`: an aggregate, no sort."""
     return pairs.groupBy(*keys).agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *columns)).alias("b")).select(*keys, *[f"b.{c}" for c in columns])
 
 
 def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:
     """Best single verse: keys, ayah, cer, wer, coverage, confidence, alignment. Least CER, then most coverage, then confidence, then order."""
     c = F.col
-    s = scored(band(hyp, ref.select("surah", "ayah", "norm_text"), "ayah", back, ahead))
+    s = nearest(band(spread(hyp, *keys), ref.select("surah", "ayah", "norm_text"), "ayah", back, ahead), keys, ["ayah"])
     s = s.withColumns({"confidence": m.verse_confidence(c("cer"), c("coverage")), "alignment": m.verse_alignment(c("cer"), c("wer"), c("coverage"))})
     return best(s, keys, [c("cer"), -c("coverage"), -c("confidence"), c("ayah")], ["ayah", "cer", "wer", "coverage", "confidence", "alignment"])
 
@@ -44,6 +51,6 @@ def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead
 def sequences(hyp: DataFrame, spans: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:
     """Best run of verses, with its first and last."""
     c = F.col
-    s = scored(band(hyp, spans.select("surah", "start", "end", F.col("text").alias("norm_text")), "start", back, ahead))
+    s = nearest(band(spread(hyp, *keys), spans.select("surah", "start", "end", F.col("text").alias("norm_text")), "start", back, ahead), keys, ["start", "end"])
     s = s.withColumns({"confidence": m.span_confidence(c("cer"), c("wer"), c("coverage"), c("end") - c("start") + 1), "alignment": m.span_alignment(c("cer"), c("wer"), c("coverage"))})
     return best(s, keys, [c("cer"), -c("coverage"), -c("confidence"), c("start"), c("end")], ["start", "end", "cer", "wer", "coverage", "confidence", "alignment"])

@@ -219,7 +219,7 @@ def sequence_spans(spark: SparkSession, d: str) -> DataFrame:
 with {S.ONCE}, p as (select session_id, chunk_index, {S.normalize('r.raw')} as h, {S.normalize('r.cor')} as r from once)
 select session_id, chunk_index, round({S.cer('h', 'r')}, 6) as cer from p""")
 def cer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _once(spark, d, "raw_asr", "corrected_text")
+    p = spread(_once(spark, d, "raw_asr", "corrected_text"), *_KEY)
     return p.select(*_KEY, F.round(m.cer(tx.normalize(c("raw_asr")), tx.normalize(c("corrected_text"))), 6).alias("cer"))
 
 
@@ -229,13 +229,13 @@ _PAIR = f"p as (select session_id, chunk_index, {S.tokens(S.normalize('r.raw'))}
 @query(f"with {S.ONCE}, {_PAIR} select session_id, chunk_index, round({S.wer('h', 'r')}, 6) as wer from p")
 def wer_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = _once(spark, d, "raw_asr", "corrected_text").select(*_KEY, tx.tokens(tx.normalize(c("raw_asr"))).alias("h"), tx.tokens(tx.normalize(c("corrected_text"))).alias("r"))
-    return p.select(*_KEY, F.round(m.wer(c("h"), c("r")), 6).alias("wer"))
+    return spread(p, *_KEY).select(*_KEY, F.round(m.wer(c("h"), c("r")), 6).alias("wer"))
 
 
 @query(f"with {S.ONCE}, {_PAIR} select session_id, chunk_index, round({S.coverage('h', 'r')}, 6) as coverage from p")
 def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = _once(spark, d, "raw_asr", "corrected_text").select(*_KEY, tx.tokens(tx.normalize(c("raw_asr"))).alias("h"), tx.tokens(tx.normalize(c("corrected_text"))).alias("r"))
-    return p.select(*_KEY, F.round(m.coverage(c("h"), c("r")), 6).alias("coverage"))
+    return spread(p, *_KEY).select(*_KEY, F.round(m.coverage(c("h"), c("r")), 6).alias("coverage"))
 
 
 _VOTE = lambda start: f"""hit as (select h.*, r.* exclude (surah) from hyp h join cand r on h.surah = r.surah and r.{start} between greatest(1, h.expected - 1) and h.expected + 3),
@@ -486,7 +486,7 @@ _MICRO = f"p as (select {S.normalize('r.raw')} as h, {S.normalize('r.ref')} as f
 select cast(we as bigint) as word_edits, cast(w as bigint) as words, cast(ce as bigint) as char_edits, cast(k as bigint) as chars, round(we / cast(w as double), 8) as wer, round(ce / cast(k as double), 8) as cer from s""")
 def micro_wer(spark: SparkSession, d: str) -> DataFrame:
     p = _evals(spark, d, "raw", "ref").where("ref is not null").select(tx.normalize(c("raw")).alias("h"), tx.normalize(c("ref")).alias("f"))
-    return evaluate.micro_rates(p, "h", "f")
+    return evaluate.micro_rates(spread(p), "h", "f")
 
 
 @query("select reader, bitrate_kbps from readers where not contains(lower(coalesce(special_notes, '')), 'incomplete') and reader is not null")
