@@ -74,34 +74,36 @@ def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFra
 def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step: int = 3) -> DataFrame:
     """`key, step, global_idx, emission`: the best path of each text through the corpus, in windows of words.
 
-    Emissions (0.6 x shared n-grams + 0.4 x ratio) come from the n-gram index by an equi-join; the search runs per text, whose
-    windows are as many as its words / step."""
-    from rasm.functions import metrics as m
+    Emissions (0.6 x shared n-grams + 0.4 x ratio) are taken once per different window: of its candidates in the index of 2- and
+    3-grams, an equi-join; where it has none, of the whole corpus, whose texts (small and fixed) go to each task. The search runs per
+    text, whose windows are as many as its words / step."""
     from rasm.functions import text as tx
 
     c = F.col
     n = F.size("words")
-    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.slice("words", i + 1, window))
-    wins = queries.where(n > 0).select(key, F.posexplode(cut).alias("t", "words")).withColumn("wid", F.struct(c(key), c("t")))
-    grams = lambda w: F.array_distinct(F.concat(tx.ngrams(w, 2), tx.ngrams(w, 3)))
-    cand = ngram_candidates(wins, "wid", corpus.ngram_index(ref)).select(c(f"wid.{key}").alias(key), c("wid.t").alias("t"), "global_idx")
-    pairs = wins.join(cand, [key, "t"], "left").join(broadcast_if_small(ref.select("global_idx", "surah", "norm_text", "tokens")), "global_idx", "left")
-    pairs = spread(pairs, key, "t").withColumn("overlap", F.coalesce(m.overlap_coefficient(grams(c("words")), grams(c("tokens"))), F.lit(0.0)))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.indel_ratio(x, y) / 100 if y else 0.0 for x, y in zip(a, b)], dtype=float)
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.array_join(F.slice("words", i + 1, window), " "))
+    wins = queries.where(n > 0).select(key, F.posexplode(cut).alias("t", "window"))
+    texts = wins.select("window").distinct().withColumn("words", tx.tokens(c("window")))
+    index = corpus.ngram_index(ref).where(F.size(F.split("gram", " ")) == c("n"))  # texts shorter than n are no n-gram here
+    cand = ngram_candidates(texts, "window", index).groupBy("window").agg(F.sort_array(F.collect_list(F.struct("rank", "global_idx"))).alias("hits"))  # at most 30
+    each = spread(texts.select("window").join(cand, "window", "left").select("window", c("hits.global_idx").alias("hits")), "window")
+    fixed = ref.select("global_idx", "surah", "norm_text").orderBy("global_idx").collect()  # one short text per verse of the fixed corpus
+    order, verses = [r["surah"] for r in fixed], [r["norm_text"] for r in fixed]
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = kernels.emitter(verses)
+        for b in batches:
+            cand = [of(w.split(" "), None if h is None else [int(x) for x in h]) for w, h in zip(b["window"], b["hits"])]
+            yield pd.DataFrame({"window": b["window"], "cand": [[{"global_idx": v, "emission": s} for v, s in x] for x in cand]})
 
-    em = pairs.select(key, "t", "global_idx", (0.6 * c("overlap") + 0.4 * ratio(F.array_join("words", " "), c("norm_text"))).alias("emission"))
-    steps = em.groupBy(key, "t").agg(F.slice(F.sort_array(F.collect_list(F.struct("emission", "global_idx")), False), 1, 20).alias("cand"))
-    paths = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "cand"))).alias("steps"))
-    order = [r["surah"] for r in ref.select("global_idx", "surah").orderBy("global_idx").collect()]  # one number per verse of the fixed corpus
+    em = each.mapInPandas(emit, "window string, cand array<struct<global_idx: long, emission: double>>")
+    paths = wins.join(em, "window").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "cand"))).alias("steps"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, st in zip(b[key], b["steps"]):
-                path = kernels.viterbi([[(int(x["global_idx"]), float(x["emission"])) for x in s["cand"] if x["global_idx"] is not None] for s in st], order)
+                path = kernels.viterbi([[(int(x["global_idx"]), float(x["emission"])) for x in s["cand"]] for s in st], order)
                 rows += [(k, s["t"], v, e) for s, (v, e) in zip(st, path)]
             yield pd.DataFrame(rows, columns=[key, "step", "global_idx", "emission"])
 
