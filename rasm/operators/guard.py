@@ -38,12 +38,13 @@ def strip_invocations(text: Column, how: str = "fuzzy") -> Column:
 
 
 def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[str], mode: str = "balanced", preserve: bool = True, replace: bool = True, back: int = 1, ahead: int = 3) -> DataFrame:
-    """keys and `raw, rules, first_ayah, last_ayah, is_sequence, cer, wer, coverage, confidence, alignment, level, verdict, correction,
+    """keys and `raw, rules, surah, first_ayah, last_ayah, is_sequence, cer, wer, coverage, confidence, alignment, level, verdict, correction,
     corrected` for hypotheses (keys, surah, expected, raw).
 
     A run of verses (`spans`) wins if its alignment is no worse. The score then counts the reference only as far as it was said.
     Thresholds go by the number of raw words. safe changes nothing; preserve puts single words right; else balanced and aggressive
     replace by the verse or put words right. Where the raw text is nearer to the verse than the corrected one, it is kept.
+    Without a surah the verse is looked for in the whole corpus, and a run nowhere; `surah` is the one found.
     Without a candidate the scores are 1, 1, 0, 0, 0 and the verdict is error; a null raw text is ''."""
     if mode not in ("safe", "balanced", "aggressive"):
         raise ValueError(f"no such mode: {mode}")
@@ -53,15 +54,19 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
     base = base.withColumn("rules", rules).withColumn("norm", tx.normalize(c("rules")))
     own = base.select(*keys, "surah", "expected", "norm")
     score = ["cer", "wer", "coverage", "confidence", "alignment"]
-    one = match.verses(own, ref, keys, back, ahead).select(*keys, c("ayah").alias("first_ayah"), c("ayah").alias("last_ayah"), F.lit(0).alias("seq"), *score)
+    one = match.verses(own, ref, keys, back, ahead).select(*keys, c("surah").alias("found"), c("ayah").alias("first_ayah"), c("ayah").alias("last_ayah"), F.lit(0).alias("seq"), *score)
     if spans is not None:
         runs = match.sequences(own, spans, keys, back, ahead)
-        one = one.unionByName(runs.select(*keys, c("start").alias("first_ayah"), c("end").alias("last_ayah"), F.lit(1).alias("seq"), *score))
+        one = one.unionByName(runs.select(*keys, F.lit(None).cast("int").alias("found"), c("start").alias("first_ayah"), c("end").alias("last_ayah"), F.lit(1).alias("seq"), *score))
         one = one.groupBy(*keys).agg(F.max(F.struct("alignment", "seq", *[x for x in one.columns if x not in (*keys, "alignment", "seq")])).alias("b")).select(*keys, "b.*")
     texts = ref.select("surah", F.struct("surah", c("ayah").alias("a"), c("ayah").alias("z")).alias("k"), "norm_text")
     if spans is not None:
         texts = texts.unionByName(spans.where("start < end").select("surah", F.struct("surah", c("start").alias("a"), c("end").alias("z")).alias("k"), c("text").alias("norm_text")))
-    g = base.join(one, keys, "left").withColumn("k", F.struct("surah", c("first_ayah").alias("a"), c("last_ayah").alias("z")))
+    g = base.join(one, keys, "left")
+    if spans is not None:  # without a surah a run of score 0 stands against the verse, and wins at 0
+        none = c("surah").isNull() & (c("alignment") <= 0)
+        g = g.select(*base.columns, *[F.when(~F.coalesce(none, F.lit(False)), c(x)).alias(x) for x in one.columns if x not in keys])
+    g = g.withColumn("surah", F.coalesce("surah", "found")).withColumn("k", F.struct("surah", c("first_ayah").alias("a"), c("last_ayah").alias("z")))
     g = spread(g.join(broadcast_if_small(texts.select("k", c("norm_text").alias("verse"))), "k", "left"), *keys)
     said = align._each(lambda h, r: " ".join(k.spoken_reference(h.split(), r.split())), "string")(c("norm"), c("verse"))
     g = g.withColumn("said", said).withColumn("said", F.when((c("said") != "") & (F.length("said") < F.length("verse")), c("said")))
@@ -88,7 +93,7 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
         g = g.withColumns({"corrected": F.when(nearer, tx.display(c("raw"))).otherwise(c("corrected")), "correction": F.when(nearer, "raw_preferred").otherwise(c("correction"))})
     none = {"cer": 1.0, "wer": 1.0, "coverage": 0.0, "confidence": 0.0, "alignment": 0.0}
     scores = [F.round(F.coalesce(c(x), F.lit(v)), 4).alias(x) for x, v in none.items()]
-    return g.select(*keys, "raw", "rules", "first_ayah", "last_ayah", (F.coalesce("seq", F.lit(0)) == 1).alias("is_sequence"), *scores, "level", m.verdict(c("level")).alias("verdict"), "correction", "corrected")
+    return g.select(*keys, "raw", "rules", "surah", "first_ayah", "last_ayah", (F.coalesce("seq", F.lit(0)) == 1).alias("is_sequence"), *scores, "level", m.verdict(c("level")).alias("verdict"), "correction", "corrected")
 
 
 def position(df: DataFrame, expected: str, matched: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasm import kernels
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
 from rasm.session import broadcast_if_small, spread
@@ -26,7 +30,7 @@ def nearest(pairs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The candidates of each key with its least CER, with `cer, wer, coverage` of `norm` against `norm_text`.
 
     CER comes first in the order, so the dearer scores are taken only of the candidates that share the least. A key's candidates
-    are gathered: those of a band, or of one chapter."""
+    are gathered: those of a band, of one chapter, or of the small and fixed corpus."""
     c = F.col
     each = pairs.withColumn("cer", m.cer(c("norm"), c("norm_text")))
     rows = each.groupBy(*keys).agg(F.first("norm").alias("norm"), F.min("cer").alias("least"), F.collect_list(F.struct("cer", "norm_text", *columns)).alias("x"))
@@ -40,12 +44,35 @@ def best(pairs: DataFrame, keys: list[str], order: list, columns: list[str]) ->
     return pairs.groupBy(*keys).agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *columns)).alias("b")).select(*keys, *[f"b.{c}" for c in columns])
 
 
-def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:
-    """Best single verse: keys, ayah, cer, wer, coverage, confidence, alignment. Least CER, then most coverage, then confidence, then order."""
+def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead: int = 3, known: bool = False) -> DataFrame:
+    """Best single verse: keys, surah, ayah, cer, wer, coverage, confidence, alignment. Least CER, then most coverage, then confidence, then order.
+
+    Without a surah every verse of the corpus is a candidate, each different text once. `known`: none is without."""
     c = F.col
-    s = nearest(band(spread(hyp, *keys), ref.select("surah", "ayah", "norm_text"), "ayah", back, ahead), keys, ["ayah"])
-    s = s.withColumns({"confidence": m.verse_confidence(c("cer"), c("coverage")), "alignment": m.verse_alignment(c("cer"), c("wer"), c("coverage"))})
-    return best(s, keys, [c("cer"), -c("coverage"), -c("confidence"), c("ayah")], ["ayah", "cer", "wer", "coverage", "confidence", "alignment"])
+
+    def score(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        s = nearest(pairs, keys, ["ref_surah", "ayah"])
+        s = s.withColumns({"confidence": m.verse_confidence(c("cer"), c("coverage")), "alignment": m.verse_alignment(c("cer"), c("wer"), c("coverage"))})
+        b = best(s, keys, [c("cer"), -c("coverage"), -c("confidence"), c("ref_surah"), c("ayah")], ["ref_surah", "ayah", "cer", "wer", "coverage", "confidence", "alignment"])
+        return b.withColumnRenamed("ref_surah", "surah")
+
+    cand = ref.select("surah", "ayah", "norm_text")
+    near = score(band(spread(hyp, *keys), cand, "ayah", back, ahead), keys)
+    if known:
+        return near
+    lost = hyp.where("surah is null").select(*keys, c("norm").alias("said_text"))
+    texts = spread(lost.select("said_text").distinct(), "said_text")
+    fixed = cand.where("norm_text is not null").select("surah", "ayah", "norm_text").collect()  # one short text per verse of the fixed corpus
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = kernels.nearest_of([v["norm_text"] for v in fixed])
+        for b in batches:
+            rows = [(t, t, v["surah"], v["ayah"], v["norm_text"]) for t in b["said_text"] for v in map(fixed.__getitem__, of(t))]
+            yield pd.DataFrame(rows, columns=["said_text", "norm", "ref_surah", "ayah", "norm_text"])
+
+    surah, ayah = (dict(cand.dtypes)[x] for x in ("surah", "ayah"))
+    far = score(texts.mapInPandas(find, f"said_text string, norm string, ref_surah {surah}, ayah {ayah}, norm_text string"), ["said_text"])
+    return near.unionByName(lost.join(far, "said_text").drop("said_text"))
 
 
 def sequences(hyp: DataFrame, spans: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:

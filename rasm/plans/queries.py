@@ -249,7 +249,7 @@ best as (select * from sc qualify row_number() over (partition by session_id, ch
 
 @query(f"{_ONE} select session_id, chunk_index, ayah, round(cer, 6) as cer, round(wer, 6) as wer, round(cov, 6) as coverage, round(conf, 6) as confidence, round(ali, 6) as alignment from best")
 def band_match_best(spark: SparkSession, d: str) -> DataFrame:
-    best = match.verses(_hyp(spark, d), _ref(spark, d), _KEY)
+    best = match.verses(_hyp(spark, d), _ref(spark, d), _KEY, known=True)
     return best.select(*_KEY, "ayah", *[F.round(x, 6).alias(x) for x in ("cer", "wer", "coverage", "confidence", "alignment")])
 
 

@@ -1,7 +1,7 @@
 """What an index or a band leaves out is searched for in the whole corpus."""
 
 from rasm import kernels as k
-from rasm.operators import corpus, retrieve
+from rasm.operators import corpus, guard, match, retrieve
 
 VERSES = [(1, 1, "الحمد لله رب العالمين"), (1, 2, "الرحمن الرحيم"), (1, 3, "مالك يوم الدين"), (2, 1, "الم"), (2, 2, "ذلك الكتاب لا ريب فيه هدى للمتقين"), (2, 3, "الذين يؤمنون بالغيب"), (2, 4, "يوم لا ريب فيه"), (3, 1, "الرحمن"), (3, 2, "علم القرآن خلق الإنسان")]
 
@@ -51,3 +51,42 @@ def test_bounds_lose_no_verse():
         w = [rnd.choice("ab abc e zz da".split()) for _ in range(rnd.randint(1, 5))]
         every = [(v, s) for v, s in of(w, list(range(200)))]
         assert of(w, None) == every
+
+
+def test_verse_without_a_chapter_is_found_in_the_corpus(spark):
+    ref = _ref(spark)
+    rows = ref.orderBy("global_idx").collect()
+    texts = ["علم القران خلق", "يوم لا ريب", "ذلك الكتاب لا ريب فيه هدى", "الرحمن", "كلام", "", "يوم لا ريب"]
+    hyp = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(texts)] + [(90, 1, 2, "الرحمن"), (91, 9, 1, "الرحمن")], "id int, surah int, expected int, norm string")
+    hyp = hyp.withColumn("norm", corpus.tx.normalize(retrieve.F.col("norm")))
+    got = {r["id"]: r for r in match.verses(hyp, ref, ["id"]).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5, 6, 90]
+    for r in hyp.where("surah is null").collect():
+        def key(v):
+            cer, cov = k.levenshtein(r["norm"], v["norm_text"]) / len(v["norm_text"]), k.coverage(r["norm"].split(), v["tokens"])
+            return cer, -cov, -max(0.0, min(1.0, 0.65 * (1 - cer) + 0.35 * cov)), v["global_idx"]
+        b = min(rows, key=key)
+        assert (got[r["id"]]["surah"], got[r["id"]]["ayah"], got[r["id"]]["cer"]) == (b["surah"], b["ayah"], key(b)[0])
+    assert (got[90]["surah"], got[90]["ayah"]) == (1, 2)  # a chapter that is known stays
+
+
+def test_guard_without_a_chapter(spark):
+    ref = _ref(spark)
+    hyp = spark.createDataFrame([(0, None, None, VERSES[4][2]), (1, None, None, ""), (2, 2, 2, VERSES[4][2])], "id int, surah int, expected int, raw string")
+    for spans in (None, corpus.spans(ref, 3)):
+        got = {r["id"]: r for r in guard.guard(hyp, ref, spans, ["id"]).collect()}
+        assert [got[0][x] for x in ("surah", "first_ayah", "cer", "verdict", "is_sequence")] == [2, 2, 0.0, "ok", False]
+        assert got[2]["surah"] == 2 and got[2]["verdict"] == "ok"
+        assert (got[1]["surah"], got[1]["first_ayah"]) == ((1, 1) if spans is None else (None, None)) and got[1]["verdict"] == "error"
+
+
+def test_bounds_lose_no_nearest_verse():
+    import random
+
+    rnd = random.Random(2)
+    verses = ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    of = k.nearest_of(verses)
+    for n in [0, 1, 5, 40, 63, 64, 65, 120]:
+        t = "".join(rnd.choice("abcdxz ") for _ in range(n))
+        cer = [k.levenshtein(t, v) / len(v) if v else 1.0 for v in verses]
+        assert sorted(of(t)) == [i for i, x in enumerate(cer) if x == min(cer)]
