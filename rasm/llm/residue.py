@@ -138,8 +138,8 @@ def _suspect(line: str) -> bool:
 
 
 def residue(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[str], list[tuple[str, str]]]:
-    """Whether fixed values find residue; else the frames around field names (frame, name, whole unit) and the machine lines; and
-    in any case the slots every article fills: (title or author, what stands there), numbers alike."""
+    """Whether fixed values find residue, and in any case what is induced from: the frames around field names (frame, name, whole
+    unit), the machine lines, and the slots every article fills: (title or author, what stands there), numbers alike."""
     left = kept(text)
     filled = [(m.group(1), " ".join(DIGITS.sub("0", m.group(2).lower()).split())) for m in FILLED.finditer(left)]
     return *_judge(COMMAND.sub(" ", BREAK.sub("\n", left))), filled
@@ -147,25 +147,22 @@ def residue(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[str], li
 
 def _judge(body: str) -> tuple[bool, list[tuple[str, str, bool]], list[str]]:
     flat = " ".join(body.lower().split())
-    if any(p in flat for p in PHRASES):
-        return True, [], []
-    if any(a in body for a in OPENINGS) and SLOT.search(body) or any(a in flat for a in INSTRUCTS) and INSTRUCTION.search(flat):
-        return True, [], []
+    hit = any(p in flat for p in PHRASES)
+    hit = hit or any(a in body for a in OPENINGS) and bool(SLOT.search(body)) or any(a in flat for a in INSTRUCTS) and bool(INSTRUCTION.search(flat))
     named = any(p in flat for p in FIELD_PARTS)
     frames, machine = [], []
     for line in body.split("\n"):
         line = line.strip()
         if len(line) < 5:
             continue
-        if len(line) < 60 and STATUS.fullmatch(line.strip("{} ")) or _suspect(line) and filler(line):
-            return True, [], []
+        if not hit:
+            hit = len(line) < 60 and bool(STATUS.fullmatch(line.strip("{} "))) or _suspect(line) and filler(line)
         if line[0] in "<{" and MACHINE.match(line):
-            if SAID.search(line):
-                return True, [], []
+            hit = hit or bool(SAID.search(line))
             machine.append(DIGITS.sub("0", line.lower())[:400])
         if named:
             frames += _frames(line)
-    return False, frames, machine
+    return hit, frames, machine
 
 
 def _frames(line: str) -> Iterator[tuple[str, str, bool]]:
@@ -215,9 +212,9 @@ def decide(scanned: DataFrame, names: int, least: int) -> DataFrame:
 
     c = F.col
     seen = checkpoint(scanned)  # a few rows in a hundred: what the scan has found
-    frames = seen.where("not hit").select("id", F.explode("frames").alias("f")).select("id", "f.*")
+    frames = seen.select("id", F.explode("frames").alias("f")).select("id", "f.*")
     slots = frames.where("whole").groupBy("frame").agg(F.countDistinct("name").alias("names"), F.countDistinct("id").alias("ids")).where((c("names") >= names) & (c("ids") >= least)).select("frame")
-    lines = seen.where("not hit").select("id", F.explode("machine").alias("line"))
+    lines = seen.select("id", F.explode("machine").alias("line"))
     errors = lines.groupBy("line").agg(F.countDistinct("id").alias("ids")).where(c("ids") >= least).select("line")
     filled = seen.select("id", "family", F.explode("filled").alias("f")).select("id", "family", "f.*")
     defaults = filled.where("slot = 'title' and value <> ''").groupBy("value").agg(F.countDistinct("family").alias("n")).where(c("n") >= least).select("value")

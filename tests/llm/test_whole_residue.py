@@ -1,0 +1,13 @@
+from rasm.llm import residue as r
+
+HEAD = "\\documentclass{article}\n\\title{A sparse graph}\n\\author{B. Arno}\n\\begin{document}\n\\maketitle\n"
+
+
+def test_records_with_hits_count_for_the_templates(spark):
+    line = "Kindly state the {} at this point.\n"
+    docs = [HEAD + line.format(n) + extra for n, extra in (("abstract", "Lorem ipsum dolor sit amet.\n"), ("funding", "{{title}}\n"), ("journal", ""))]
+    page = '<div class="x">Sorry, code 12</div>\n'
+    docs += [HEAD + page + "Lorem ipsum dolor sit amet.\n", HEAD + page + "{{title}}\n", HEAD + page, HEAD + "No more.\n"]
+    docs = [t.replace("sparse graph", f"sparse graph {chr(97 + i)}q") for i, t in enumerate(docs)]
+    df = spark.createDataFrame([(i, t, f"p{i}") for i, t in enumerate(docs)], "doc_id long, text string, paper_key string")
+    assert sorted(x["doc_id"] for x in r.found(df, "doc_id", "text", "paper_key").collect()) == [0, 1, 2, 3, 4, 5]
