@@ -99,12 +99,11 @@ def kept(text: str) -> str:
     """text without what is not printed; a formula, quotation or the like leaves GONE. Text after the end of the document is cut."""
     if ODD.search(text):
         text = text.translate(MARKS)
-    end = text.find("\\end{document}")
-    if end >= 0:
-        text = text[:end]
     if "%" in text or "[$" in text or "${" in text:
         text = PROTECT.sub(lambda m: "{{" + next(filter(None, m.groups())) + "}}", text)
-    return STRIP.sub(GONE, text)
+    text = STRIP.sub(GONE, text)
+    end = text.find("\\end{document}")  # one in a comment or a listing is gone by now
+    return text[:end] if end >= 0 else text
 
 
 def printed(text: str) -> str:

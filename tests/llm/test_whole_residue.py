@@ -11,3 +11,9 @@ def test_records_with_hits_count_for_the_templates(spark):
     docs = [t.replace("sparse graph", f"sparse graph {chr(97 + i)}q") for i, t in enumerate(docs)]
     df = spark.createDataFrame([(i, t, f"p{i}") for i, t in enumerate(docs)], "doc_id long, text string, paper_key string")
     assert sorted(x["doc_id"] for x in r.found(df, "doc_id", "text", "paper_key").collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_the_document_ends_where_its_end_is_printed():
+    for body in ("% \\end{document}\n{{abstract}}", "\\begin{verbatim}\n\\end{document}\n\\end{verbatim}\n{{abstract}}"):
+        assert r.residue(HEAD + body + "\n")[0]
+    assert not r.residue(HEAD + "Text.\n\\end{document}\n{{abstract}}\n")[0]
