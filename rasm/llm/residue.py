@@ -90,6 +90,7 @@ COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\\\")
 GONE = " ¤ "
 ANY = re.compile(r"[^\W_]+|¤")
 WORD = re.compile(r"[^\W\d_]+")
+PIECE = re.compile(r"\w+|¤")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 REPEAT = re.compile(r"\b(\w+(?: \w+){0,3})(?:[ ,.]+\1\b){3,}", re.I)
 DIGITS = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
@@ -128,12 +129,16 @@ def filler(line: str) -> bool:
 
 
 def _suspect(line: str) -> bool:
-    """Whether filler() may find something: few different words, or words of fillers."""
-    words = line.lower().split()
-    if len(words) < 3:
-        return False
+    """Whether filler() may find something, in a looser way than it does: a false answer is sure."""
+    low = line.lower()
+    words, names = PIECE.findall(low), WORD.findall(low)
+    if len(names) < 3 and len(words) < 3:
+        return "_" in low
     some = set(words)
-    return len(words) >= 8 and len(some) <= 0.8 * len(words) or len(some & LOREM) >= 2 or not some.isdisjoint(KEYS) or "xx" in line.lower()
+    if "_" in low or "xx" in low or not KEYS.isdisjoint(names) or sum(w in LOREM for w in names) >= 4:
+        return True
+    many = len(words) - len(some)  # of 16 words with 5 different ones, 11
+    return many >= 11 or many >= 3 and any(a == b == c == d for k in (1, 2, 3, 4) for a, b, c, d in zip(words, words[k:], words[2 * k :], words[3 * k :]))
 
 
 def residue(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[str], list[tuple[str, str]]]:

@@ -17,3 +17,15 @@ def test_the_document_ends_where_its_end_is_printed():
     for body in ("% \\end{document}\n{{abstract}}", "\\begin{verbatim}\n\\end{document}\n\\end{verbatim}\n{{abstract}}"):
         assert r.residue(HEAD + body + "\n")[0]
     assert not r.residue(HEAD + "Text.\n\\end{document}\n{{abstract}}\n")[0]
+
+
+def test_the_gate_of_fillers_loses_none():
+    import random
+
+    rnd = random.Random(3)
+    assert r.residue(HEAD + "Blah, blah, blah.\n")[0]
+    line = "one two three four five six seven eight nine ten eleven twelve end end end end."
+    assert r.residue(HEAD + line + "\n")[0]
+    for _ in range(20000):
+        line = "".join(rnd.choice(["blah", "asdf", "xx", "XXX", "ipsum", "Sit", "a", "b", "c d", "7", "¤", "a_b"]) + rnd.choice([" ", " ", ", ", ". ", "-", "1 ", "_"]) for _ in range(rnd.randint(1, 24)))
+        assert not r.filler(line) or r._suspect(line), line
