@@ -1,19 +1,28 @@
-"""Template residue and error-page text in articles with typesetting markup.
+"""Template residue and error-page text in articles with typesetting markup, by aligning records that follow one template.
 
 Each text is brought to its printed form (comments, disabled blocks, verbatim, quoted phrases, formulas, macro definitions and
-include commands are not printed text) and cut into units: lines and the arguments of title, author and headings. Units of
-different records that follow one template are aligned: where a unit holds the name of a field, the rest is its frame. A frame
-that stands as a whole unit with at least NAMES different field names in as many records is a template with a slot, and each
-place that fits it holds an unfilled slot, also in the middle of a line. Slots in plain delimiters, defaults of well-known
-templates, blanks, filler and the notices of servers, converters and browsers are found by the fixed values below, and whole
-lines of machine format that repeat over records, up to numbers and ids, as error templates. The title slot, which every article
-fills with words of its own, is aligned over all records: a value in it that several papers share is a default.
+include commands are not printed text) and cut into units: the arguments of title, author and headings, and the clauses of every
+line. Numbers, ids, paths and what stands in parentheses of one word are alike in all units. Three inductions over all records:
+
+- Slots that retain a variable name. Units of different records are aligned where they hold the name of a field of a paper; the
+  rest of the unit is a frame. A frame with NAMES different field names in as many records, which stands as a whole unit somewhere,
+  is a template with a slot, and each place that fits it holds an unfilled slot, also in the middle of a line.
+- Slots that retain a default. A value of a title or author slot that also fills another slot or stands as a unit of its own, in
+  PAPERS papers altogether, is a default (words of an article stand in one of these places only); so is a short value of a slot that
+  holds the slot's own name, in as many papers. Blanks are empty values and are no residue by the data's definition.
+- Repeated whole pages. A page is a record without any markup. A unit is an error template if it stands on pages of which a third is
+  made of units that other pages repeat, and such pages are a good part of all papers that hold it (half of at least 2, or a quarter of at
+  least 3): sentences of articles that happen to repeat stand on pages only by chance.
+
+The fixed values that follow are public knowledge about templates, none of the phrases of a given table: names of a paper's fields,
+delimiters of template languages, HTTP status lines and pages, the words of the usual Latin filler, keys hit at random.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,48 +30,31 @@ from pyspark.sql import functions as F
 
 from rasm.session import broadcast_if_small
 
-#: Different field names, and records, with which a frame or a machine line counts as a template.
-NAMES, RECORDS = 3, 3
-#: Words of context on either side of a field name within which a frame is looked for.
+#: Different field names, and records, with which a frame counts as a template; papers with which a slot's value counts as a default.
+NAMES, PAPERS = 3, 3
+#: Tokens on either side of a field name within a clause where a frame is also looked for (a whole unit may have any length).
 CONTEXT = 8
 
 # Names of the fields of a paper; words may be joined by a space, _ or - or run together.
 FIELDS = ["paper title", "short title", "section title", "title", "author name", "authors?", "abstract", "keywords?", "affiliations?", "doi", "journal name", "journal", "pub date", "publication date", "contact email", "e-?mail", "acknowledge?ments?", "funding"]
 NAME = "(?:" + "|".join(f.replace(" ", "[ _-]?") for f in FIELDS) + ")"
 FIELD = re.compile(rf"(?<![\w\\])(?:paper\.|doc\.)?({NAME})(?![\w])", re.I)
-# Delimiters of slots.
+FIELD_US = re.compile(rf"(?<=__)(?:paper\.|doc\.)?({NAME})(?=__)", re.I)
+# Delimiters of slots in template languages.
 DELIMITERS = [("{{", "}}"), ("[[", "]]"), ("<<", ">>"), ("(((", ")))"), ("~~", "~~"), ("@@", "@@"), ("__", "__"), ("#", "#"), ("&lt;", "&gt;"), ("[$", "]"), ("${", "}"), ("{%", "%}"), ("<%=", "%>"), ("<%", "%>"), ("%%", "%%")]
 _ID = r"\s*(?:\w+\.)?" + NAME + r"\s*"
 SLOT = re.compile("|".join(re.escape(a) + _ID + re.escape(b) for a, b in DELIMITERS), re.I)
 #: Slots whose delimiters would be taken for a comment or a formula.
 PROTECT = re.compile(rf"\{{%({_ID})%\}}|<%=?({_ID})%>|\[\$({_ID})\]|\$\{{({_ID})\}}|%%({_ID})%%", re.I)
-# Instructions of templates around a field name.
-INSTRUCTION = re.compile(
-    rf"\binsert (?:your |the |an? )?{NAME} here|\byour {NAME} goes here|\bclick to add (?:an? |the |your )?{NAME}|\breplace this text with your {NAME}|\btype the {NAME} in this space"
-    rf"|\badd a short {NAME} of at most|\bhier {NAME} einfügen|\binsérer {NAME} ici|\bescriba aquí: ?{NAME}|\[{NAME} missing from form|\[{NAME} to be filled in|<enter {NAME}>|\bXXX {NAME} XXX\b",
-    re.I,
-)
-# Defaults of templates, filler sentences and notices. Looked up in lower case with single spaces.
-DEFAULTS = ["firstname lastname", "vorname nachname", "nombre y apellidos del autor", "titre de votre article", "title of the paper", "name@domain.tld", "author one, author two", "keyword 1, keyword 2", "n. n., affiliation 1", "author name (institution", "your name, your department", "10.xxxx/xxxxx", "dd/mm/yyyy", "section text goes here", "section heading", "write your conclusion in this box", "this is where the results would be described"]
-FILLERS = ["texto de relleno", "ceci est un faux texte", "nur ein blindtext", "paragraph only fills the space", "filler sentence, to be replaced", "lorem ipsum dolor"]
-NOTICES = [
-    "the article could not be delivered (code", "we could not find the document you were looking for", "please enable javascript to view", "servicio no disponible temporalmente", "error in converter:", "access to full text denied",
-    "your session has expired (", "bitte aktivieren sie javascript", "checking your browser before access", "scripts and cookies must be allowed", "[rendering failed:", "this service is down for maintenance", "you have scripts switched off",
-    "conversion stopped with exit status", "traceback: render(", "allow cookies and client-side scripting", "something went wrong on our side", "javascript is disabled in this browser", "too many downloads from your address",
-    "active javascript en su navegador", "zugriff verweigert: keine berechtigung", "page introuvable. le document", "página no encontrada. vuelva", "seite nicht gefunden. der gewünschte", "this reader needs scripts", "erreur interne du serveur, veuillez",
-    "veuillez activer javascript", "** missing input ", "could not include ", "<noscript>", "turn on javascript in your browser and reload", "the viewer will not start without it",
-]
-PHRASES = [*DEFAULTS, *FILLERS, *NOTICES]
+# The words of the usual Latin filler, and keys hit at random.
 LOREM = set("lorem ipsum dolor sit amet sed ut enim quis veniam nostrud ullamco labore magna aliqua tempor irure velit culpa mollit anim".split())
 KEYS = set("asdf sdfg fdsa qwer jkl blah bla".split())
 #: A line that is no more than the status of a server.
-STATUS = re.compile(r"(?:error |http )?[45]\d\d\b:?(?: [a-z]+(?: [a-z]+){0,3})?|request id [0-9a-f]{6,}", re.I)
+STATUS = re.compile(r"(?:error |http )?[45]\d\d\b:?(?: [a-z]+(?: [a-z]+){0,3})?", re.I)
+# What a server says in a page or message of its own, in machine format.
 MACHINE = re.compile(r"(?:<(?:!doctype|html|\?xml|head|body|div|center|title|p|h\d|fault|noscript)\b|\{\"(?:error|status|code|message)\")", re.I)
-
-# What a server says in a page or message of its own.
-SAID = re.compile(r"(?<![\d.])[45]\d\d(?![\d.])|bad (?:request|gateway)|unauthorized|forbidden|not found|timeout|too many requests|server error|unavailable|\bgone\b|try again|permission|on this server|upstream|incident", re.I)
-# Without one of these in lower case, INSTRUCTION and FIELD find nothing.
-INSTRUCTS = ["insert ", "goes here", "click to add", "replace this text", "type the ", "add a short ", "einfügen", "insérer ", "escriba aquí", "missing from form", "to be filled in", "<enter ", "xxx "]
+SAID = re.compile(r"(?<![\d.])[45]\d\d(?![\d.])|bad (?:request|gateway)|unauthorized|forbidden|not found|timeout|too many requests|server error|unavailable", re.I)
+# Without one of these in lower case, FIELD finds nothing.
 FIELD_PARTS = ["title", "author", "abstract", "keyword", "affiliation", "doi", "journal", "pub", "mail", "acknowledg", "funding"]
 OPENINGS = [a for a, _ in DELIMITERS]
 
@@ -78,22 +70,30 @@ STRIP = re.compile(
     r"|(?:texttt|url|href|lstinline|path)\{[^{}]*\}"
     r"|verb\*?([^\w\s*])[^\n]*?\2"
     r"|\[.*?\\\]|\(.*?\\\))"
-    r"|(?<=`)`[^\n]{0,400}?''|(?<=“)[^\n]{0,400}?”|(?<=«)[^\n]{0,400}?»"
+    r"|(?<=`)`[^\n]*?''|(?<=“)[^\n]*?”|(?<=«)[^\n]*?»"
     r"|(?<=\$)(?<!\\\$)(?:\$.*?\$\$|[^$\n]*\$)"
     r")",
     re.S,
 )
 BREAK = re.compile(r"\\(?:title|author|date|(?:sub)*section|paragraph|caption|footnote|item|and|begin\{[^}\n]*\}|end\{[^}\n]*\})\*?(?:\[[^\]\n]*\])?")
-FILLED = re.compile(r"\\(title|author)\{([^\n]*)\}[ \t\r]*(?:\n|$)")
+SLOTS = re.compile(r"\\(title|author|(?:sub)*section)\*?\{([^\n]*)\}[ \t\r]*(?:\n|$)")
 COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\\\")
+MARKUP = re.compile(r"\\[A-Za-z]|\$")
 #: Stands for what was taken out.
 GONE = " ¤ "
 ANY = re.compile(r"[^\W_]+|¤")
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"\w+|¤")
-TOKEN = re.compile(r"\w+|[^\w\s]+")
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 REPEAT = re.compile(r"\b(\w+(?: \w+){0,3})(?:[ ,.]+\1\b){3,}", re.I)
-DIGITS = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+# Blanks of an identifier and of a date.
+BLANK = re.compile(r"\b10\.x{4,}|\bdd([./-])mm\1y{2,4}\b", re.I)
+#: Between two clauses: after closing punctuation (not of an initial), at a dash, at tags.
+CLAUSE = re.compile(r"(?<=[.!?:;>])(?<!\b[A-Z]\.)\s+|\s+--+\s+|(?=<)|(?<=>)")
+#: Where a clause without closing punctuation may end: before a capital or something taken out.
+CAPITAL = re.compile(r"(?<=[^\s.!?:;]) (?=[^\W\d_a-zß-öø-ÿ]|¤)")
+#: Differs from record to record within one template.
+VARIES = re.compile(r"\S*[/\\]\S*|\([^()\s]*\)|[0-9a-f]*\d[0-9a-f]*")
 
 
 def kept(text: str) -> str:
@@ -112,24 +112,33 @@ def printed(text: str) -> str:
     return COMMAND.sub(" ", BREAK.sub("\n", kept(text)))
 
 
-def filler(line: str) -> bool:
-    """Filler in place of content: keys hit at random, one phrase again and again, or words of the usual Latin filler."""
-    low = WORD.findall(line.lower())
+def latin(line: str) -> bool:
+    """Keys hit at random, or words of the usual Latin filler."""
     run = keys = 0
-    for w in low:
+    for w in WORD.findall(line.lower()):
         run = run + 1 if w in LOREM else 0
         keys = keys + 1 if w in KEYS or w.startswith("xx") and not w.strip("x") else 0
         if run >= 4 or keys >= 3:
             return True
+    return False
+
+
+def repeated(line: str) -> bool:
+    """Filler in place of content, told by itself alone: one phrase again and again, one clause three times in a row, or hardly any
+    different words."""
+    low = WORD.findall(line.lower())
     if len(low) >= 8 and REPEAT.search(line):
         return True
+    units = [plain(p) for p in CLAUSE.split(line) if p and not p.isspace()]
+    if any(a == b == c and _says(a) for a, b, c in zip(units, units[1:], units[2:])):
+        return True
     # numbers and what was taken out count as words of their own
     low = [f"{GONE}{i}" if w == GONE.strip() else w for i, w in enumerate(ANY.findall(line.lower()))]
     return len(low) >= 16 and any(len(set(low[i : i + 16])) <= 5 for i in range(len(low) - 15))
 
 
 def _suspect(line: str) -> bool:
-    """Whether filler() may find something, in a looser way than it does: a false answer is sure."""
+    """Whether latin() or repeated() may find something, in a looser way than they do: a false answer is sure."""
     low = line.lower()
     words, names = PIECE.findall(low), WORD.findall(low)
     if len(names) < 3 and len(words) < 3:
@@ -137,91 +146,176 @@ def _suspect(line: str) -> bool:
     some = set(words)
     if "_" in low or "xx" in low or not KEYS.isdisjoint(names) or sum(w in LOREM for w in names) >= 4:
         return True
-    many = len(words) - len(some)  # of 16 words with 5 different ones, 11
-    return many >= 11 or many >= 3 and any(a == b == c == d for k in (1, 2, 3, 4) for a, b, c, d in zip(words, words[k:], words[2 * k :], words[3 * k :]))
-
-
-def residue(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[str], list[tuple[str, str]]]:
-    """Whether fixed values find residue, and in any case what is induced from: the frames around field names (frame, name, whole
-    unit), the machine lines, and the slots every article fills: (title or author, what stands there), numbers alike."""
-    left = kept(text)
-    filled = [(m.group(1), " ".join(DIGITS.sub("0", m.group(2).lower()).split())) for m in FILLED.finditer(left)]
-    return *_judge(COMMAND.sub(" ", BREAK.sub("\n", left))), filled
-
-
-def _judge(body: str) -> tuple[bool, list[tuple[str, str, bool]], list[str]]:
-    flat = " ".join(body.lower().split())
-    hit = any(p in flat for p in PHRASES)
-    hit = hit or any(a in body for a in OPENINGS) and bool(SLOT.search(body)) or any(a in flat for a in INSTRUCTS) and bool(INSTRUCTION.search(flat))
-    named = any(p in flat for p in FIELD_PARTS)
-    frames, machine = [], []
-    for line in body.split("\n"):
-        line = line.strip()
-        if len(line) < 5:
-            continue
-        if not hit:
-            hit = len(line) < 60 and bool(STATUS.fullmatch(line.strip("{} "))) or _suspect(line) and filler(line)
-        if line[0] in "<{" and MACHINE.match(line):
-            hit = hit or bool(SAID.search(line))
-            machine.append(DIGITS.sub("0", line.lower())[:400])
-        if named:
-            frames += _frames(line)
-    return hit, frames, machine
-
-
-def _frames(line: str) -> Iterator[tuple[str, str, bool]]:
-    unit = line.strip("{} ")
-    u = FIELD.search(unit)
-    if u:
-        a, z = TOKEN.findall(unit[: u.start()]), TOKEN.findall(unit[u.end() :])
-        if 0 < len(a) + len(z) <= 2 * CONTEXT:
-            yield " ".join([*a, "\0", *z]).lower(), re.sub(r"[ _-]", "", u.group(1).lower()), True
-    for m in FIELD.finditer(line):
-        name = re.sub(r"[ _-]", "", m.group(1).lower())
-        before, after = TOKEN.findall(line[: m.start()])[-CONTEXT:], TOKEN.findall(line[m.end() :])[:CONTEXT]
-        for i in range(len(before) + 1):
-            for j in range(len(after) + 1):
-                if i + j:
-                    yield " ".join([*before[len(before) - i :], "\0", *after[:j]]).lower(), name, False
-
-
-SCHEMA = pa.schema([("id", pa.int64()), ("family", pa.string()), ("filled", pa.list_(pa.struct([("slot", pa.string()), ("value", pa.string())]))), ("hit", pa.bool_()), ("frames", pa.list_(pa.struct([("frame", pa.string()), ("name", pa.string()), ("whole", pa.bool_())]))), ("machine", pa.list_(pa.string()))])
-DDL = "id long, family string, filled array<struct<slot: string, value: string>>, hit boolean, frames array<struct<frame: string, name: string, whole: boolean>>, machine array<string>"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    many = len(words) - len(some)  # of 16 words with 5 different ones, 11; of a clause three times, two thirds
+    return many >= 11 or 3 * many >= 2 * len(words) or many >= 3 and any(a == b == c == d for k in (1, 2, 3, 4) for a, b, c, d in zip(words, words[k:], words[2 * k :], words[3 * k :]))
+
+
+def plain(unit: str) -> str:
+    """A unit without what varies within a template."""
+    return VARIES.sub("0", " ".join(unit.lower().split()))
+
+
+def key(unit: str) -> int:
+    """64 bits that stand for a unit of any length."""
+    return int.from_bytes(blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _says(unit: str) -> bool:
+    """Whether a unit has enough letters to be told from others."""
+    return "¤" not in unit and sum(map(len, WORD.findall(unit))) >= 4
+
+
+def _unwrap(unit: str) -> str:
+    """unit without the braces of a command's argument around it."""
+    unit = unit.strip()
+    return unit[1:-1].strip() if unit[:1] == "{" and unit[-1:] == "}" and (unit[:2] != "{{" or unit[:3] == "{{{") else unit
+
+
+class Units:
+    """What one record gives to the inductions, as keys: `slots` (role, value, holds its own name), `units` (whole clauses), `heads`
+    (clauses up to a capital within) and `frames` (key, field name, whole unit)."""
+
+    def __init__(self, text: str, fixed: bool = True):
+        left = kept(text)
+        self.page = MARKUP.search(text) is None
+        self.slots: dict[tuple[str, int], bool] = {}
+        self.units: dict[int, int] = {}
+        self.heads: set[int] = set()
+        self.frames: set[tuple[int, str, bool]] = set()
+        for m in SLOTS.finditer(left):
+            role = "section" if m.group(1).endswith("section") else m.group(1)
+            value = plain(m.group(2))
+            words = WORD.findall(value)
+            if len(words) >= 2 and "¤" not in value:
+                self.slots[role, key(value)] = role in words and len(words) <= 6
+            self._frames(m.group(2).strip())
+        body = COMMAND.sub(" ", BREAK.sub("\n", SLOTS.sub("\n\n", left)))
+        for line in body.split("\n"):
+            line = _unwrap(line)
+            if line:
+                self._line(line)
+        self.hit = self._alone(COMMAND.sub(" ", BREAK.sub("\n", left)), fixed)
+
+    def _line(self, line: str) -> None:
+        parts = [p for p in CLAUSE.split(line) if p and not p.isspace()]
+        for p in parts:
+            u = plain(p)
+            if _says(u):
+                self.units[key(u)] = len(u)
+            for m in CAPITAL.finditer(p):
+                head = plain(p[: m.start()])
+                if _says(head):
+                    self.heads.add(key(head))
+        low = line.lower()
+        if any(x in low for x in FIELD_PARTS):
+            for p in {line, *parts}:
+                self._frames(p.strip())
+
+    def _frames(self, unit: str) -> None:
+        for find in (FIELD, FIELD_US):
+            for m in find.finditer(unit):
+                name = re.sub(r"[ _-]", "", m.group(1).lower())
+                a, z = TOKEN.findall(unit[: m.start()].lower()), TOKEN.findall(unit[m.end() :].lower())
+                if not a and not z:
+                    continue
+                self.frames.add((key(" ".join([*a, "\0", *z])), name, True))
+                for i in {len(a), *range(min(len(a), CONTEXT) + 1)}:  # from the start of the unit, or of a context within
+                    for j in range(min(len(z), CONTEXT) + 1 if i < len(a) else len(z)):
+                        if i + j:
+                            self.frames.add((key(" ".join([*a[len(a) - i :], "\0", *z[:j]])), name, False))
+
+    @staticmethod
+    def _alone(body: str, fixed: bool) -> bool:
+        """What one record shows by itself: repetition in it, and what the fixed values find."""
+        if fixed and (any(a in body for a in OPENINGS) and SLOT.search(body) or BLANK.search(body)):
+            return True
+        for line in body.split("\n"):
+            line = line.strip()
+            if line and _suspect(line) and (repeated(line) or fixed and latin(line)):
+                return True
+            if fixed and line and (len(line) < 60 and STATUS.fullmatch(line.strip("{} ")) or line[0] in "<{" and MACHINE.match(line) and SAID.search(line)):
+                return True
+        return False
+
+
+_KEYS = pa.list_(pa.int64())
+SCHEMA = pa.schema([
+    ("id", pa.int64()), ("family", pa.int64()), ("page", pa.bool_()), ("hit", pa.bool_()), ("units", _KEYS), ("sizes", pa.list_(pa.int32())), ("heads", _KEYS),
+    ("slots", pa.list_(pa.struct([("role", pa.string()), ("value", pa.int64()), ("own", pa.bool_())]))),
+    ("frames", pa.list_(pa.struct([("frame", pa.int64()), ("name", pa.string()), ("whole", pa.bool_())]))),
+])
+DDL = "id long, family long, page boolean, hit boolean, units array<long>, sizes array<int>, heads array<long>, slots array<struct<role: string, value: long, own: boolean>>, frames array<struct<frame: long, name: string, whole: boolean>>"
+
+
+def _scan(batches: Iterator[pa.RecordBatch], fixed: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for i, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            text = t.as_py()
-            if text:
-                hit, frames, machine, filled = residue(text)
-                if hit or frames or machine or filled:
-                    rows.append({"id": i, "family": k, "filled": [dict(zip(("slot", "value"), f)) for f in dict.fromkeys(filled)], "hit": hit, "frames": [dict(zip(("frame", "name", "whole"), f)) for f in dict.fromkeys(frames)], "machine": machine})
+            u = Units(t.as_py(), fixed)
+            slots = [{"role": r, "value": v, "own": own} for (r, v), own in u.slots.items() if r != "section" or own]
+            rows.append({"id": i, "family": k, "page": u.page, "hit": u.hit, "units": list(u.units), "sizes": list(u.units.values()) if u.page else None, "heads": list(u.heads), "slots": slots, "frames": [dict(zip(("frame", "name", "whole"), f)) for f in u.frames]})
         yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
 
-def found(df: DataFrame, ident: str, text: str, family: str, names: int = NAMES, least: int = RECORDS) -> DataFrame:
+def found(df: DataFrame, ident: str, text: str, family: str, names: int = NAMES, papers: int = PAPERS, fixed: bool = True) -> DataFrame:
     """`<ident>` of each record with residue, once. Null, empty, blank and truncated texts are none by themselves; a null id is no
-    record. Records with the same `family` are versions of one and count once where a title is held to be a default; those with a
-    null family do not count there. The texts are read and scanned once; only titles, authors and the frames around field names are shuffled,
-    and what the templates and their defaults are is decided over all records."""
+    record. Records with the same `family` are versions of one paper and count once; those with a null family support no default and
+    no error template, but are searched like all others. `fixed=False` leaves the result to the inductions alone.
+
+    The texts are read and scanned once. What is induced from (keys of 8 bytes, some dozens a record) is written once; supports are
+    counted by two-step aggregates, and the templates found, a few hundred, are joined back without a shuffle of the records."""
     c = F.col
-    scanned = df.select(c(ident).cast("long").alias("id"), c(family).cast("string").alias("family"), c(text).cast("string").alias("t")).where("id is not null and t is not null and trim(t) <> ''").mapInArrow(_scan, DDL)
-    return decide(scanned, names, least).withColumnRenamed("id", ident)
+    rows = df.select(c(ident).cast("long").alias("id"), F.when(c(family).isNotNull(), F.xxhash64(family)).alias("family"), c(text).cast("string").alias("t"))
+    scanned = rows.where("id is not null and t is not null and trim(t) <> ''").mapInArrow(lambda it: _scan(it, fixed), DDL)
+    return decide(scanned, names, papers).withColumnRenamed("id", ident)
 
 
-def decide(scanned: DataFrame, names: int, least: int) -> DataFrame:
+def frames_of(seen: DataFrame, names: int) -> DataFrame:
+    """`frame` of the templates with a slot. A frame's field names are few, so its papers are told by the least and greatest of each."""
+    c = F.col
+    own = F.coalesce("family", "id")
+    each = seen.select(own.alias("own"), F.inline("frames")).groupBy("frame", "name").agg(F.min("own").alias("a"), F.max("own").alias("z"), F.max("whole").alias("whole"))
+    all_ = each.groupBy("frame").agg(F.count("*").alias("names"), F.max("whole").alias("whole"), F.array_distinct(F.concat(F.collect_list("a"), F.collect_list("z"))).alias("who"))
+    return all_.where((c("names") >= names) & (F.size("who") >= names) & c("whole")).select("frame")
+
+
+def defaults_of(seen: DataFrame, papers: int) -> DataFrame:
+    """`unit`: values of slots that are defaults."""
+    c = F.col
+    mine = seen.where("family is not null")
+    slots = mine.select("family", F.inline("slots"))
+    known = slots.groupBy("value").agg(F.max("own").alias("own"), F.max(c("role") == "title").alias("title"), F.max(c("role") == "author").alias("author"))
+    # values of one slot only are told from words of an article by where else they stand
+    units = mine.select("family", F.explode(F.concat("units", "heads")).alias("value")).join(broadcast_if_small(known.select("value")), "value")
+    where = slots.select("value", "family", "role").unionByName(units.select("value", "family", F.lit("unit").alias("role"))).groupBy("value", "family").agg(F.max(c("role") == "unit").alias("unit"))
+    counted = where.groupBy("value").agg(F.count("*").alias("papers"), F.max("unit").alias("unit")).where(c("papers") >= papers)
+    both = c("title").cast("int") + c("author").cast("int") + c("unit").cast("int") >= 2
+    return counted.join(known, "value").where(c("own") | both).select(c("value").alias("unit"))
+
+
+def errors_of(seen: DataFrame) -> DataFrame:
+    """`unit`: units of whole pages that repeat."""
+    c = F.col
+    mine = seen.where("family is not null")
+    pages = mine.where("page").select("id", "family", F.inline(F.arrays_zip(c("units").alias("unit"), c("sizes").alias("size"))))
+    again = pages.groupBy("unit").agg((F.min("family") < F.max("family")).alias("again"))
+    marked = pages.join(again, "unit")
+    mostly = marked.groupBy("id").agg((F.sum(F.when(c("again"), c("size")).otherwise(0)) * 3 >= F.sum("size")).alias("mostly")).where("mostly").select("id")
+    on_pages = marked.where("again").join(mostly, "id", "left_semi").select("unit", "family").distinct().groupBy("unit").agg(F.count("*").alias("on_pages")).where("on_pages >= 2")
+    held = mine.select("family", F.explode("units").alias("unit")).join(broadcast_if_small(on_pages), "unit").groupBy("unit", "family").agg(F.first("on_pages").alias("p"))
+    counted = held.groupBy("unit").agg(F.count("*").alias("n"), F.first("p").alias("p"))
+    return counted.where("n >= 3 and (2 * p >= n or p >= 3 and 4 * p >= n)").select("unit")
+
+
+def decide(scanned: DataFrame, names: int = NAMES, papers: int = PAPERS) -> DataFrame:
+    """`id` of the records that hold one of the templates induced from all of them, and of those that the fixed values found."""
     from rasm.session import checkpoint
 
     c = F.col
-    seen = checkpoint(scanned)  # a few rows in a hundred: what the scan has found
-    frames = seen.select("id", F.explode("frames").alias("f")).select("id", "f.*")
-    slots = frames.where("whole").groupBy("frame").agg(F.countDistinct("name").alias("names"), F.countDistinct("id").alias("ids")).where((c("names") >= names) & (c("ids") >= least)).select("frame")
-    lines = seen.select("id", F.explode("machine").alias("line"))
-    errors = lines.groupBy("line").agg(F.countDistinct("id").alias("ids")).where(c("ids") >= least).select("line")
-    filled = seen.select("id", "family", F.explode("filled").alias("f")).select("id", "family", "f.*")
-    defaults = filled.where("slot = 'title' and value <> ''").groupBy("value").agg(F.countDistinct("family").alias("n")).where(c("n") >= least).select("value")
-    hits = seen.where("hit").select("id").unionByName(filled.join(broadcast_if_small(defaults), "value").select("id"))
-    hits = hits.unionByName(frames.join(broadcast_if_small(slots), "frame").select("id")).unionByName(lines.join(broadcast_if_small(errors), "line").select("id"))
+    seen = checkpoint(scanned)  # every record's keys, written once for the three inductions and the search
+    residue = checkpoint(defaults_of(seen, papers).unionByName(errors_of(seen)).distinct())
+    slots = checkpoint(frames_of(seen, names))
+    units = seen.select("id", F.explode(F.concat("units", "heads", F.transform("slots", lambda s: s["value"]))).alias("unit"))
+    frames = seen.select("id", F.inline("frames")).select("id", "frame")
+    hits = seen.where("hit").select("id").unionByName(units.join(broadcast_if_small(residue), "unit").select("id")).unionByName(frames.join(broadcast_if_small(slots), "frame").select("id"))
     return hits.distinct()
