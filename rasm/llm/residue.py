@@ -7,8 +7,8 @@ line. Numbers, ids, paths and what stands in parentheses of one word are alike i
 - Slots that retain a variable name. Units of different records are aligned where they hold the name of a field of a paper; the
   rest of the unit is a frame. A frame with NAMES different field names in as many records, which stands as a whole unit somewhere,
   is a template with a slot, and each place that fits it holds an unfilled slot, also in the middle of a line.
-- Slots that retain a default. A value of a title or author slot that also fills another slot or stands as a unit of its own, in
-  PAPERS papers altogether, is a default (words of an article stand in one of these places only); so is a short value of a slot that
+- Slots that retain a default. A value of a title or author slot in two papers that also fills another slot or stands as a unit of its own,
+  in PAPERS papers altogether, is a default (words of an article stand in one of these places only); so is a short value of a slot that
   holds the slot's own name, in as many papers. Blanks are empty values and are no residue by the data's definition.
 - Repeated whole pages. A page is a record without any markup. A unit is an error template if it stands on pages of which a third is
   made of units that other pages repeat, and such pages are a good part of all papers that hold it (half of at least 2, or a quarter of at
@@ -81,7 +81,6 @@ COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\\\")
 MARKUP = re.compile(r"\\[A-Za-z]|\$")
 #: Stands for what was taken out.
 GONE = " ¤ "
-ANY = re.compile(r"[^\W_]+|¤")
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"\w+|¤")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -89,11 +88,15 @@ REPEAT = re.compile(r"\b(\w+(?: \w+){0,3})(?:[ ,.]+\1\b){3,}", re.I)
 # Blanks of an identifier and of a date.
 BLANK = re.compile(r"\b10\.x{4,}|\bdd([./-])mm\1y{2,4}\b", re.I)
 #: Between two clauses: after closing punctuation (not of an initial), at a dash, at tags.
-CLAUSE = re.compile(r"(?<=[.!?:;>])(?<!\b[A-Z]\.)\s+|\s+--+\s+|(?=<)|(?<=>)")
+CLAUSE = re.compile(r"\n+|(?<=[.!?:;>])(?<!\b[A-Z]\.) | --+ |(?=<)|(?<=>)")
+BLANKS = re.compile(r"[^\S\n]+")
 #: Where a clause without closing punctuation may end: before a capital or something taken out.
 CAPITAL = re.compile(r"(?<=[^\s.!?:;]) (?=[^\W\d_a-zß-öø-ÿ]|¤)")
-#: Differs from record to record within one template.
-VARIES = re.compile(r"\S*[/\\]\S*|\([^()\s]*\)|[0-9a-f]*\d[0-9a-f]*")
+#: Differs from record to record within one template: paths, a word in parentheses, what holds a digit.
+VARIES = re.compile(r"\b[^\W\d]*+\d\w*|\([^()\s]*\)")
+PATHS = re.compile(r"(?<![^\s<>])[^\s<>/]*+/[^\s<>]*")
+#: A unit has a word of three letters to be told from others.
+TELLS = re.compile(r"[^\W\d_]{3}")
 
 
 def kept(text: str) -> str:
@@ -115,7 +118,7 @@ def printed(text: str) -> str:
 def latin(line: str) -> bool:
     """Keys hit at random, or words of the usual Latin filler."""
     run = keys = 0
-    for w in WORD.findall(line.lower()):
+    for w in PIECE.findall(line.lower()):
         run = run + 1 if w in LOREM else 0
         keys = keys + 1 if w in KEYS or w.startswith("xx") and not w.strip("x") else 0
         if run >= 4 or keys >= 3:
@@ -124,56 +127,58 @@ def latin(line: str) -> bool:
 
 
 def repeated(line: str) -> bool:
-    """Filler in place of content, told by itself alone: one phrase again and again, one clause three times in a row, or hardly any
-    different words."""
-    low = WORD.findall(line.lower())
+    """Filler in place of content, told by itself alone: one phrase again and again, or hardly any different words."""
+    low = PIECE.findall(line.lower())
     if len(low) >= 8 and REPEAT.search(line):
         return True
-    units = [plain(p) for p in CLAUSE.split(line) if p and not p.isspace()]
-    if any(a == b == c and _says(a) for a, b, c in zip(units, units[1:], units[2:])):
-        return True
     # numbers and what was taken out count as words of their own
-    low = [f"{GONE}{i}" if w == GONE.strip() else w for i, w in enumerate(ANY.findall(line.lower()))]
-    return len(low) >= 16 and any(len(set(low[i : i + 16])) <= 5 for i in range(len(low) - 15))
+    low = [f"{GONE}{i}" if w == GONE.strip() else w for i, w in enumerate(low)]
+    return len(low) >= 16 and len(set(low)) <= len(low) - 11 and any(len(set(low[i : i + 16])) <= 5 for i in range(len(low) - 15))
+
+
+def thrice(line: str) -> bool:
+    """One clause three times in a row."""
+    units = [p.strip("{} ").casefold() for p in CLAUSE.split(plain(line)) if p]
+    return any(a == b == c and _says(a) for a, b, c in zip(units, units[1:], units[2:]))
 
 
 def _suspect(line: str) -> bool:
     """Whether latin() or repeated() may find something, in a looser way than they do: a false answer is sure."""
     low = line.lower()
-    words, names = PIECE.findall(low), WORD.findall(low)
-    if len(names) < 3 and len(words) < 3:
-        return "_" in low
+    words = PIECE.findall(low)
     some = set(words)
-    if "_" in low or "xx" in low or not KEYS.isdisjoint(names) or sum(w in LOREM for w in names) >= 4:
+    if "xx" in low or not KEYS.isdisjoint(some) or not LOREM.isdisjoint(some) and sum(w in LOREM for w in words) >= 4:
         return True
-    many = len(words) - len(some)  # of 16 words with 5 different ones, 11; of a clause three times, two thirds
-    return many >= 11 or 3 * many >= 2 * len(words) or many >= 3 and any(a == b == c == d for k in (1, 2, 3, 4) for a, b, c, d in zip(words, words[k:], words[2 * k :], words[3 * k :]))
+    many = len(words) - len(some)  # of 16 words with 5 different ones, 11
+    return many >= 11 or many >= 3 and any(a == b == c == d for k in (1, 2, 3, 4) for a, b, c, d in zip(words, words[k:], words[2 * k :], words[3 * k :]))
 
 
-def plain(unit: str) -> str:
-    """A unit without what varies within a template."""
-    return VARIES.sub("0", " ".join(unit.lower().split()))
+def plain(text: str) -> str:
+    """text without what varies within a template."""
+    return VARIES.sub("0", PATHS.sub("0", text) if "/" in text else text)
 
 
 def key(unit: str) -> int:
-    """64 bits that stand for a unit of any length."""
-    return int.from_bytes(blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    """64 bits that stand for a unit of any length, whatever its case."""
+    return _int(blake2b(unit.casefold().encode("utf-8", "surrogatepass"), digest_size=8))
+
+
+def _int(h: object) -> int:
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
 def _says(unit: str) -> bool:
-    """Whether a unit has enough letters to be told from others."""
-    return "¤" not in unit and sum(map(len, WORD.findall(unit))) >= 4
+    return "¤" not in unit and TELLS.search(unit) is not None
 
 
 def _unwrap(unit: str) -> str:
     """unit without the braces of a command's argument around it."""
-    unit = unit.strip()
     return unit[1:-1].strip() if unit[:1] == "{" and unit[-1:] == "}" and (unit[:2] != "{{" or unit[:3] == "{{{") else unit
 
 
 class Units:
-    """What one record gives to the inductions, as keys: `slots` (role, value, holds its own name), `units` (whole clauses), `heads`
-    (clauses up to a capital within) and `frames` (key, field name, whole unit)."""
+    """What one record gives to the inductions, as keys: `slots` (role, value, holds its own name), `units` (whole clauses, with their
+    lengths), `heads` (clauses up to a capital within) and `frames` (key, field name, whole unit). `hit`: residue by itself alone."""
 
     def __init__(self, text: str, fixed: bool = True):
         left = kept(text)
@@ -182,59 +187,77 @@ class Units:
         self.units: dict[int, int] = {}
         self.heads: set[int] = set()
         self.frames: set[tuple[int, str, bool]] = set()
-        for m in SLOTS.finditer(left):
-            role = "section" if m.group(1).endswith("section") else m.group(1)
-            value = plain(m.group(2))
-            words = WORD.findall(value)
+        values = []
+
+        def slot(m: re.Match) -> str:
+            values.append((m.group(1).removeprefix("sub").removeprefix("sub"), " ".join(COMMAND.sub(" ", m.group(2)).split())))
+            return "\n\n"
+
+        body = BLANKS.sub(" ", COMMAND.sub(" ", BREAK.sub("\n", SLOTS.sub(slot, left))))
+        self.hit = self._alone([*filter(None, body.split("\n")), *[v for _, v in values if v]], fixed)
+        body = plain(body)
+        low = body.lower()
+        names = [x for x in FIELD_PARTS if x in low]
+        for role, v in values:
+            value = plain(v)
+            words = WORD.findall(value.lower())
             if len(words) >= 2 and "¤" not in value:
                 self.slots[role, key(value)] = role in words and len(words) <= 6
-            self._frames(m.group(2).strip())
-        body = COMMAND.sub(" ", BREAK.sub("\n", SLOTS.sub("\n\n", left)))
-        for line in body.split("\n"):
-            line = _unwrap(line)
-            if line:
-                self._line(line)
-        self.hit = self._alone(COMMAND.sub(" ", BREAK.sub("\n", left)), fixed)
-
-    def _line(self, line: str) -> None:
-        parts = [p for p in CLAUSE.split(line) if p and not p.isspace()]
-        for p in parts:
-            u = plain(p)
-            if _says(u):
-                self.units[key(u)] = len(u)
-            for m in CAPITAL.finditer(p):
-                head = plain(p[: m.start()])
-                if _says(head):
-                    self.heads.add(key(head))
-        low = line.lower()
-        if any(x in low for x in FIELD_PARTS):
-            for p in {line, *parts}:
-                self._frames(p.strip())
+            self._frames(value)
+        again = last = 0
+        for p in CLAUSE.split(body):
+            if p:
+                last, before = self._clause(p.strip("{} ")), last
+                again += last is not None and last == before
+        self.hit = self.hit or again >= 2 and any(map(thrice, body.split("\n")))
+        if names:
+            for line in body.split("\n"):
+                low = line.lower()
+                if any(x in low for x in names):
+                    line = _unwrap(line.strip())
+                    for p in {line, *[p.strip() for p in CLAUSE.split(line) if p]}:
+                        self._frames(p)
+
+    def _clause(self, p: str) -> int | None:
+        own = key(p) if _says(p) else None
+        if own is not None:
+            self.units[own] = len(p)
+        h, at = blake2b(digest_size=8), 0
+        for m in CAPITAL.finditer(p):  # every head from the one before it
+            h.update(p[at : m.start()].casefold().encode("utf-8", "surrogatepass"))
+            at = m.start()
+            self.heads.add(_int(h))
+            if p[m.end()] == "¤":
+                break
+        return own
 
     def _frames(self, unit: str) -> None:
         for find in (FIELD, FIELD_US):
             for m in find.finditer(unit):
                 name = re.sub(r"[ _-]", "", m.group(1).lower())
-                a, z = TOKEN.findall(unit[: m.start()].lower()), TOKEN.findall(unit[m.end() :].lower())
+                a, z = TOKEN.findall(unit[: m.start()]), TOKEN.findall(unit[m.end() :])
                 if not a and not z:
                     continue
                 self.frames.add((key(" ".join([*a, "\0", *z])), name, True))
                 for i in {len(a), *range(min(len(a), CONTEXT) + 1)}:  # from the start of the unit, or of a context within
-                    for j in range(min(len(z), CONTEXT) + 1 if i < len(a) else len(z)):
-                        if i + j:
-                            self.frames.add((key(" ".join([*a[len(a) - i :], "\0", *z[:j]])), name, False))
+                    h = blake2b(" ".join([*a[len(a) - i :], "\0"]).casefold().encode("utf-8", "surrogatepass"), digest_size=8)
+                    if i:
+                        self.frames.add((_int(h), name, False))
+                    for t in z if i == len(a) else z[:CONTEXT]:
+                        h.update(f" {t}".casefold().encode("utf-8", "surrogatepass"))
+                        self.frames.add((_int(h), name, False))
 
     @staticmethod
-    def _alone(body: str, fixed: bool) -> bool:
+    def _alone(lines: list[str], fixed: bool) -> bool:
         """What one record shows by itself: repetition in it, and what the fixed values find."""
-        if fixed and (any(a in body for a in OPENINGS) and SLOT.search(body) or BLANK.search(body)):
-            return True
-        for line in body.split("\n"):
-            line = line.strip()
-            if line and _suspect(line) and (repeated(line) or fixed and latin(line)):
+        for line in lines:
+            if _suspect(line) and (repeated(line) or fixed and latin(line)):
                 return True
-            if fixed and line and (len(line) < 60 and STATUS.fullmatch(line.strip("{} ")) or line[0] in "<{" and MACHINE.match(line) and SAID.search(line)):
+            if fixed and (len(line) < 60 and STATUS.fullmatch(line.strip("{} ")) or line[0] in "<{" and MACHINE.match(line) and SAID.search(line)):
                 return True
+        if fixed:
+            body = "\n".join(lines).lower()
+            return any(a in body for a in OPENINGS) and SLOT.search(body) is not None or ("xxx" in body or "yy" in body) and BLANK.search(body) is not None
         return False
 
 
@@ -284,7 +307,7 @@ def defaults_of(seen: DataFrame, papers: int) -> DataFrame:
     c = F.col
     mine = seen.where("family is not null")
     slots = mine.select("family", F.inline("slots"))
-    known = slots.groupBy("value").agg(F.max("own").alias("own"), F.max(c("role") == "title").alias("title"), F.max(c("role") == "author").alias("author"))
+    known = slots.groupBy("value").agg(F.max("own").alias("own"), F.max(c("role") == "title").alias("title"), F.max(c("role") == "author").alias("author"), (F.min("family") < F.max("family")).alias("again")).where("again")
     # values of one slot only are told from words of an article by where else they stand
     units = mine.select("family", F.explode(F.concat("units", "heads")).alias("value")).join(broadcast_if_small(known.select("value")), "value")
     where = slots.select("value", "family", "role").unionByName(units.select("value", "family", F.lit("unit").alias("role"))).groupBy("value", "family").agg(F.max(c("role") == "unit").alias("unit"))

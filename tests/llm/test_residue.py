@@ -6,7 +6,7 @@ HEAD = "\\documentclass{article}\n\\title{A sparse graph}\n\\author{B. Arno}\n\\
 CASES = [
     "{{abstract}}", "\\title{<<AUTHOR_NAME>>}", "We show it. [[keywords]] Then more.", "\\title{{% journal %}}", "\\author{<%= paper_title %>}", "10.xxxx/xxxxx.yyyy", "Date: dd/mm/yyyy",
     "Lorem ipsum sed sit enim culpa.", "qwer asdf asdf fdsa jkl", "xxx XXXX xx xxxx", "text text text text text text text text text.", "404 Not Found", '{"error": {"code": 504, "message": "Gateway Timeout", "trace": "1"}}',
-    "Here be text one day. Here be text one day. Here be text one day.", "<div class=\"err\"><h2>Forbidden</h2>Please try again.</div>",
+    "Here be text one day. Here be text one day. Here be text one day.", "All of these many words differ and none of them comes again. " + "Here be text one day. " * 3, "<div class=\"err\"><h2>Forbidden</h2>Please try again.</div>",
 ]
 NONE = [
     "% {{abstract}}", "\\begin{comment}\n{{abstract}}\n\\end{comment}", "\\iffalse\n[[title]]\n\\fi", "\\begin{verbatim}\n[[doi]]\n\\end{verbatim}", "A slot is written as \\verb|{{title}}| here.", "The reply ``Not Found'' came.", "It answered with \\texttt{503 Service Unavailable} then.",
