@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasm.llm import bpe, pack, quantiles, residue, runs, skeleton, spans
-from rasm.session import table
+from rasm.session import checkpoint, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,8 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.daily(table(spark, d, "eval_rows"), "eval_id", "reciter", "evaluated_at", ["raw_wer", "corrected_cer"], "ingested_at")
+    """The results kept per day, as a written table."""
+    return checkpoint(quantiles.daily(table(spark, d, "eval_rows"), "eval_id", "reciter", "evaluated_at", ["raw_wer", "corrected_cer"], "ingested_at"))
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
