@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set and one machine does all (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasm-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder: for what is read more than once, by different columns, or whose true
+    size counts. The folder is cleared with the checkpoints."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if the optimizer's size estimate is below limit, else df unchanged (a shuffle join)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
