@@ -1,5 +1,7 @@
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def rows_of(seed):
     return rows
 
 
-@pytest.mark.parametrize("limit", [200_000, 40, 1])
+@pytest.mark.parametrize("limit", [200_000, 200, 60, 25, 8, 3, 1])  # groups over it at no, some, every length
 def test_same_as_brute_force(spark, limit):
     rows = rows_of(limit)
     df = spark.createDataFrame(rows, "rec_key string, role int, text string").withColumn("k1", F.lit("clash"))
@@ -58,6 +60,32 @@ def test_records_take_a_delivery_once(spark):
     assert spans.report(spans.records(chunks.limit(0), verses.limit(0))).count() == 0
 
 
+def test_common_prefixes_of_sorted_suffixes():
+    r = random.Random(1)
+    text = "".join(r.choice("ab") for _ in range(300))
+    code = np.array([ord(x) - 96 for x in text], np.uint8)
+    starts = np.arange(250)
+    sizes = np.minimum(40, 300 - starts)
+    order, common = spans.lcp_sorted(code, starts, sizes)
+    suffix = [text[i : i + 40] for i in order]
+    assert suffix == sorted(suffix)
+    for i in range(1, 250):
+        assert common[i] == len(os.path.commonprefix(suffix[i - 1 : i + 1]))
+
+
+def test_equal_windows_have_equal_places():
+    r = random.Random(2)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 40))) for _ in range(30)]
+    span = " ".join(r.choice(words) for _ in range(30))
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 9))) + " " + span + " " + r.choice(words) for _ in range(8)] + ["x" * 70, "", "short"]
+    doc, pos, n, *h = spans.pieces(texts)
+    seen = {}
+    for d, p, k, *g in zip(doc, pos, n, *h):
+        for i in range(k):
+            assert seen.setdefault(texts[d][p + i : p + i + 60], tuple(g)) == tuple(g)
+    assert sum(n) == sum(max(0, len(t) - 59) for t in texts)
+
+
 def test_long_text(spark):
     t = " ".join(str(i) for i in range(40_000))
     df = spark.createDataFrame([("a", 0, t), ("b", 0, t[1000:3000])], "rec_key string, role int, text string")
