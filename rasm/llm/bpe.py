@@ -1,8 +1,8 @@
 """Byte-level BPE of whole tables with a public vocabulary: ids, counts, and the parts they are made of.
 
 Two tiers. Pre-tokens are cut and looked up for a whole block of texts at once, as arrays: a minimal perfect hash over the
-vocabulary resolves each pre-token of up to 16 bytes that is itself a token, and the stored key bytes confirm the match. The
-rest (longer, or not in the vocabulary) is merged with a heap over linked bytes, once per distinct pre-token while it is kept.
+vocabulary resolves each pre-token that is itself a token, of any length, and the stored key confirms the match. The rest (not in
+the vocabulary) is merged with a heap over linked bytes, once per distinct pre-token while it is kept.
 """
 
 from __future__ import annotations
@@ -73,14 +73,33 @@ def again(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def fold(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words for each byte string: its first 8 bytes and the next 8, into which all later ones are mixed. buf ends in 16 zeros."""
+    word = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    a = word[at] & MASKS[np.minimum(size, 8)]
+    b = word[at + np.minimum(size, 8)] & MASKS[np.clip(size - 8, 0, 8)]
+    more = np.flatnonzero(size > 16)
+    k = 16
+    while len(more):
+        rest = word[at[more] + k] & MASKS[np.minimum(size[more] - k, 8)]
+        b[more] = (b[more] ^ rest) * U(0x9E3779B97F4A7C15) ^ (b[more] >> U(31))
+        k += 8
+        more = more[size[more] > k]
+    return a, b
+
+
 class Lookup:
-    """A minimal perfect hash (hash and displace) from byte strings of 1 to 16 bytes to ids. Slots hold the key, so misses are known."""
+    """A minimal perfect hash (hash and displace) from byte strings to ids. Slots hold the key's two words and, of keys above 16 bytes,
+    the key, so misses are known."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        keys = [k for k in ranks if len(k) <= 16]
-        raw = np.frombuffer(b"".join(k.ljust(16, b"\0") for k in keys), "<u8").reshape(-1, 2)
-        length = np.array([len(k) for k in keys], dtype=U)
+        keys = list(ranks)
+        size = np.array([len(k) for k in keys], dtype=np.int64)
+        length = size.astype(U)
         n = len(keys)
+        raw = np.stack(fold(np.frombuffer(b"".join(keys) + bytes(16), np.uint8), np.cumsum(size) - size, size), axis=1)
+        self.longest = int(size.max(initial=0))
+        self.long = {ranks[k]: k for k in keys if len(k) > 16}
         h = mix(raw[:, 0], raw[:, 1], length)
         if len(np.unique(h)) < n:
             raise ValueError("two keys share a hash; the mixing constants need changing")
@@ -120,13 +139,20 @@ class Lookup:
         self.a[slot_of], self.b[slot_of], self.length[slot_of] = raw[:, 0], raw[:, 1], length
         self.ids[slot_of] = [ranks[k] for k in keys]
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The id of each key, -1 if it is none."""
+    def __call__(self, raw: bytes, buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The id of each string of raw (start, size; buf holds its bytes and 16 zeros), -1 if it is none."""
+        size = np.minimum(size, self.longest + 1)  # longer ones are no key
+        a, b = fold(buf, at, size)
+        length = size.astype(U)
         h = mix(a, b, length)
         d = self.shift[(h % U(self.buckets)).astype(np.int64)]
         slot = np.where(d < 0, -1 - d, (again(h, d.astype(U)) % U(self.n)).astype(np.int64))
         same = (self.a[slot] == a) & (self.b[slot] == b) & (self.length[slot] == length)
-        return np.where(same, self.ids[slot], np.int32(-1))
+        ids = np.where(same, self.ids[slot], np.int32(-1))
+        for i in np.flatnonzero((size > 16) & same).tolist():
+            if raw[at[i] : at[i] + size[i]] != self.long[int(ids[i])]:
+                ids[i] = -1
+        return ids
 
 
 def classes() -> np.ndarray:
@@ -191,11 +217,7 @@ class Encoder:
         real = ~is_edge[first]
         doc = np.cumsum(is_edge[first])[real]
         at, size = at[real], size[real]
-        word = np.ndarray((len(raw) + 9,), "<u8", buf, 0, (1,))
-        a = word[at] & MASKS[np.minimum(size, 8)]
-        b = word[at + np.minimum(size, 8)] & MASKS[np.clip(size - 8, 0, 8)]
-        ids = self.lookup(a, b, size.astype(U))
-        ids[size > 16] = -1
+        ids = self.lookup(raw, buf, at, size)
         missed = np.flatnonzero(ids < 0)
         count = np.ones(len(ids), np.int64)
         found = []

@@ -24,13 +24,20 @@ LOOK_ALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ",
     "٠": "۰", "١": "۱", "٢": "۲", "٣": "۳", "٧": "۷", "٨": "۸", "٩": "۹",
 }
+# Capitals of scripts that share the Latin shapes (Cherokee, Lisu, Coptic), letter for letter.
+CAPITALS = [
+    ("ABCDEGHJKLMPRSTVWYZ", "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᎩᏃ"),
+    ("ABCDEFGHIJKLMNOPRSTUVWXYZ", "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ"),
+    ("BCHIKMNOPTXYoc", "ⲂⲤⲎⲒⲔⲘⲚⲞⲢⲦⲬⲨⲟⲥ"),
+]
 # Cf characters that are drawn.
 DRAWN_FORMATS = {0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x8E2, 0x890, 0x891}
 # Characters of other categories without a visible sign.
 UNSEEN = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0]
 FORMS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<vertical>"}
 
-KEHEH, FARSI_YEH = span("06A9"), span("06CC")
+# Arabic letters whose Persian forms differ from them at the end of a word only.
+KEHEH, KAF, FARSI_YEH, YEH, ALEF_MAKSURA = "ک", "ك", "ی", "ي", "ى"
 MARK = "[" + span("0610-061A 064B-065F 0670 06D6-06DC 06DF-06E4 06E7-06E8 06EA-06ED 0300-036F") + "]"
 JOINS = "[" + span("0620 0622-063F 0640-064A 066E-066F 0671-06D3 06FA-06FF") + "]"
 #: Before a letter that joins, Farsi yeh has two dots and keheh no sign inside, as yeh and kaf; at the end of a word they differ.
@@ -42,17 +49,18 @@ PLAIN = re.compile("[^" + span("0020-007E 060C 061B 061F 0621-063A 0640-064A 064
 def prototypes() -> dict[int, str | None]:
     """Code point -> what it looks like, None if it is not seen; by rule from the Unicode data, and the fixed values above."""
     table: dict[int, str | None] = {}
-    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0xE0000, 0xE0200)]:
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]:
         ch = chr(cp)
         cat, (tag, *parts) = unicodedata.category(ch), (unicodedata.decomposition(ch).split() or [""])
         if cat == "Cf" and cp not in DRAWN_FORMATS or cp in UNSEEN or cp >= 0xE0100:
             table[cp] = None
         elif cat in ("Zs", "Zl", "Zp") or cp == 0x85:
             table[cp] = " "
-        elif tag in FORMS and len(parts) <= 3 and parts[0] != "0020":
+        elif (tag in FORMS or tag == "<font>" or tag == "<compat>" and cat == "Nl") and len(parts) <= 3 and parts[0] != "0020":
             table[cp] = unicodedata.normalize("NFKD", ch)
     table |= dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
     table |= {ord(x): k for k, xs in LOOK_ALIKES.items() for x in xs}
+    table |= {ord(x): k for ks, xs in CAPITALS for k, x in zip(ks, xs, strict=True)}
     return table
 
 
@@ -61,7 +69,7 @@ def skeleton(text: str) -> str:
     if PLAIN.search(text):
         text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes()))
         if KEHEH in text or FARSI_YEH in text:
-            text = BEFORE_JOIN.sub(lambda m: span("0643") if m.group() == KEHEH else span("064A"), text).replace(FARSI_YEH, span("0649"))
+            text = BEFORE_JOIN.sub(lambda m: KAF if m.group() == KEHEH else YEH, text).replace(FARSI_YEH, ALEF_MAKSURA)
         return text
     return unicodedata.normalize("NFD", text)
 

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +87,15 @@ def test_fullest(counts, room):
         reach = {r + i * n for r in reach for i in range(k + 1) if r + i * n <= room}
     got = pack.fullest(room, sorted(counts, reverse=True), counts)
     assert sum(n * k for n, k in got) == max(reach) and all(k <= counts[n] for n, k in got)
+
+
+def test_tokens_of_any_length_are_looked_up():
+    ranks = {bytes([i]): i for i in range(256)}
+    for i, k in enumerate([b"a" * 17, b"a" * 16 + b"b", b"ab" * 40, b"ab" * 39 + b"ba", b"abcdefgh" * 2, b"x" * 24, b"x" * 25]):
+        ranks[k] = 256 + i
+    look = bpe.Lookup(ranks)
+    keys = [*ranks, b"a" * 18, b"ab" * 41, b"x" * 23, b"y" * 500, b"ab" * 39 + b"bb"]
+    size = np.array([len(k) for k in keys])
+    raw = b"".join(keys)
+    got = look(raw, np.frombuffer(raw + bytes(16), np.uint8), np.cumsum(size) - size, size)
+    assert got.tolist() == [ranks.get(k, -1) for k in keys]

@@ -1,9 +1,8 @@
 import pytest
 
-from rasm.functions.text import span
 from rasm.llm import skeleton as sk
 
-YEH, FARSI, MAKSURA, KAF, KEHEH, BEH = (span(x) for x in ("064A", "06CC", "0649", "0643", "06A9", "0628"))
+YEH, FARSI, MAKSURA, KAF, KEHEH, BEH = "ي", "ی", "ى", "ك", "ک", "ب"
 
 ALIKE = [
     ("a b", "a\u00a0b"), ("ab", "a\u200bb"), ("ab", "\ufeffab\u200f"), ("abc", "\uff41\uff42\uff43"), ("(1)", "\uff08\uff11\uff09"), ("\u1e25", "h\u0323"), ("cop", "\u0441\u043e\u0440"),
@@ -30,3 +29,9 @@ def test_found_and_groups(spark):
     assert (g["a b"]["variants"], g["a b"]["records"], g["a"]["records"]) == (1, 2, 2)
     assert sk.groups(df.select("b").limit(0), "b").count() == 0
     assert sk.look_alike(df.limit(0), "a", "b").count() == 0
+
+
+def test_letters_of_other_alphabets_and_planes():
+    assert sk.skeleton("𝐀𝖻ⅽ ꓮᎪⲞ") == "Abc AAO"
+    assert sk.skeleton("ا𞸁") == "اب"
+    assert len({sk.skeleton(x) for x in ("ي", "ى", "ئ", "ا", "أ", "I", "l", "1")}) == 8
