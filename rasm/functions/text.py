@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def span(spec: str) -> str:
     """The inside of a character class from code points and ranges in hexadecimal."""
     return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in spec.split())
@@ -16,7 +15,7 @@ def span(spec: str) -> str:
 
 # Marks that normalization deletes.
 MARKS = span("0610-061A 064B-065F 0670 06D6-06DC 06DF-06E4 06E7-06E8 06EA-06ED")
-TATWEEL = span("0640")
+TATWEEL = "ـ"
 # What normalization keeps besides the space. The Latin A is part of the guard's list; the strict list is without it.
 ALLOWED = span("0600-06FF 0041 0660-0669 06F0-06F9")
 ALLOWED_STRICT = span("0600-06FF 0660-0669 06F0-06F9")
@@ -25,9 +24,9 @@ VOWELS = span("064B-0652 0670")
 # Marks, quotes and signs that the evaluation's normalization deletes.
 EVAL_MARKS = span("0610-061A 064B-065F 0670 0640 06D6-06ED 00AB 00BB 200E-200F 202A-202E FEFF")
 # Letters that sound alike and what they are folded to.
-FOLD_FROM, FOLD_TO = span("0623 0625 0622 0671 0649 0629"), span("0627 0627 0627 0627 064A 0647")
-# Signs that the merge deletes before anything else.
-SIGNS = span("0671 0653 0654 0655")
+FOLD_FROM, FOLD_TO = "أإآٱىة", "اااايه"
+# The wasla alef and combining signs (madda, hamza above and below) that the merge deletes before anything else.
+SIGNS = "ٱ" + span("0653 0654 0655")
 # Phrases and words that recognition gets wrong, with what they stand for.
 PHRASE_FIXES = [
     ("الرحيلحمد", "الرحيم الحمد"), ("الدي ن", "الدين"), ("العالم ن", "العالمين"), ("إياكنعبد", "إياك نعبد"), ("أن عمت", "أنعمت"), ("الر حيم", "الرحيم"), ("الر حين", "الرحيم"), ("الرح يم", "الرحيم"),

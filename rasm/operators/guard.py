@@ -111,7 +111,7 @@ def corrupted(verses: DataFrame, seed: int = 42, words: float = 0.15, vowels: fl
     chance = F.pmod(F.xxhash64(F.lit(seed), "surah", "ayah", "word_index"), F.lit(10_000)) / 10_000.0
     a, b, d = (tx.span(x) for x in ("064E", "064F", "0650"))
     swapped = F.regexp_replace("reference", f"^([^{a}{b}{d}]*)([{a}{b}{d}])", F.concat(F.lit("$1"), F.when(F.contains(F.regexp_extract("reference", f"[{a}{b}{d}]", 0), F.lit(a)), d).otherwise(a)))
-    other = F.concat(F.when(F.startswith("reference", F.lit(tx.span("0628"))), tx.span("062C")).otherwise(tx.span("0628")), F.substring("reference", 2, 1 << 20))
+    other = F.concat(F.when(F.startswith("reference", F.lit("ب")), "ج").otherwise("ب"), F.substring("reference", 2, 1 << 20))
     wrong = chance < words
     vowel = ~wrong & (chance < words + (1 - words) * vowels) & (swapped != c("reference"))
     out = each.withColumns({"wrong": wrong, "vowel": vowel})

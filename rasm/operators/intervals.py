@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasm.session import checkpoint
+
 #: Length of the blocks in which an entity's intervals are merged on their own. A block has at most this many distinct starts.
 BLOCK = 16_000 * 600
 
@@ -24,7 +26,8 @@ def periods_and_gaps(df: DataFrame, key: str, start: str, end: str, block: int =
     cols = cols.where("s < e").withColumn("b", F.floor(F.col("s") / F.lit(block)))
     length = F.expr("make_interval(0, 0, 0, 0, 0, 0, cast(cast(e - s as decimal(20, 0)) / 1000000 as decimal(18, 6)))")
     merged = cols.groupBy("k", "b", F.session_window(F.timestamp_micros("s"), length).alias("w")).agg(F.count("*").alias("n"))
-    pieces = merged.select("k", "b", F.unix_micros("w.start").alias("s"), F.unix_micros("w.end").alias("e"))
+    # written once: the table is read once, and what follows uses the merged pieces twice
+    pieces = checkpoint(merged.select("k", "b", F.unix_micros("w.start").alias("s"), F.unix_micros("w.end").alias("e")))
 
     def last(*by: str) -> Window:
         return Window.partitionBy(*by)
