@@ -2,46 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasm import kernels
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.session import broadcast_if_small, spread
+from rasm.session import broadcast_if_small, spread, written
 
 
-def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int) -> DataFrame:
-    """Each hypothesis (surah, expected) with the candidates of its chapter whose `at` is in the band around the expected verse;
-    with all of the chapter where the band is empty."""
-    near = broadcast_if_small(cand.withColumnRenamed("surah", "ref_surah"))
-    same = F.col("surah") == F.col("ref_surah")
-    inside = F.col(at).between(F.greatest(F.lit(1), F.col("expected") - back), F.col("expected") + ahead)
-    hit = hyp.join(near, same & inside)
-    has = broadcast_if_small(cand.select(F.col("surah").alias("ref_surah"), F.col(at).alias("at")).distinct())
-    empty = hyp.join(has, same & F.col("at").between(F.greatest(F.lit(1), F.col("expected") - back), F.col("expected") + ahead), "left_anti")
-    return hit.unionByName(empty.join(near, same))
+def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int, fallback: str | None = "all", first: int = 12) -> DataFrame:
+    """Each hypothesis (surah, expected) with `near`, the array of the candidates of its chapter whose `at` is in the band around the
+    expected verse. Where the band is empty: all of the chapter, or with fallback="first" those of the `first` least places; with
+    None, and where the chapter is not known, such a hypothesis is left out.
 
+    The arrays are made once per place of the corpus and meet the hypotheses in one join on (chapter, place), broadcast behind a check
+    of its size: nothing is shuffled after it."""
+    c = F.col
+    struct = F.struct(*[c(x) for x in cand.columns])
+    places = F.sequence(c(at) - ahead, c(at) + back)
+    bands = cand.where(c(at) >= 1).select(c("surah").alias("band_surah"), F.explode(places).alias("band_at"), struct.alias("x")).groupBy("band_surah", "band_at").agg(F.collect_list("x").alias("band"))
+    out = hyp.join(broadcast_if_small(written(bands)), (c("surah") == c("band_surah")) & (c("expected") == c("band_at")), "left").drop("band_surah", "band_at")
+    if fallback is None:
+        return out.where("band is not null").withColumnRenamed("band", "near")
+    whole = cand
+    if fallback == "first":
+        rank = F.dense_rank().over(Window.partitionBy("surah").orderBy(at))
+        whole = cand.withColumn("place", rank).where(c("place") <= first).drop("place")
+    chapters = whole.groupBy(c("surah").alias("all_surah")).agg(F.collect_list(struct).alias("chapter"))
+    lost = F.when(c("band").isNull(), c("surah"))  # null, and so without a partner, where the band has some
+    out = out.join(broadcast_if_small(written(chapters)), lost == c("all_surah"), "left").drop("all_surah")
+    return out.withColumn("near", F.coalesce("band", "chapter")).drop("band", "chapter").where("near is not null")
+
+
+def closest(norm: Column, near: Column) -> Column:
+    """The candidates (with `norm_text`) of the least CER, as an array of (cer, x).
+
+    One pass with the least CER so far: a candidate whose length alone is too far off is passed over, and the distance of the others
+    is given up once it is above what would do."""
+    kind = F.struct(F.lit(None).cast("double").alias("cer"), F.get(near, F.lit(0)).alias("x"))
+    start = F.struct(F.lit(float("inf")).alias("least"), F.filter(F.array(kind), lambda x: F.lit(False)).alias("few"))
+
+    def step(acc: Column, v: Column) -> Column:
+        size, own = F.length(v["norm_text"]), F.length(norm)
+        most = F.when(F.isnan(acc["least"] - acc["least"]), F.greatest(size, own)).otherwise(F.floor(acc["least"] * size + 1e-6).cast("int"))
+        edits = F.when(F.abs(size - own) > most, -1).otherwise(F.call_function("levenshtein", norm, v["norm_text"], most))
+        cer = m.let(edits, lambda d: F.when(size == 0, F.lit(1.0)).when(d >= 0, d / size))
+
+        def take(x: Column) -> Column:
+            new = F.array(F.struct(x.alias("cer"), v.alias("x")))
+            return F.when(x < acc["least"], F.struct(x.alias("least"), new.alias("few"))).when(x == acc["least"], F.struct(x.alias("least"), F.concat(acc["few"], new).alias("few"))).otherwise(acc)
+
+        return m.let(cer, take)
 
-def nearest(pairs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """The candidates of each key with its least CER, with `cer, wer, coverage` of `norm` against `norm_text`.
+    return F.aggregate(near, start, step, lambda acc: acc["few"])
 
-    CER comes first in the order, so the dearer scores are taken only of the candidates that share the least. A key's candidates
-    are gathered: those of a band, of one chapter, or of the small and fixed corpus."""
+
+def nearest(hyp: DataFrame, keys: list[str], order: Callable[[Column, Column, Column, Column], list], columns: list[str], scores: Callable[[Column, Column, Column, Column], dict]) -> DataFrame:
+    """Of each hypothesis with `near` the candidate of the least CER, then of the least `order(cer, wer, coverage, x)`, with `scores`.
+
+    CER comes first in the order, so the dearer scores are taken only of the candidates that share the least. No shuffle."""
     c = F.col
-    each = pairs.withColumn("cer", m.cer(c("norm"), c("norm_text")))
-    rows = each.groupBy(*keys).agg(F.first("norm").alias("norm"), F.min("cer").alias("least"), F.collect_list(F.struct("cer", "norm_text", *columns)).alias("x"))
-    few = rows.select(*keys, "norm", F.inline(F.filter("x", lambda x: x["cer"] == c("least"))))
-    h, r = tx.tokens(c("norm")), tx.tokens(c("norm_text"))
-    return few.withColumns({"wer": m.wer(h, r), "coverage": m.coverage(h, r)})
+    few = hyp.select(*keys, "norm", closest(c("norm"), c("near")).alias("few"))
+    h = tx.tokens(c("norm"))
+
+    def scored(x: Column) -> Column:
+        r = tx.tokens(x["x"]["norm_text"])
+        rates = F.struct(m.wer(h, r).alias("wer"), m.coverage(h, r).alias("coverage"))
+
+        def row(y: Column) -> Column:
+            args = (x["cer"], y["wer"], y["coverage"], x["x"])
+            own = [x["cer"].alias("cer"), y["wer"].alias("wer"), y["coverage"].alias("coverage"), *[v.alias(n) for n, v in scores(*args).items()]]
+            return F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order(*args))], *[x["x"][n].alias(n) for n in columns], *own)
 
+        return m.let(rates, row)
 
-def best(pairs: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
-    """The candidate of each key with the least `order`: an aggregate, no sort."""
-    return pairs.groupBy(*keys).agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *columns)).alias("b")).select(*keys, *[f"b.{c}" for c in columns])
+    best = few.select(*keys, F.array_min(F.transform("few", scored)).alias("b"))
+    return best.select(*keys, *[f"b.{n}" for n in (*columns, "cer", "wer", "coverage", "confidence", "alignment")])
 
 
 def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead: int = 3, known: bool = False) -> DataFrame:
@@ -50,11 +90,9 @@ def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead
     Without a surah every verse of the corpus is a candidate, each different text once. `known`: none is without."""
     c = F.col
 
-    def score(pairs: DataFrame, keys: list[str]) -> DataFrame:
-        s = nearest(pairs, keys, ["ref_surah", "ayah"])
-        s = s.withColumns({"confidence": m.verse_confidence(c("cer"), c("coverage")), "alignment": m.verse_alignment(c("cer"), c("wer"), c("coverage"))})
-        b = best(s, keys, [c("cer"), -c("coverage"), -c("confidence"), c("ref_surah"), c("ayah")], ["ref_surah", "ayah", "cer", "wer", "coverage", "confidence", "alignment"])
-        return b.withColumnRenamed("ref_surah", "surah")
+    def score(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = lambda cer, wer, cov, x: [cer, -cov, -m.verse_confidence(cer, cov), x["surah"], x["ayah"]]
+        return nearest(rows, keys, order, ["surah", "ayah"], lambda cer, wer, cov, x: {"confidence": m.verse_confidence(cer, cov), "alignment": m.verse_alignment(cer, wer, cov)})
 
     cand = ref.select("surah", "ayah", "norm_text")
     near = score(band(spread(hyp, *keys), cand, "ayah", back, ahead), keys)
@@ -67,17 +105,20 @@ def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = kernels.nearest_of([v["norm_text"] for v in fixed])
         for b in batches:
-            rows = [(t, t, v["surah"], v["ayah"], v["norm_text"]) for t in b["said_text"] for v in map(fixed.__getitem__, of(t))]
-            yield pd.DataFrame(rows, columns=["said_text", "norm", "ref_surah", "ayah", "norm_text"])
+            near = [[{"surah": v["surah"], "ayah": v["ayah"], "norm_text": v["norm_text"]} for v in map(fixed.__getitem__, of(t))] for t in b["said_text"]]
+            yield pd.DataFrame({"said_text": b["said_text"], "norm": b["said_text"], "near": near})
 
     surah, ayah = (dict(cand.dtypes)[x] for x in ("surah", "ayah"))
-    far = score(texts.mapInPandas(find, f"said_text string, norm string, ref_surah {surah}, ayah {ayah}, norm_text string"), ["said_text"])
+    far = score(texts.mapInPandas(find, f"said_text string, norm string, near array<struct<surah: {surah}, ayah: {ayah}, norm_text: string>>"), ["said_text"])
     return near.unionByName(lost.join(far, "said_text").drop("said_text"))
 
 
 def sequences(hyp: DataFrame, spans: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:
-    """Best run of verses, with its first and last."""
-    c = F.col
-    s = nearest(band(spread(hyp, *keys), spans.select("surah", "start", "end", F.col("text").alias("norm_text")), "start", back, ahead), keys, ["start", "end"])
-    s = s.withColumns({"confidence": m.span_confidence(c("cer"), c("wer"), c("coverage"), c("end") - c("start") + 1), "alignment": m.span_alignment(c("cer"), c("wer"), c("coverage"))})
-    return best(s, keys, [c("cer"), -c("coverage"), -c("confidence"), c("start"), c("end")], ["start", "end", "cer", "wer", "coverage", "confidence", "alignment"])
+    """Best run of verses, with its first and last. Starts are those of the band, else the first 12 of the chapter."""
+    rows = band(spread(hyp, *keys), spans.select("surah", "start", "end", F.col("text").alias("norm_text")), "start", back, ahead, fallback="first")
+
+    def scores(cer: Column, wer: Column, cov: Column, x: Column) -> dict:
+        return {"confidence": m.span_confidence(cer, wer, cov, x["end"] - x["start"] + 1), "alignment": m.span_alignment(cer, wer, cov)}
+
+    order = lambda cer, wer, cov, x: [cer, -cov, -scores(cer, wer, cov, x)["confidence"], x["start"], x["end"]]
+    return nearest(rows, keys, order, ["start", "end"], scores)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasm import kernels
 from rasm.operators import corpus
-from rasm.session import broadcast_if_small, spread
+from rasm.session import broadcast_if_small, spread, written
 
 
 def bm25(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFrame:
@@ -23,7 +23,9 @@ def bm25(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFrame
     mean = ref.select(F.avg(F.size("tokens")).alias("mean"))
     weights = corpus.postings(ref).join(broadcast_if_small(corpus.term_stats(ref)), "term").crossJoin(F.broadcast(mean))
     weights = weights.select("term", "surah", "ayah", corpus.bm25(c("tf"), c("idf"), c("dl"), c("mean")).alias("w")).join(broadcast_if_small(docs), ["surah", "ayah"])
-    terms = queries.select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
+    weights = written(weights)  # once, and then of a known size
+    # spread by query once: the counts of words, the sums and the ranks all stay with their query
+    terms = queries.select(key, "words").repartition(key).select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
     score = terms.join(broadcast_if_small(weights), "term").groupBy(key, "surah", "ayah", "global_idx").agg(F.round(F.sum(c("times") * c("w")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "global_idx"))
     return score.withColumn("rank", rank).where(c("rank") <= k)
@@ -42,8 +44,8 @@ def ngram_candidates(queries: DataFrame, key: str, index: DataFrame, sizes: tupl
     c = F.col
     of = lambda n: F.transform(F.array_distinct(tx.ngrams(c("words"), n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
     grams = F.flatten(F.array(*map(of, sizes)))
-    q = queries.select(key, F.inline(grams))
-    hits = q.join(broadcast_if_small(index), ["n", "gram"]).groupBy(key, "global_idx").agg(F.sum("n").alias("hits"))
+    q = queries.select(key, "words").repartition(key).select(key, F.inline(grams))
+    hits = q.join(broadcast_if_small(written(index)), ["n", "gram"]).groupBy(key, "global_idx").agg(F.sum("n").alias("hits"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hits"), "global_idx"))
     return hits.withColumn("rank", rank).where(c("rank") <= k)
 

@@ -238,8 +238,8 @@ def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
     return spread(p, *_KEY).select(*_KEY, F.round(m.coverage(c("h"), c("r")), 6).alias("coverage"))
 
 
-_VOTE = lambda start: f"""hit as (select h.*, r.* exclude (surah) from hyp h join cand r on h.surah = r.surah and r.{start} between greatest(1, h.expected - 1) and h.expected + 3),
-both_ as (select * from hit union all select h.*, r.* exclude (surah) from hyp h join cand r on h.surah = r.surah where not exists (select 1 from hit t where t.session_id = h.session_id and t.chunk_index = h.chunk_index)),
+_VOTE = lambda start, first="": f"""hit as (select h.*, r.* exclude (surah) from hyp h join cand r on h.surah = r.surah and r.{start} between greatest(1, h.expected - 1) and h.expected + 3),
+both_ as (select * from hit union all select h.*, r.* exclude (surah) from hyp h join cand r on h.surah = r.surah where not exists (select 1 from hit t where t.session_id = h.session_id and t.chunk_index = h.chunk_index) {first}),
 tok as (select *, {S.tokens('norm')} as ht, {S.tokens('norm_text')} as rt from both_),
 met as (select *, {S.cer('norm', 'norm_text')} as cer, {S.wer('ht', 'rt')} as wer, {S.coverage('ht', 'rt')} as cov from tok)"""
 _ONE = f"""with {S.ONCE}, {S.REF}, {S.HYP}, cand as (select surah, ayah, norm_text from ref), {_VOTE('ayah')},
@@ -253,12 +253,12 @@ def band_match_best(spark: SparkSession, d: str) -> DataFrame:
     return best.select(*_KEY, "ayah", *[F.round(x, 6).alias(x) for x in ("cer", "wer", "coverage", "confidence", "alignment")])
 
 
-@query(f"""with {S.ONCE}, {S.REF}, {S.HYP}, {_SPANS.format(last=2)}, cand as (select surah, "start", "end", text as norm_text from spans), {_VOTE('"start"')},
+@query(f"""with {S.ONCE}, {S.REF}, {S.HYP}, {_SPANS.format(last=11)}, cand as (select surah, "start", "end", text as norm_text, dense_rank() over (partition by surah order by "start") as place from spans), {_VOTE('"start"', 'and r.place <= 12')},
 sc as (select *, {S.clamp('0.45 * (1 - cer) + 0.20 * (1 - wer) + 0.30 * cov + least(0.08, 0.01 * ("end" - "start" + 1))')} as conf, {S.clamp('0.40 * (1 - cer) + 0.30 * (1 - wer) + 0.30 * cov')} as ali from met)
 select session_id, chunk_index, "start", "end", round(cer, 6) as cer, round(wer, 6) as wer, round(cov, 6) as coverage, round(conf, 6) as confidence, round(ali, 6) as alignment
 from sc qualify row_number() over (partition by session_id, chunk_index order by cer, cov desc, conf desc, "start", "end") = 1""")
 def sequence_match_best(spark: SparkSession, d: str) -> DataFrame:
-    best = match.sequences(_hyp(spark, d), corpus.spans(_ref(spark, d), 3), _KEY)
+    best = match.sequences(_hyp(spark, d), corpus.spans(_ref(spark, d), 12), _KEY)
     return best.select(*_KEY, "start", "end", *[F.round(x, 6).alias(x) for x in ("cer", "wer", "coverage", "confidence", "alignment")])
 
 
@@ -674,7 +674,7 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def guard_preserve(spark: SparkSession, d: str) -> DataFrame:
-    return guard.guard(_raw(spark, d), _ref(spark, d), corpus.spans(_ref(spark, d), 3), _KEY)
+    return guard.guard(_raw(spark, d), _ref(spark, d), corpus.spans(_ref(spark, d), 12), _KEY)
 
 
 @query()

@@ -34,9 +34,9 @@ def cer(h: str, r: str) -> str:
 
 
 def token_edits(h: str, r: str) -> str:
-    """h, r: arrays. Words become ASCII characters by their place, of which a pair may have 94."""
-    words = f"list_distinct(list_concat({h}, {r}))"
-    code = lambda t: f"array_to_string(list_transform({t}, lambda w: chr(cast(32 + list_position({words}, w) as int))), '')"
+    """h, r: arrays. Words become ASCII characters by their place among the words of h, of which there may be 94; words that h has not
+    are one character, as they equal none of it."""
+    code = lambda t: f"array_to_string(list_transform({t}, lambda w: chr(cast(32 + coalesce(list_position(list_distinct({h}), w), 0) as int))), '')"
     return f"levenshtein({code(h)}, {code(r)})"
 
 
