@@ -34,6 +34,8 @@ PHRASE_FIXES = [
     ("نست عين", "نستعين"), ("المحت كين", "المستقيم"), ("صرا ط", "صراط"), ("سرا ط", "صراط"), ("يو م", "يوم"),
 ]
 TOKEN_FIXES = {"الرحي": "الرحيم", "الرحين": "الرحيم", "المستقي": "المستقيم", "صاط": "صراط", "هدنا": "اهدنا", "نستعي": "نستعين"}
+# Further replacements of the aggressive mode, in this order.
+AGGRESSIVE_FIXES = [("إهدنا", "اهدنا"), ("الضالن", "الضالين"), ("الالمين", "العالمين")]
 BASMALA = ("بسم", "الله", "الرحمن", "الرحيم")
 
 
@@ -99,18 +101,27 @@ def ngrams(t: Column, n: int) -> Column:
     return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(grams)
 
 
-def fix_rules(c: Column) -> Column:
-    """Normalized text with repeated words dropped, known phrases and then known words put right."""
+def fix_rules(c: Column, mode: str = "balanced") -> Column:
+    """Normalized text with repeated words dropped; but in safe mode known phrases and then known words put right, and in aggressive
+    mode three more phrases."""
     text = F.array_join(collapse_repeats(tokens(normalize(c))), " ")
-    text = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), PHRASE_FIXES, text)
+    if mode == "safe":
+        return text
+    put = lambda x, fixes: reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), fixes, x)
     known = F.create_map(*[F.lit(x) for p in TOKEN_FIXES.items() for x in p])
-    return F.array_join(F.transform(tokens(text), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+    text = F.array_join(F.transform(tokens(put(text, PHRASE_FIXES)), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+    return put(text, AGGRESSIVE_FIXES) if mode == "aggressive" else text
 
 
 def has_basmala(t: Column) -> Column:
     return F.coalesce(F.slice(t, 1, 4) == F.array(*map(F.lit, BASMALA)), F.lit(False))
 
 
+def without_basmala(t: Column, surah: Column, ayah: Column) -> Column:
+    """Words without a leading basmala, where it is no verse of its own: in another chapter than the first, at verse 1 or unknown."""
+    return F.when(F.coalesce((surah != 1) & (ayah.isNull() | (ayah == 1)), F.lit(False)) & has_basmala(t), F.slice(t, 5, F.greatest(F.lit(1), F.size(t)))).otherwise(t)
+
+
 def longest_run(t: Column) -> Column:
     """Length of the longest run of equal words, 0 of none."""
     start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("m"))

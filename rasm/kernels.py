@@ -119,7 +119,7 @@ def blocks(a: Sequence[Hashable], b: Sequence[Hashable], autojunk: bool = True)
 
 def spoken_reference(hyp: list[str], ref: list[str]) -> list[str]:
     """ref up to the last word that an equal or replaced block touches."""
-    last = max([j2 for tag, _, _, _, j2 in blocks(hyp, ref, autojunk=False) if tag in ("equal", "replace")], default=0)
+    last = max([i2 for tag, _, i2, _, _ in blocks(ref, hyp, autojunk=False) if tag in ("equal", "replace")], default=0)
     return ref[:last]
 
 

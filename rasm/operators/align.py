@@ -179,3 +179,14 @@ def merged(df: DataFrame, first: str, second: str, reference: str, keys: list[st
 def split_known(texts: Column, vocabulary: set[str]) -> Column:
     """Word boundaries put right with a bounded vocabulary."""
     return _each(lambda t: " ".join(k.recover_boundaries(t.split(), vocabulary)), "string")(texts)
+
+
+def split_known_of(texts: Column, surah: Column, vocabularies: dict[int, set[str]]) -> Column:
+    """Word boundaries put right with the words of one chapter, or of all where surah is null; an unknown chapter changes nothing."""
+    everything = set().union(*vocabularies.values())
+
+    def run(text: str, of: int) -> str:
+        words = everything if of < 0 else vocabularies.get(of, set())
+        return " ".join(k.recover_boundaries(text.split(), words)) if words else text
+
+    return _each(run, "string")(texts, F.coalesce(surah.cast("int"), F.lit(-1)))

@@ -9,7 +9,7 @@ from rasm import kernels as k
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
 from rasm.operators import align, match
-from rasm.session import broadcast_if_small, spread
+from rasm.session import bounded, broadcast_if_small, spread, written
 
 # The phrases that may come before a recitation.
 TAAWWUZ = "أعوذ بالله من الشيطان الرجيم"
@@ -37,26 +37,37 @@ def strip_invocations(text: Column, how: str = "fuzzy") -> Column:
     return align._each(run, "string")(norm)
 
 
-def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[str], mode: str = "balanced", preserve: bool = True, replace: bool = True, back: int = 1, ahead: int = 3) -> DataFrame:
+def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[str], mode: str = "balanced", preserve: bool = True, auto: bool = False, back: int = 1, ahead: int = 3, basmala: bool = True, lock: str | None = None) -> DataFrame:
     """keys and `raw, rules, surah, first_ayah, last_ayah, is_sequence, cer, wer, coverage, confidence, alignment, level, verdict, correction,
-    corrected` for hypotheses (keys, surah, expected, raw).
-
-    A run of verses (`spans`) wins if its alignment is no worse. The score then counts the reference only as far as it was said.
-    Thresholds go by the number of raw words. safe changes nothing; preserve puts single words right; else balanced and aggressive
-    replace by the verse or put words right. Where the raw text is nearer to the verse than the corrected one, it is kept.
-    Without a surah the verse is looked for in the whole corpus, and a run nowhere; `surah` is the one found.
+    corrected` for hypotheses (keys, surah, expected, raw, and the column `lock` if named).
+
+    `lock` holds the only chapter whose verses and words count, where it is not null. The rules of the mode are applied, then word
+    boundaries put right with the words of the corpus (of the locked chapter). With `basmala` one in front of a chapter's first verse
+    is left out. A run of verses (`spans`) wins if its alignment is no worse. The score then counts the reference only as far as it was
+    said. Thresholds go by the number of raw words. safe changes no word; preserve puts single words right; else balanced and aggressive
+    replace by the verse, which takes `auto` and 3 words or more, or put words right; safe with auto is balanced. Where the raw text is
+    nearer to the verse than the corrected one, it is kept.
+    Without a surah the verse is looked for in the whole corpus (the locked chapter), and a run nowhere; `surah` is the one found.
     Without a candidate the scores are 1, 1, 0, 0, 0 and the verdict is error; a null raw text is ''."""
     if mode not in ("safe", "balanced", "aggressive"):
         raise ValueError(f"no such mode: {mode}")
+    mode = "balanced" if auto and mode == "safe" else mode
     c = F.col
-    base = hyp.select(*keys, "surah", "expected", F.coalesce("raw", F.lit("")).alias("raw"))
-    rules = tx.normalize(c("raw")) if mode == "safe" else tx.fix_rules(c("raw"))
-    base = base.withColumn("rules", rules).withColumn("norm", tx.normalize(c("rules")))
-    own = base.select(*keys, "surah", "expected", "norm")
+    base = hyp.select(*keys, "surah", "expected", F.coalesce("raw", F.lit("")).alias("raw"), (c(lock) if lock else F.lit(None)).cast("int").alias("lock"))
+    words: dict[int, set[str]] = {}
+    for r in bounded(ref.select("surah", F.explode("tokens").alias("w")).distinct()):  # the words of the fixed corpus
+        words.setdefault(r["surah"], set()).add(r["w"])
+    base = spread(base, *keys).withColumn("rules", align.split_known_of(tx.fix_rules(c("raw"), mode), c("lock"), words))
+    stripped = F.array_join(tx.without_basmala(tx.tokens(c("rules")), c("surah"), c("expected")), " ") if basmala else c("rules")
+    base = base.withColumn("working", stripped).withColumn("norm", tx.normalize(c("working")))
+    # with a lock only its chapter has candidates: another one asked for has none (-1), and none asked for is all of it
+    base = base.withColumn("at", F.when(c("lock").isNull() | (c("surah") == c("lock")), c("expected"))).withColumn("in", F.when(c("lock").isNull(), c("surah")).when(F.coalesce(c("surah"), c("lock")) == c("lock"), c("lock")).otherwise(-1))
+    base = written(base)
+    own = base.select(*keys, c("in").alias("surah"), c("at").alias("expected"), "norm")
     score = ["cer", "wer", "coverage", "confidence", "alignment"]
     one = match.verses(own, ref, keys, back, ahead).select(*keys, c("surah").alias("found"), c("ayah").alias("first_ayah"), c("ayah").alias("last_ayah"), F.lit(0).alias("seq"), *score)
     if spans is not None:
-        runs = match.sequences(own, spans, keys, back, ahead)
+        runs = match.sequences(base.where("surah is not null").select(*keys, c("in").alias("surah"), c("at").alias("expected"), "norm"), spans, keys, back, ahead)
         one = one.unionByName(runs.select(*keys, F.lit(None).cast("int").alias("found"), c("start").alias("first_ayah"), c("end").alias("last_ayah"), F.lit(1).alias("seq"), *score))
         one = one.groupBy(*keys).agg(F.max(F.struct("alignment", "seq", *[x for x in one.columns if x not in (*keys, "alignment", "seq")])).alias("b")).select(*keys, "b.*")
     texts = ref.select("surah", F.struct("surah", c("ayah").alias("a"), c("ayah").alias("z")).alias("k"), "norm_text")
@@ -66,7 +77,7 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
     if spans is not None:  # without a surah a run of score 0 stands against the verse, and wins at 0
         none = c("surah").isNull() & (c("alignment") <= 0)
         g = g.select(*base.columns, *[F.when(~F.coalesce(none, F.lit(False)), c(x)).alias(x) for x in one.columns if x not in keys])
-    g = g.withColumn("surah", F.coalesce("surah", "found")).withColumn("k", F.struct("surah", c("first_ayah").alias("a"), c("last_ayah").alias("z")))
+    g = g.withColumn("surah", F.when(c("in") == -1, c("surah")).otherwise(F.coalesce("surah", "found"))).withColumn("k", F.struct("surah", c("first_ayah").alias("a"), c("last_ayah").alias("z")))
     g = spread(g.join(broadcast_if_small(texts.select("k", c("norm_text").alias("verse"))), "k", "left"), *keys)
     said = align._each(lambda h, r: " ".join(k.spoken_reference(h.split(), r.split())), "string")(c("norm"), c("verse"))
     g = g.withColumn("said", said).withColumn("said", F.when((c("said") != "") & (F.length("said") < F.length("verse")), c("said")))
@@ -76,18 +87,18 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
     n = c("last_ayah") - c("first_ayah") + 1
     conf = F.when(c("seq") == 1, m.span_confidence(c("cer"), c("wer"), c("coverage"), n)).otherwise(m.verse_confidence(c("cer"), c("coverage")))
     g = g.withColumn("confidence", F.coalesce(F.when(c("said").isNull(), c("confidence")).otherwise(conf), F.lit(0.0)))
-    words = F.size(tx.tokens(tx.display(c("raw"))))
+    words = F.size(tx.tokens(tx.normalize(c("raw"))))
     g = g.withColumn("level", F.when(c("verse").isNull(), "low").otherwise(m.level(c("confidence"), words)))
     sure, fair = c("level") == "high", c("level") != "low"
     single = F.array_join(m.constrained_words(h, tx.tokens(c("verse")), F.when(sure, 0.44).otherwise(0.33)), " ")
     partly = align._each(lambda a, b: " ".join(k.fix_partly(a.split(), b.split())), "string")(c("norm"), c("verse"))
-    whole = (sure if mode == "balanced" else fair) & F.lit(replace)
+    whole = (sure if mode == "balanced" else fair) & F.lit(auto) & (F.size(tx.tokens(tx.normalize(c("raw")))) >= 3)
     if mode == "safe":
-        g = g.withColumns({"corrected": c("rules"), "correction": F.lit("safe")})
+        g = g.withColumns({"corrected": c("working"), "correction": F.lit("safe")})
     elif preserve:
-        g = g.withColumns({"corrected": F.when(fair, single).otherwise(c("rules")), "correction": F.when(fair, "constrained_word_correction").otherwise(mode)})
+        g = g.withColumns({"corrected": F.when(fair, single).otherwise(c("working")), "correction": F.when(fair, "constrained_word_correction").otherwise(mode)})
     else:
-        g = g.withColumns({"corrected": F.when(whole, c("verse")).when(fair, partly).otherwise(c("rules")), "correction": F.when(whole, "full_ayah_replacement").when(fair, "partial_word_correction").otherwise(mode)})
+        g = g.withColumns({"corrected": F.when(whole, c("verse")).when(fair, partly).otherwise(c("working")), "correction": F.when(whole, "full_ayah_replacement").when(fair, "partial_word_correction").otherwise(mode)})
     if mode != "safe":
         nearer = m.cer(tx.normalize(c("raw")), c("verse")) <= m.cer(tx.normalize(c("corrected")), c("verse")) - 0.01
         g = g.withColumns({"corrected": F.when(nearer, tx.display(c("raw"))).otherwise(c("corrected")), "correction": F.when(nearer, "raw_preferred").otherwise(c("correction"))})

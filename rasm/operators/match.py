@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasm import kernels
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.session import broadcast_if_small, spread, written
+from rasm.session import bounded, broadcast_if_small, spread, written
 
 
 def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int, fallback: str | None = "all", first: int = 12) -> DataFrame:
@@ -100,7 +100,7 @@ def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead
         return near
     lost = hyp.where("surah is null").select(*keys, c("norm").alias("said_text"))
     texts = spread(lost.select("said_text").distinct(), "said_text")
-    fixed = cand.where("norm_text is not null").select("surah", "ayah", "norm_text").collect()  # one short text per verse of the fixed corpus
+    fixed = bounded(cand.where("norm_text is not null").select("surah", "ayah", "norm_text"))  # one short text per verse of the fixed corpus
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = kernels.nearest_of([v["norm_text"] for v in fixed])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasm import kernels
 from rasm.operators import corpus
-from rasm.session import broadcast_if_small, spread, written
+from rasm.session import bounded, broadcast_if_small, spread, written
 
 
 def bm25(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFrame:
@@ -89,7 +89,7 @@ def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step:
     index = corpus.ngram_index(ref).where(F.size(F.split("gram", " ")) == c("n"))  # texts shorter than n are no n-gram here
     cand = ngram_candidates(texts, "window", index).groupBy("window").agg(F.sort_array(F.collect_list(F.struct("rank", "global_idx"))).alias("hits"))  # at most 30
     each = spread(texts.select("window").join(cand, "window", "left").select("window", c("hits.global_idx").alias("hits")), "window")
-    fixed = ref.select("global_idx", "surah", "norm_text").orderBy("global_idx").collect()  # one short text per verse of the fixed corpus
+    fixed = bounded(ref.select("global_idx", "surah", "norm_text").orderBy("global_idx"))  # one short text per verse of the fixed corpus
     order, verses = [r["surah"] for r in fixed], [r["norm_text"] for r in fixed]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from rasm.functions import text as tx
 from rasm.operators import align, corpus, evaluate, guard, match, retrieve, sessions, windows
 from rasm.operators.intervals import periods_and_gaps
 from rasm.plans import sql as S
-from rasm.session import spread, table
+from rasm.session import bounded, broadcast_if_small, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -289,7 +289,7 @@ def constrained_correction(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {S.ONCE}, {S.REF}, {S.HYP} select session_id, chunk_index, hyp.surah, expected, norm_text as expected_text from hyp left join ref on hyp.surah = ref.surah and hyp.expected = ref.ayah""")
 def lookup_expected(spark: SparkSession, d: str) -> DataFrame:
     ref = _ref(spark, d).select("surah", c("ayah").alias("expected"), c("norm_text").alias("expected_text"))
-    return _hyp(spark, d).drop("norm").join(F.broadcast(ref), ["surah", "expected"], "left").select(*_KEY, "surah", "expected", "expected_text")
+    return _hyp(spark, d).drop("norm").join(broadcast_if_small(ref), ["surah", "expected"], "left").select(*_KEY, "surah", "expected", "expected_text")
 
 
 @query(f"""with {S.ONCE}, {S.REF}, p as (select session_id, chunk_index, {S.tokens(S.normalize('r.raw'))} as t, o.tokens as ref from once join ref o on r.id = o.surah || ':' || o.ayah)
@@ -297,7 +297,7 @@ select session_id, chunk_index, array_to_string(case when len(t) > 0 and length(
   and len(list_filter(ref, lambda x: starts_with(x, t[-1]) and length(x) > length(t[-1]))) > 0 then t[1:len(t) - 1] else t end, ' ') as kept from p""")
 def drop_partial_tail(spark: SparkSession, d: str) -> DataFrame:
     ref = _ref(spark, d).select(F.concat_ws(":", "surah", "ayah").alias("id"), c("tokens").alias("ref"))
-    p = _once(spark, d, "raw_asr", "matched_surah_ayah_id").join(F.broadcast(ref), c("matched_surah_ayah_id") == c("id"))
+    p = _once(spark, d, "raw_asr", "matched_surah_ayah_id").join(broadcast_if_small(ref), c("matched_surah_ayah_id") == c("id"))
     return p.select(*_KEY, F.array_join(tx.drop_partial_tail(tx.tokens(tx.normalize(c("raw_asr"))), c("ref")), " ").alias("kept"))
 
 
@@ -498,7 +498,7 @@ def reader_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_EVALS} select eval_id, r.reciter as reciter from ev where r.reciter in (select reader from readers)")
 def known_readers(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "readers").select(c("reader").alias("reciter"))
-    return _evals(spark, d, "reciter").join(F.broadcast(known), "reciter", "left_semi").select("eval_id", "reciter")
+    return _evals(spark, d, "reciter").join(broadcast_if_small(known), "reciter", "left_semi").select("eval_id", "reciter")
 
 
 # Marks
@@ -579,7 +579,7 @@ def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     ref = _ref(spark, d).select(F.concat_ws(":", "surah", "ayah").alias("id"), c("norm_text").alias("ref"), c("raw_text").alias("ref_raw"), c("tokens").alias("ref_words"))
     rows = _once(spark, d, "raw_asr", "corrected_text", "matched_surah_ayah_id", "confidence")
-    joined = rows.join(F.broadcast(ref), c("matched_surah_ayah_id") == c("id"))
+    joined = rows.join(broadcast_if_small(ref), c("matched_surah_ayah_id") == c("id"))
     return spread(joined.withColumns({"a": tx.normalize(c("raw_asr")), "b": tx.normalize(c("corrected_text"))}), *_KEY)
 
 
@@ -610,7 +610,7 @@ def diacritic_check(spark: SparkSession, d: str) -> DataFrame:
 def _skeletons(spark: SparkSession, d: str) -> set[str]:
     """Skeletons of the fixed corpus's words: as many as it has, some thousands."""
     words = _ref(spark, d).select(F.explode(F.split(tx.display(c("raw_text")), " ")).alias("w"))
-    return {r["s"] for r in words.select(tx.smart_word(c("w")).alias("s")).distinct().collect()}
+    return {r["s"] for r in bounded(words.select(tx.smart_word(c("w")).alias("s")).distinct())}
 
 
 @query()
@@ -621,7 +621,7 @@ def merge_engines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def boundary_recovery(spark: SparkSession, d: str) -> DataFrame:
-    words = {r["word"] for r in corpus.vocabulary(_ref(spark, d)).select("word").distinct().collect()}  # of the fixed corpus
+    words = {r["word"] for r in bounded(corpus.vocabulary(_ref(spark, d)).select("word").distinct())}  # of the fixed corpus
     return spread(_once(spark, d, "raw_asr"), *_KEY).select(*_KEY, align.split_known(tx.normalize(c("raw_asr")), words).alias("text"))
 
 
@@ -679,7 +679,7 @@ def guard_preserve(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def guard_replace(spark: SparkSession, d: str) -> DataFrame:
-    return guard.guard(_raw(spark, d), _ref(spark, d), None, _KEY, "aggressive", preserve=False)
+    return guard.guard(_raw(spark, d), _ref(spark, d), None, _KEY, "aggressive", preserve=False, auto=True)
 
 
 @query()

@@ -50,6 +50,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size <= limit else df
 
 
+def bounded(df: DataFrame, most: int = 1 << 20) -> list:
+    """The rows of a table that is small by its nature, at the driver; an error if it has more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: this table is not taken to the driver")
+    return rows
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over spark.sql.shuffle.partitions tasks: small rows that cost much Python time each must not be put together by size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
