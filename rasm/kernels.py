@@ -270,55 +270,6 @@ def transition(previous: int, current: int, surah: list[int], locked: bool) -> f
     return {0: 0.5, 1: 1.0, 2: -0.5, 3: -1.0}.get(current - previous, -5.0)
 
 
-def nearest_of(verses: list[str]) -> Callable[[str], list[int]]:
-    """Gives the places of the verses with the least CER against a text, all ties.
-
-    Distances are bit-parallel, taken in the order of a bound by the letters both have, until the bound is above the least."""
-    letter = {x: i for i, x in enumerate(sorted(set("".join(verses))))}
-    bags = np.zeros((len(verses), len(letter)), np.int32)
-    for i, v in enumerate(verses):
-        for x in v:
-            bags[i, letter[x]] += 1
-    sizes = np.array([len(v) for v in verses], np.int64)
-
-    def find(text: str) -> list[int]:
-        m = len(text)
-        at: dict[str, int] = {}
-        bag = np.zeros(len(letter), np.int32)
-        for i, x in enumerate(text):
-            at[x] = at.get(x, 0) | 1 << i
-            if x in letter:
-                bag[letter[x]] += 1
-        full, top = (1 << m) - 1, 1 << m >> 1
-
-        def distance(b: str) -> int:
-            if not m:
-                return len(b)
-            up, down, d = full, 0, m
-            for x in b:
-                eq = at.get(x, 0)
-                xv, xh = eq | down, ((eq & up) + up ^ up) | eq
-                ph, mh = down | ~(xh | up) & full, up & xh
-                d += (ph & top > 0) - (mh & top > 0)
-                ph = ph << 1 | 1
-                up, down = (mh << 1 | ~(xv | ph)) & full, ph & xv & full
-            return d
-
-        bound = np.where(sizes > 0, (np.maximum(sizes, m) - np.minimum(bags, bag).sum(1)) / np.maximum(sizes, 1), 1.0)
-        least, out = float("inf"), []
-        for j in np.argsort(bound, kind="stable"):
-            if bound[j] > least:
-                break
-            cer = distance(verses[j]) / len(verses[j]) if verses[j] else 1.0
-            if cer < least:
-                least, out = cer, []
-            if cer == least:
-                out.append(int(j))
-        return out
-
-    return find
-
-
 def emitter(verses: list[str], most: int = 20) -> Callable[[list[str], list[int] | None], list[tuple[int, float]]]:
     """Gives the best `most` verses (place, score) of a window of words: 0.6 x share of its different 1-, 2- and 3-grams + 0.4 x ratio.
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasm import kernels
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.session import bounded, broadcast_if_small, spread, written
+from rasm.session import broadcast_if_small, spread, written
 
 
 def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int, fallback: str | None = "all", first: int = 12) -> DataFrame:
@@ -98,19 +96,12 @@ def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead
     near = score(band(spread(hyp, *keys), cand, "ayah", back, ahead), keys)
     if known:
         return near
-    lost = hyp.where("surah is null").select(*keys, c("norm").alias("said_text"))
-    texts = spread(lost.select("said_text").distinct(), "said_text")
-    fixed = bounded(cand.where("norm_text is not null").select("surah", "ayah", "norm_text"))  # one short text per verse of the fixed corpus
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = kernels.nearest_of([v["norm_text"] for v in fixed])
-        for b in batches:
-            near = [[{"surah": v["surah"], "ayah": v["ayah"], "norm_text": v["norm_text"]} for v in map(fixed.__getitem__, of(t))] for t in b["said_text"]]
-            yield pd.DataFrame({"said_text": b["said_text"], "norm": b["said_text"], "near": near})
-
-    surah, ayah = (dict(cand.dtypes)[x] for x in ("surah", "ayah"))
-    far = score(texts.mapInPandas(find, f"said_text string, norm string, near array<struct<surah: {surah}, ayah: {ayah}, norm_text: string>>"), ["said_text"])
-    return near.unionByName(lost.join(far, "said_text").drop("said_text"))
+    lost = hyp.where("surah is null").select(*keys, c("norm").alias("said"))
+    # each different text once, against one array of the small and fixed corpus
+    whole = cand.where("norm_text is not null").groupBy(F.lit(0).alias("one")).agg(F.sort_array(F.collect_list(F.struct("surah", "ayah", "norm_text"))).alias("near"))
+    texts = spread(lost.select("said").distinct()).withColumns({"norm": c("said"), "zero": F.lit(0)})
+    far = score(texts.join(broadcast_if_small(written(whole)), c("zero") == c("one")), ["said"])
+    return near.unionByName(lost.join(far, "said").drop("said"))
 
 
 def sequences(hyp: DataFrame, spans: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:

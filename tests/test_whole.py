@@ -80,13 +80,17 @@ def test_guard_without_a_chapter(spark):
         assert (got[1]["surah"], got[1]["first_ayah"]) == ((1, 1) if spans is None else (None, None)) and got[1]["verdict"] == "error"
 
 
-def test_bounds_lose_no_nearest_verse():
+def test_bounds_lose_no_nearest_verse(spark):
     import random
 
+    from pyspark.sql import functions as F
+
     rnd = random.Random(2)
     verses = ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, 90))) for _ in range(60)]
-    of = k.nearest_of(verses)
-    for n in [0, 1, 5, 40, 63, 64, 65, 120]:
-        t = "".join(rnd.choice("abcdxz ") for _ in range(n))
-        cer = [k.levenshtein(t, v) / len(v) if v else 1.0 for v in verses]
-        assert sorted(of(t)) == [i for i, x in enumerate(cer) if x == min(cer)]
+    texts = ["".join(rnd.choice("abcdxz ") for _ in range(n)) for n in [0, 1, 5, 40, 63, 64, 65, 120]]
+    near = [{"i": i, "norm_text": v} for i, v in enumerate(verses)]
+    df = spark.createDataFrame([(t, near) for t in texts], "norm string, near array<struct<i: int, norm_text: string>>")
+    for row in df.select("norm", match.closest(F.col("norm"), F.col("near")).alias("few")).collect():
+        cer = [k.levenshtein(row["norm"], v) / len(v) if v else 1.0 for v in verses]
+        assert [x["x"]["i"] for x in row["few"]] == [i for i, x in enumerate(cer) if x == min(cer)]
+        assert {x["cer"] for x in row["few"]} == {min(cer)}
