@@ -49,6 +49,24 @@ def wrong_words(statuses: Column, words: Column) -> Column:
     return F.from_json(f(statuses, words), "array<struct<phrase: string, first: int, last: int>>")
 
 
+def word_errors(hyp: Column, ref: Column) -> Column:
+    """What differs between two texts by matching runs: (kind, expected, got) with a word missing or extra, or a phrase substituted."""
+
+    def run(h: str, r: str) -> str:
+        a, b = r.split(), h.split()
+        out = []
+        for tag, i1, i2, j1, j2 in k.blocks(a, b):
+            if tag == "delete":
+                out += [{"kind": "missing", "expected": w, "got": None} for w in a[i1:i2]]
+            elif tag == "insert":
+                out += [{"kind": "extra", "expected": None, "got": w} for w in b[j1:j2]]
+            elif tag == "replace":
+                out.append({"kind": "substitution", "expected": " ".join(a[i1:i2]), "got": " ".join(b[j1:j2])})
+        return json.dumps(out)
+
+    return F.from_json(_each(run, "string")(hyp, ref), "array<struct<kind: string, expected: string, got: string>>")
+
+
 def minor_fixes(words: Column) -> Column:
     """The text with minor slips put right: the reference's word where the status is minor, else the word itself."""
     kept = F.filter(words, lambda x: x["word"].isNotNull())

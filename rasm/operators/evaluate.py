@@ -83,6 +83,13 @@ def vote(df: DataFrame, key: str, value: str, at: str) -> DataFrame:
     return per.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "first", value)).alias("b")).select(key, f"b.{value}", (-F.col("b.m")).alias("n"))
 
 
+def detected(df: DataFrame, key: str, order: str, surah: Column, state: Column, locked: Column) -> DataFrame:
+    """`key, surah`: the chapter that a session locked last, else the one most of its rows have (the first seen of equals)."""
+    rows = df.select(key, order, surah.alias("surah"), F.when(state == "ACTIVE", locked).alias("locked"))
+    last = rows.where("locked is not null").groupBy(key).agg(F.max_by("locked", order).alias("locked"))
+    return vote(rows, key, "surah", order).join(last, key, "full").select(key, F.coalesce("locked", "surah").alias("surah"))
+
+
 def latest(df: DataFrame, keys: list[str], arrived: str, columns: list[str], first: bool = True) -> DataFrame:
     """One row per key: the earliest (or latest) to arrive."""
     pick = F.min_by if first else F.max_by

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasm import kernels as k
+from rasm.functions import columns
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
 from rasm.operators import align, match
@@ -113,6 +114,42 @@ def position(df: DataFrame, expected: str, matched: str) -> DataFrame:
     return df.withColumns({"at": F.greatest(c(expected), c(matched)), "skipped": F.coalesce(c(matched) - c(expected) >= 2, F.lit(False))})
 
 
+def forced(df: DataFrame, ref: DataFrame) -> DataFrame:
+    """Rows (surah, matched, due) with `matched` put to the verse that is due where it is behind it or two or more ahead, `wrong` for a
+    jump ahead, and `text` of the verse put in. Where the corpus has no such verse nothing changes."""
+    c = F.col
+    texts = ref.select(c("surah").alias("s"), c("ayah").alias("a"), c("norm_text").alias("due_text"))
+    j = df.join(broadcast_if_small(texts), (c("surah") == c("s")) & (c("due") == c("a")), "left").drop("s", "a")
+    known = c("due_text").isNotNull()
+    jump = F.coalesce(known & (c("matched") >= c("due") + 2), F.lit(False))
+    put = F.coalesce(known & (c("matched") < c("due")), F.lit(False)) | jump
+    return j.withColumns({"matched": F.when(put, c("due")).otherwise(c("matched")), "wrong": jump, "text": F.when(put, c("due_text"))}).drop("due_text")
+
+
+def from_api(df: DataFrame, surah: str) -> DataFrame:
+    """Results of the interface in the shape of the guard's: texts never null, a key where chapter and verse are known, no coverage."""
+    c = F.col
+    text = lambda n: F.coalesce(n, F.lit(""))
+    shown = {"raw_asr": text("raw_asr"), "corrected_text": text("corrected_text"), "display_text": text("corrected_text"), "verdict": F.coalesce("verdict", F.lit("unknown")), "coverage": F.lit(None).cast("double")}
+    return df.withColumns({**shown, "matched_key": columns.verse_key(c(surah), c("matched_ayah"))})
+
+
+def dual(df: DataFrame, ref: DataFrame, keys: list[str], mode: str = "balanced") -> DataFrame:
+    """keys and verse, rates, verdict and corrected text of two recognizers' texts (`first`, `second`; with surah and expected), and
+    whether texts, verses and verdicts are the same. Without a chapter or an expected verse only the rules are applied (rule_only)."""
+    c = F.col
+    parts = []
+    for side in ("first", "second"):
+        rows = df.select(*keys, "surah", "expected", c(side).alias("raw"))
+        known = c("surah").isNotNull() & c("expected").isNotNull()
+        g = guard(rows.where(known), ref, None, keys, mode).select(*keys, c("first_ayah").alias("ayah"), "cer", "wer", "verdict", "corrected")
+        bare = rows.where(~known).select(*keys, F.lit(None).cast("int").alias("ayah"), F.lit(None).cast("double").alias("cer"), F.lit(None).cast("double").alias("wer"), F.lit("rule_only").alias("verdict"), tx.fix_rules(c("raw"), mode).alias("corrected"))
+        parts.append(g.unionByName(bare).withColumnsRenamed({x: f"{side}_{x}" for x in ("ayah", "cer", "wer", "verdict", "corrected")}))
+    both = parts[0].join(parts[1], keys)
+    same = {f"same_{x}": c(f"first_{x}").eqNullSafe(c(f"second_{x}")) for x in ("ayah", "verdict", "corrected")}
+    return both.withColumns(same)
+
+
 def corrupted(verses: DataFrame, seed: int = 42, words: float = 0.15, vowels: float = 0.25) -> DataFrame:
     """`surah, ayah, word_index, predicted, reference, is_last, word_label, vowel_label`: labelled examples by hash, the same each time.
 

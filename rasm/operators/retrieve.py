@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasm import kernels
@@ -31,6 +31,37 @@ def bm25(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFrame
     return score.withColumn("rank", rank).where(c("rank") <= k)
 
 
+def top_chapters(top: DataFrame, key: str, k: int) -> DataFrame:
+    """`key, surah, score, rank`: the k (one at least) best chapters of each query by their best verse, ties by number."""
+    c = F.col
+    best = top.groupBy(key, "surah").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "surah"))
+    return best.withColumn("rank", rank).where(c("rank") <= max(1, k))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Indel ratio of two texts, 0 to 100; null of a null."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else 0.0 if bool(p) != bool(q) else kernels.indel_ratio(p, q) for p, q in zip(x, y)], dtype=float)
+
+    return run(a, b)
+
+
+def closest(hyp: DataFrame, ref: DataFrame, keys: list[str], k: int, back: int = 5, ahead: int = 10) -> DataFrame:
+    """`keys, rank, surah, ayah, ratio`: the k verses of the band around the one expected with the best ratio, ties in order.
+
+    Without a chapter, or with an empty band, there are none; neither are there of an empty text."""
+    from rasm.operators import match
+
+    c = F.col
+    rows = match.band(hyp.where("norm <> ''"), ref.select("surah", "ayah", "norm_text"), "ayah", back, ahead, fallback=None)
+    pairs = spread(rows.select(*keys, "norm", F.inline("near")), *keys).withColumn("ratio", F.round(likeness(c("norm"), c("norm_text")), 6))
+    best = pairs.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-c("ratio")).alias("m"), "surah", "ayah"))), 1, k).alias("b"))  # of one band
+    return best.select(*keys, F.posexplode("b").alias("i", "x")).select(*keys, (c("i") + 1).alias("rank"), "x.surah", "x.ayah", (-c("x.m")).alias("ratio"))
+
+
 def perfect(queries: DataFrame, key: str, ref: DataFrame) -> DataFrame:
     """`key, perfect`: the score of a verse with each of the query's words."""
     words = queries.select(key, F.explode(F.array_distinct("words")).alias("term"))

@@ -115,3 +115,12 @@ def word_statuses(df: DataFrame, key: list[str], at: str, status: str, seq: str)
     ok = F.max(c(status) == "correct")
     last = F.max_by(status, seq)
     return df.where(c(status).isNotNull()).groupBy(*key, at).agg(F.when(ok, "correct").otherwise(last).alias("status"))
+
+
+def without_stale(pending: DataFrame, gone: DataFrame, key: str, index: str, at: str, within: float) -> DataFrame:
+    """`pending` without the rows that start less than `within` from another row of `gone` of the same session: met in buckets of time."""
+    c = F.col
+    bucket = F.floor(c(at) / within)
+    near = gone.select(c(key).alias("gone_key"), c(index).alias("gone_index"), c(at).alias("gone_at"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("gone_bucket"))
+    same = (c(key) == c("gone_key")) & (bucket == c("gone_bucket")) & (c(index) != c("gone_index")) & (F.abs(c(at) - c("gone_at")) < within)
+    return pending.join(near, same, "left_anti")

@@ -183,11 +183,13 @@ def ngram_share(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.ngram_counts(_ref(spark, d), c("tokens"), 5).withColumn("share", F.round("share", 10))
 
 
+@query(f"""
+with {S.REF}, p as (select list_concat(['<s>'], tokens, ['</s>']) as p from ref),
+g as (select n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], ' '))) as gram from p, (select unnest([1, 2, 3, 4, 5]) as n)),
+k as (select n, gram, count(*) as cnt from g group by n, gram), s as (select *, cnt / cast(sum(cnt) over (partition by n) as double) as share from k)
+select cast(n as int) as n, gram, printf('%.6f', log10(share)) || chr(9) || gram || case when n < 5 then chr(9) || '0.000000' else '' end as line from s""")
 def arpa_lines(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.arpa_lines(evaluate.ngram_counts(_ref(spark, d), c("tokens"), 3))
-
-
-QUERIES["arpa_lines"] = arpa_lines
+    return evaluate.arpa_lines(evaluate.ngram_counts(_ref(spark, d), c("tokens"), 5))
 
 
 @query(f"""
@@ -515,13 +517,6 @@ def diacritic_clusters(spark: SparkSession, d: str) -> DataFrame:
     return e.select("example_id", F.size(bases).cast("long").alias("bases"), F.array_join(bases, "").alias("skeleton"), F.array_join(tx.differing_marks(c("predicted_word"), c("reference_word")).cast("array<string>"), ",").alias("differing"))
 
 
-@query()
-def word_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "labeled_examples").where("predicted_word is not null and reference_word is not null")
-    word, vowels = evaluate.word_verdict(c("predicted_word"), c("reference_word"), c("is_last_word"))
-    return e.select("example_id", word.alias("word"), vowels.alias("vowels"))
-
-
 @query("""select session_id, chunk_index, array_to_string(list_transform(list_filter(harakaat_errors, lambda x: x.status = 'harakaat_error'), lambda x: x.predicted || '>' || x.reference), ' ') as errors,
 len(list_filter(word_errors, lambda x: x.status not in ('correct', 'minor'))) > 0 as wrong from chunk_results where harakaat_errors is not null or word_errors is not null""")
 def error_projection(spark: SparkSession, d: str) -> DataFrame:
