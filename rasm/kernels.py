@@ -231,30 +231,70 @@ class Lock:
 
 
 class Correction:
-    """LISTENING until a wrong chunk of confidence 0.3 or more, CORRECTING until playback ends, VERIFYING until the words are right."""
+    """LISTENING until a mistake, CORRECTING until its playback ends, VERIFYING until it is put right.
 
-    def __init__(self) -> None:
-        self.state, self.attempts, self.words, self.number = "LISTENING", 0, [], 0
+    A chunk of verdict error with a confidence of 0.3 or more starts a correction of words; one of verdict ok or minor with wrong vowels
+    starts one of vowels. Words are right once a sure chunk is ok or minor, vowels once none of them is among those of a sure chunk.
+    `number` tells the corrections apart: the end of another's playback changes nothing. `history` has an entry for each."""
 
-    def update(self, verdict: str | None, confidence: float | None, wrong: list[str], played: int | None = None) -> str:
-        """The action for a chunk: continue, correct, wait, verified, retry. played: the correction whose playback has ended."""
+    def __init__(self) -> None:
+        self.state, self.kind, self.attempts, self.words, self.number = "LISTENING", "word", 0, [], 0
+        self.history: list[dict] = []
+
+    def _start(self, kind: str, words: list[str], place: object) -> str:
+        self.state, self.kind, self.attempts, self.words, self.number = "CORRECTING", kind, 0, list(words), self.number + 1
+        self.history.append({"kind": kind, "at": place, "words": list(words), "attempts": 0, "resolved": False})
+        return "pause"
+
+    def _again(self) -> str:
+        self.state, self.attempts, self.number = "CORRECTING", self.attempts + 1, self.number + 1
+        self.history[-1]["attempts"] = self.attempts
+        return "retry"
+
+    def _right(self) -> str:
+        self.history[-1].update(resolved=True, attempts=self.attempts)
+        self.state, self.kind, self.attempts, self.words, self.number = "LISTENING", "word", 0, [], self.number + 1
+        return "verified"
+
+    def update(self, verdict: str | None, confidence: float | None, wrong: list[str], played: int | None = None, vowels: list[str] = (), place: object = None) -> str:
+        """The action for a chunk: continue, warn, pause, wait, retry, verified. played: the correction whose playback has ended."""
         if self.state == "CORRECTING":
             if played != self.number:
                 return "wait"
             self.state = "VERIFYING"
         sure = (1.0 if confidence is None else confidence) >= 0.3
         if self.state == "LISTENING":
-            if verdict == "error" and sure and wrong:
-                self.state, self.attempts, self.words, self.number = "CORRECTING", 1, list(wrong), self.number + 1
-                return "correct"
+            if verdict in ("ok", "minor") and vowels:
+                return self._start("vowels", vowels, place)
+            if verdict == "error" and sure:
+                return self._start("word", wrong, place)
+            return "warn" if verdict in ("minor", "error") else "continue"
+        if not sure:
             return "continue"
-        if verdict in ("ok", "minor") or not set(wrong) & set(self.words):
-            self.state, self.attempts, self.words = "LISTENING", 0, []
-            return "verified"
-        if verdict == "error" and sure:
-            self.state, self.attempts, self.number = "CORRECTING", self.attempts + 1, self.number + 1
-            return "retry"
-        return "continue"
+        if self.kind == "vowels":
+            self.words = [w for w in self.words if w in set(vowels)]
+            return self._again() if self.words else self._right()
+        return self._right() if verdict in ("ok", "minor") else self._again()
+
+    def hear(self, said: list[str]) -> bool:
+        """Takes the pending phrases, or words of them, that were said (close_said) out; whether all are now gone, one of them by this."""
+        left, some = [], False
+        for phrase in self.words:
+            w = phrase.split()
+            if w and any(len(x) == len(w) and all(map(close_said, w, x)) for x in (said[i : i + len(w)] for i in range(len(said)))):
+                some = True
+                continue
+            rest = [x for x in w if not any(close_said(x, y) for y in said)]
+            some = some or len(rest) < len(w)
+            left += [" ".join(rest)] if rest else []
+        if some:
+            self.words = left
+        return some and not left
+
+
+def close_said(a: str, b: str) -> bool:
+    """Equal, or as many letters with at most one or (above 6 letters) two of them different; words under 3 letters must be equal."""
+    return a == b or len(a) >= 3 and len(a) == len(b) and levenshtein(a, b) <= (1 if len(a) <= 6 else 2)
 
 
 def sticky(old: str | None, new: str | None) -> str | None:

@@ -49,13 +49,14 @@ def locks(df: DataFrame, key: str = "session_id", order: str = "chunk_index") ->
 
 
 def corrections(df: DataFrame, key: str = "session_id", order: str = "chunk_index") -> DataFrame:
-    """action, fsm, attempts: from `verdict, confidence, wrong`; playback is taken to end before the next chunk."""
+    """action, fsm, kind, attempts: from `verdict, confidence, wrong, vowels`; playback is taken to end before the next chunk."""
 
     def step(s: k.Correction, r: dict) -> dict:
-        action = s.update(r["verdict"], r["confidence"], r["wrong"] or [], s.number)
-        return {"action": action, "fsm": s.state, "attempts": s.attempts}
+        action = s.update(r["verdict"], r["confidence"], r["wrong"] or [], s.number, r["vowels"] or [], r[order])
+        del s.history[:-1]  # the fold keeps the open entry only
+        return {"action": action, "fsm": s.state, "kind": s.kind, "attempts": s.attempts}
 
-    return fold(df, key, [order], k.Correction, step, "action string, fsm string, attempts int", ["verdict", "confidence", "wrong"])
+    return fold(df, key, [order], k.Correction, step, "action string, fsm string, kind string, attempts int", ["verdict", "confidence", "wrong", "vowels"])
 
 
 def progress(df: DataFrame, key: str = "session_id", order: str = "chunk_index", jump: int = 2) -> DataFrame:

@@ -644,7 +644,8 @@ def lock_fsm(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def correction_fsm(spark: SparkSession, d: str) -> DataFrame:
     wrong = F.transform(F.filter(F.coalesce("word_errors", F.array()), lambda x: ~x["status"].isin("correct", "minor")), lambda x: x["word"])
-    return sessions.corrections(_once(spark, d, "verdict", "confidence", "word_errors").select(*_KEY, "verdict", "confidence", wrong.alias("wrong")))
+    vowels = F.transform(F.filter(F.coalesce("harakaat_errors", F.array()), lambda x: x["status"] == "harakaat_error"), lambda x: F.coalesce(x["reference"], x["predicted"]))
+    return sessions.corrections(_once(spark, d, "verdict", "confidence", "word_errors", "harakaat_errors").select(*_KEY, "verdict", "confidence", wrong.alias("wrong"), vowels.alias("vowels")))
 
 
 @query()

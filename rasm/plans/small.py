@@ -9,10 +9,12 @@ from rasm.functions import columns as col
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
 from rasm.operators import evaluate, guard, report, retrieve, sessions, windows
+from rasm.plans import folds
 from rasm.plans import sql as S
-from rasm.plans.queries import _BM25, _QUERIES, _SKEL, _hyp, _once, _queries, _ref, query
+from rasm.plans.queries import _BM25, _QUERIES, _SKEL, SQL, _hyp, _once, _queries, _ref, query
 from rasm.session import broadcast_if_small, spread, table
 
+SQL |= folds.SQL
 c = F.col
 _KEY = ["session_id", "chunk_index"]
 _SUR = "cast(split_part(r.id, ':', 1) as int)"

@@ -53,13 +53,28 @@ def test_lock():
 def test_correction():
     f = k.Correction()
     assert f.update("ok", 0.9, []) == "continue"
-    assert f.update("error", 0.2, ["x"]) == "continue"
-    assert f.update("error", None, ["x"]) == "correct"
+    assert f.update("minor", 0.9, []) == "warn"
+    assert f.update("error", 0.2, ["x"]) == "warn"
+    assert f.update("error", None, ["x"], place=7) == "pause" and f.attempts == 0
     assert f.update("error", 0.9, ["x"]) == "wait"
-    assert f.update("error", 0.9, ["x"], 1) == "retry"
-    assert f.update("error", 0.9, ["x"], 1) == "wait"
-    assert f.update("ok", 0.9, [], 2) == "verified"
-    assert f.state == "LISTENING"
+    assert f.update("error", 0.9, ["x"], 1) == "retry" and f.attempts == 1
+    assert f.update("error", 0.9, ["x"], 1) == "wait"  # the end of an older playback
+    assert f.update("error", 0.1, ["x"], 2) == "continue" and f.state == "VERIFYING"
+    assert f.update("ok", 0.9, []) == "verified"
+    assert f.state == "LISTENING" and f.history == [{"kind": "word", "at": 7, "words": ["x"], "attempts": 1, "resolved": True}]
+    assert f.update("ok", 0.9, [], vowels=["a", "b"]) == "pause" and f.kind == "vowels"
+    assert f.update("error", 0.9, ["z"], f.number, vowels=["b", "c"]) == "retry" and f.words == ["b"]
+    assert f.update("error", 0.9, ["z"], f.number) == "verified" and f.kind == "word" and len(f.history) == 2
+
+
+def test_pending_words_that_are_heard():
+    f = k.Correction()
+    f.update("error", 1.0, ["abcd efgh", "ij"])
+    assert not f.hear("zz".split()) and f.words == ["abcd efgh", "ij"]
+    assert not f.hear("abxd".split()) and f.words == ["efgh", "ij"]
+    assert f.hear("q efgh ij".split()) and f.words == []
+    assert not f.hear(["abcd"])
+    assert k.close_said("abcdefg", "abxdxfg") and not k.close_said("abcdef", "abxdxf") and not k.close_said("ab", "ac")
 
 
 def test_viterbi_follows_order():
