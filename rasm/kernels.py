@@ -230,6 +230,106 @@ class Lock:
         return ("ACTIVE" if self.locked is not None else "INACTIVE"), self.locked
 
 
+class VotingLock(Lock):
+    """A lock into which sure matches vote as well: while no chapter is locked, a match that may vote counts as a candidate."""
+
+    def update(self, surah: int | None, score: float | None, margin: float | None, matched: int | None = None, ayah: int | None = None, confidence: float | None = None, heard: int = 0) -> tuple[str, int | None]:
+        now = super().update(surah, score, margin)
+        if self.locked is None and matched and ayah is not None and ayah != 1 and (confidence or 0.0) >= 0.70 and heard >= 2:
+            vote = min(0.95, confidence * 1.2)
+            now = super().update(matched, vote, vote)
+        return now
+
+
+class Chunker:
+    """Chunks of a session's audio from speech segments, in samples.
+
+    A group shorter than `blip` takes in the next segment; a group is let go once `confirm` samples of silence follow it, from `pad`
+    before its speech, but not before what is committed, to `pad` behind it, if there are `tail` samples. Nothing is looked at before
+    `least` samples are there. A pause skips what was not let go; a stop lets everything go, and what is left if it has `tail` samples."""
+
+    def __init__(self, rate: int = 16_000, blip: float = 0.6, pad: float = 0.15, confirm: float = 0.05, least: float = 0.5, tail: float = 0.3):
+        self.blip, self.pad, self.confirm, self.least, self.tail = (int(x * rate) for x in (blip, pad, confirm, least, tail))
+        self.committed, self.segments = 0, []
+
+    def _groups(self) -> list[tuple[int, int, int]]:
+        """(start, end, segments) of the groups."""
+        out: list[tuple[int, int, int]] = []
+        for a, z in self.segments:
+            if out and out[-1][1] - out[-1][0] < self.blip:
+                out[-1] = (out[-1][0], z, out[-1][2] + 1)
+            else:
+                out.append((a, z, 1))
+        return out
+
+    def update(self, kind: str, start: int | None, end: int | None, total: int) -> list[tuple[int, int]]:
+        """kind: speech (a segment start..end; one that begins with the last takes its place), pause or stop. total: samples so far."""
+        if kind == "pause":
+            self.committed, self.segments = max(self.committed, total), []
+            return []
+        if kind == "speech" and start is not None and end is not None and end > self.committed:
+            if self.segments and self.segments[-1][0] == start:
+                self.segments.pop()
+            self.segments.append((max(start, self.committed), end))
+        if kind != "stop" and total - self.committed < self.least:
+            return []
+        out = []
+        for a, z, n in self._groups():
+            if kind != "stop" and z + self.confirm > total:
+                break
+            begin, stop = max(self.committed, a - self.pad), min(total, z + self.pad)
+            if stop - begin >= self.tail:
+                out.append((begin, stop))
+            self.committed, self.segments = z, self.segments[n:]
+        if kind == "stop" and total - self.committed >= self.tail:
+            out.append((self.committed, total))
+            self.committed = total
+        return out
+
+
+def split_long(x: np.ndarray, rate: int = 16_000, most: float = 15.0, least: float = 1.5) -> list[tuple[int, int]]:
+    """(start, end) of pieces of at most about `most` seconds: cut where 50 ms are quietest, from 0.3 s before to 0.2 s after a limit.
+
+    Pieces under `least` seconds are left out; what is not above the limit, or leaves no piece, is one piece."""
+    limit, window = int(most * rate), int(0.05 * rate)
+    if len(x) <= limit:
+        return [(0, len(x))]
+    energy = np.r_[0.0, np.cumsum(x.astype(np.float64) ** 2)]
+    out, pos = [], 0
+    while pos < len(x):
+        end = min(pos + limit, len(x))
+        if end < len(x):
+            low, high = max(pos, end - int(0.3 * rate)), min(len(x), end + int(0.2 * rate)) - window
+            if high > low:
+                at = np.arange(low, high)
+                end = int(at[np.argmin(energy[at + window] - energy[at])])
+            end = max(end, pos + 1)
+        if end - pos >= int(least * rate):
+            out.append((pos, end))
+        pos = end
+    return out or [(0, len(x))]
+
+
+class Pairing:
+    """Results meet the chunks that wait for them, first come first served; chunks are numbered as they come."""
+
+    def __init__(self) -> None:
+        self.next, self.waiting = 0, []
+
+    def update(self, kind: str, start: float | None, end: float | None) -> tuple[int, float, float] | None:
+        """kind: pending, discard (the first that starts within 0.05 s of start) or result. What a result belongs to, else None."""
+        if kind == "pending":
+            self.waiting.append((self.next, start, end))
+            self.next += 1
+        elif kind == "discard":
+            at = next((i for i, x in enumerate(self.waiting) if abs(x[1] - start) < 0.05), None)
+            if at is not None:
+                del self.waiting[at]
+        elif self.waiting:
+            return self.waiting.pop(0)
+        return None
+
+
 class Correction:
     """LISTENING until a mistake, CORRECTING until its playback ends, VERIFYING until it is put right.
 

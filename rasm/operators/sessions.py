@@ -48,6 +48,26 @@ def locks(df: DataFrame, key: str = "session_id", order: str = "chunk_index") ->
     return fold(df, key, [order], k.Lock, step, "state string, locked int", ["surah", "score", "margin"])
 
 
+def voting_locks(df: DataFrame, key: str = "session_id", order: str = "chunk_index") -> DataFrame:
+    """As locks, with the votes of sure matches: `matched, ayah, confidence, heard` (texts heard so far)."""
+
+    def step(s: k.VotingLock, r: dict) -> dict:
+        state, locked = s.update(r["surah"], r["score"], r["margin"], r["matched"], r["ayah"], r["confidence"], r["heard"] or 0)
+        return {"state": state, "locked": locked}
+
+    return fold(df, key, [order], k.VotingLock, step, "state string, locked int", ["surah", "score", "margin", "matched", "ayah", "confidence", "heard"])
+
+
+def chunks(df: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
+    """start, end of the chunks that rows (`kind, start, end, total`: speech segments, pauses and the stop) let go."""
+
+    def step(s: k.Chunker, r: dict) -> dict:
+        return {"out": [{"start": a, "end": z} for a, z in s.update(r["kind"], r["start"], r["end"], r["total"])]}
+
+    out = fold(df, key, [order], k.Chunker, step, "out array<struct<start: bigint, end: bigint>>", ["kind", "start", "end", "total"])
+    return out.select(key, order, F.inline("out"))
+
+
 def corrections(df: DataFrame, key: str = "session_id", order: str = "chunk_index") -> DataFrame:
     """action, fsm, kind, attempts: from `verdict, confidence, wrong, vowels`; playback is taken to end before the next chunk."""
 

@@ -93,3 +93,14 @@ def test_boundaries():
 def test_overlap():
     assert k.overlap("a bb cc".split(), "bb cc dd".split()) == 2
     assert k.overlap([], ["a"]) == 0
+
+
+def test_long_audio_is_cut_where_it_is_quiet():
+    import numpy as np
+
+    x = np.ones(40_000, np.float32)
+    x[15_050:15_120] = 0.0
+    got = k.split_long(x, rate=1000)
+    assert got[0][1] in range(15_050, 15_072) and all(b == c for (_, b), (c, _) in zip(got, got[1:])) and got[-1][1] == 40_000
+    assert k.split_long(x[:15_000], rate=1000) == [(0, 15_000)] and k.split_long(x[:0], rate=1000) == [(0, 0)]
+    assert k.split_long(np.zeros(16_000, np.float32), rate=1000) == [(0, 14_700)]  # the rest is under 1.5 s
