@@ -31,6 +31,12 @@ def vocabulary(ref: DataFrame) -> DataFrame:
     return ref.select("surah", F.explode("tokens").alias("word")).distinct()
 
 
+def skeletons(ref: DataFrame) -> DataFrame:
+    """`s`: the different forms without vowels of the corpus's words, as they are printed."""
+    words = ref.select(F.explode(F.split(tx.display(F.col("raw_text")), " ")).alias("w")).where("w <> ''")
+    return words.select(tx.smart_word(F.col("w")).alias("s")).distinct()
+
+
 def postings(ref: DataFrame) -> DataFrame:
     """`surah, ayah, term, tf, dl`"""
     words = ref.select("surah", "ayah", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))

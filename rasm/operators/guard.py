@@ -172,8 +172,36 @@ def messages(chunks: DataFrame, arrays: tuple[str, ...] = ("errors", "harakaat_e
     return chunks.select("session_id", F.to_json(F.struct(F.lit("chunk").alias("type"), *own), {"ignoreNullFields": "false"}).alias("message"))
 
 
+def _json(kind: str, *columns: Column) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), *columns), {"ignoreNullFields": "false"})
+
+
+def action_messages(df: DataFrame) -> DataFrame:
+    """`session_id, message` of the correction's actions (action, text, wrong_words, harakaat_errors); null where there is no action."""
+    m = _json("qari_action", F.col("action"), F.col("text").alias("message"), F.col("wrong_words"), F.col("harakaat_errors"))
+    return df.select("session_id", F.when(F.col("action").isNotNull(), m).alias("message"))
+
+
+def summary_messages(df: DataFrame) -> DataFrame:
+    """`session_id, message` at the end of each session, from its row of surah, start_ayah, final_ayah, seconds, chunks, transcript, path."""
+    c = F.col
+    m = _json("session_summary", c("session_id"), c("surah"), c("start_ayah"), c("final_ayah"), F.round("seconds", 2).alias("total_duration_s"), c("chunks").alias("num_chunks"), c("transcript").alias("merged_transcript"), c("path").alias("results_json_path"))
+    return df.select("session_id", m.alias("message"))
+
+
+def error_message(text: Column) -> Column:
+    return _json("error", text.alias("message"))
+
+
+def rows_for_display(chunks: DataFrame) -> DataFrame:
+    """The chunks of a session as the display takes them: times to two places, rates as they are, no audio path."""
+    own = [x for x in ("chunk_index", "raw_asr", "corrected_text", "matched_ayah", "matched_surah_ayah_id", "cer", "wer", "confidence", "confidence_level", "verdict", "matched_ayah_text", "word_errors", "harakaat_errors") if x in chunks.columns]
+    times = [F.round(x, 2).alias(x) for x in ("start_time_s", "end_time_s", "duration_s") if x in chunks.columns]
+    return chunks.select("session_id", F.struct(*own, *times).alias("chunk"))
+
+
 def register(spark: object) -> None:
-    """Table functions for SQL: annotate_words(hyp, ref), ngram_rows(text, most), segments(text, size, step)."""
+    """Table functions for SQL: annotate_words(hyp, ref), and of built-in expressions ngram_rows(text, most) and segments(text, size, step)."""
     from pyspark.sql.functions import udtf
 
     class Annotate:
@@ -181,18 +209,9 @@ def register(spark: object) -> None:
             for x in k.annotate((hyp or "").split(), (ref or "").split(), None):
                 yield x["word"], x["reference"], x["status"], x["similarity"], x["hyp_index"], x["ref_index"]
 
-    class Ngrams:
-        def eval(self, text: str, most: int):
-            w = (text or "").split()
-            for n in range(1, most + 1):
-                for i in range(len(w) - n + 1):
-                    yield n, " ".join(w[i : i + n])
-
-    class Segments:
-        def eval(self, text: str, size: int, step: int):
-            w = (text or "").split()
-            for i in range(0, len(w), step):
-                yield i, " ".join(w[i : i + size])
-
-    for name, cls, kind in (("annotate_words", Annotate, "word string, reference string, status string, similarity double, hyp_index int, ref_index int"), ("ngram_rows", Ngrams, "n int, gram string"), ("segments", Segments, "start int, text string")):
-        spark.udtf.register(name, udtf(cls, returnType=kind))
+    spark.udtf.register("annotate_words", udtf(Annotate, returnType="word string, reference string, status string, similarity double, hyp_index int, ref_index int"))
+    words = "filter(split(coalesce(text, ''), ' '), w -> w <> '')"
+    grams = f"flatten(transform(sequence(1, greatest(most, 1)), n -> transform(if(size({words}) >= n, sequence(1, size({words}) - n + 1), array()), i -> named_struct('n', n, 'gram', array_join(slice({words}, i, n), ' ')))))"
+    parts = f"transform(if(size({words}) > 0, sequence(0, size({words}) - 1, step), array()), i -> named_struct('start', i, 'text', array_join(slice({words}, i + 1, size), ' ')))"
+    spark.sql(f"create or replace temporary function ngram_rows(text string, most int) returns table (n int, gram string) return select inline({grams})")
+    spark.sql(f"create or replace temporary function segments(text string, size int, step int) returns table (start int, text string) return select inline({parts})")

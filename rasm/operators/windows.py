@@ -77,3 +77,14 @@ def segment_range(segments: Column, first: Column, last: Column) -> Column:
     """(start_ms, end_ms) over the segments [word, .., start, end] whose word, counted from 0 or 1, lies in first..last."""
     own = F.filter(segments, lambda s: s[0].between(first, last + 1))
     return F.when(F.size(own) > 0, F.struct(F.array_min(F.transform(own, lambda s: F.element_at(s, -2))).alias("start_ms"), F.array_max(F.transform(own, lambda s: F.element_at(s, -1))).alias("end_ms")))
+
+
+def frames(x: Column, n: int = 200, width: int = 26) -> Column:
+    """Feature rows (arrays of `width`) cut or filled with rows of zeros to n."""
+    zero = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), width), n)
+    return F.slice(F.concat(F.coalesce(x, F.array().cast("array<array<float>>")), zero), 1, n)
+
+
+def rule_result(p: Column, least: float = 0.5) -> Column:
+    """(followed, confidence in percent) of a rule model's probability."""
+    return F.struct((p >= least).alias("followed"), (p * 100).alias("confidence"))

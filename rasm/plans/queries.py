@@ -604,8 +604,7 @@ def diacritic_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _skeletons(spark: SparkSession, d: str) -> set[str]:
     """Skeletons of the fixed corpus's words: as many as it has, some thousands."""
-    words = _ref(spark, d).select(F.explode(F.split(tx.display(c("raw_text")), " ")).alias("w"))
-    return {r["s"] for r in bounded(words.select(tx.smart_word(c("w")).alias("s")).distinct())}
+    return {r["s"] for r in bounded(corpus.skeletons(_ref(spark, d)))}
 
 
 @query()
