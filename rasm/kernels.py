@@ -402,16 +402,48 @@ def sticky(old: str | None, new: str | None) -> str | None:
     return old if old == "correct" or new is None else new
 
 
-def transition(previous: int, current: int, surah: list[int], locked: bool) -> float:
-    """Score of going from verse to verse (numbers in corpus order)."""
+def transition(previous: int, current: int, surah: list[int], first: list[bool], locked: bool) -> float:
+    """Score of going from verse to verse (numbers in corpus order): from the end of a chapter to the first verse of any is a boundary."""
     if surah[previous] != surah[current]:
-        boundary = current == previous + 1
-        return -1.0 if boundary else -10.0 if locked else -2.0
+        ends = previous + 1 >= len(surah) or surah[previous + 1] != surah[previous]
+        return -1.0 if ends and first[current] else -10.0 if locked else -2.0
     return {0: 0.5, 1: 1.0, 2: -0.5, 3: -1.0}.get(current - previous, -5.0)
 
 
-def emitter(verses: list[str], most: int = 20) -> Callable[[list[str], list[int] | None], list[tuple[int, float]]]:
-    """Gives the best `most` verses (place, score) of a window of words: 0.6 x share of its different 1-, 2- and 3-grams + 0.4 x ratio.
+class PathLock:
+    """Which chapter a path is in, from the scores of its windows as they come.
+
+    A window whose best verse has 0.6 or more enters a history of 5 with its margin over the best of another chapter. A chapter with
+    three entries, a mean score of 0.7 and a mean margin of 0.25 is locked. It is let go where a window has nothing at 0.4 or more, or
+    where two or three of the last three entries are of other chapters, all at 0.7 or more."""
+
+    def __init__(self) -> None:
+        self.history: list[tuple[int, float, float]] = []
+        self.locked: int | None = None
+
+    def update(self, scores: list[tuple[int, float]], surah: list[int]) -> int | None:
+        """scores: (verse, score) of a window, the best first."""
+        if scores:
+            v, top = scores[0]
+            other = next((s for u, s in scores if surah[u] != surah[v]), 0.0)
+            if top >= 0.6:
+                self.history = [*self.history, (surah[v], top, top - other)][-5:]
+        if self.locked is not None:
+            away = [h for h in self.history[-3:] if h[0] != self.locked]
+            if not scores or scores[0][1] < 0.6 - 0.2 or len(away) >= 2 and all(h[1] >= 0.7 for h in away):
+                self.locked = None
+        if self.locked is None and len(self.history) >= 3:
+            for s in dict.fromkeys(h[0] for h in self.history):
+                own = [h for h in self.history if h[0] == s]
+                if len(own) >= 3 and sum(h[1] for h in own) / len(own) >= 0.7 and sum(h[2] for h in own) / len(own) >= 0.25:
+                    self.locked = s
+                    break
+        return self.locked
+
+
+def emitter(verses: list[str], most: int = 20, within: float = 0.0) -> Callable[[list[str], list[int] | None], list[tuple[int, float]]]:
+    """Gives the best `most` verses (place, score) of a window of words: 0.6 x share of its different 1-, 2- and 3-grams + 0.4 x ratio;
+    and all others that are less than `within` behind them.
 
     Of the candidates given, ties in their order; without any, of all verses that share a word (the others score 0 and are none),
     ties in corpus order. There a verse is scored only if its bound, with the letters both have as common subsequence, may still be
@@ -437,7 +469,8 @@ def emitter(verses: list[str], most: int = 20) -> Callable[[list[str], list[int]
         text, mine = " ".join(words), grams(words)
         score = lambda v: joint(len(mine & have[v]), len(mine), lcs_length(verses[v], text), len(verses[v]) + len(text))
         if candidates:
-            return [(v, s) for v, s in sorted(((v, score(v)) for v in candidates), key=lambda x: -x[1])[:most] if s > 0]
+            ranked = [(v, s) for v, s in sorted(((v, score(v)) for v in candidates), key=lambda x: -x[1]) if s > 0]
+            return ranked[:most] + [x for x in ranked[most:] if x[1] > ranked[most - 1][1] - within]
         shared = Counter(v for w in set(words) for v in place.get(w, ()))
         if not shared:
             return []
@@ -448,46 +481,65 @@ def emitter(verses: list[str], most: int = 20) -> Callable[[list[str], list[int]
                 bag[letter[x]] += 1
         bound = joint(np.array([len(mine & have[v]) for v in at]), len(mine), np.minimum(bags[at], bag).sum(1), sizes[at] + len(text))
         best: list[tuple[float, int]] = []  # (score, -verse), least first
+        rest: list[tuple[float, int]] = []
         for j in np.lexsort((at, -bound)):
-            if len(best) == most and bound[j] < best[0][0]:
+            if len(best) == most and bound[j] < best[0][0] - within:
                 break
             new = (score(int(at[j])), -int(at[j]))
             if len(best) < most:
                 heappush(best, new)
             elif new > best[0]:
-                heapreplace(best, new)
-        return [(-v, s) for s, v in sorted(best, reverse=True)]
+                rest.append(heapreplace(best, new))
+            else:
+                rest.append(new)
+        more = [x for x in rest if within and x[0] > best[0][0] - within]
+        return [(-v, s) for s, v in sorted([*best, *more], reverse=True)]
 
     return emit
 
 
-def viterbi(emissions: list[list[tuple[int, float]]], surah: list[int], locked: bool = False, beam: int = 30, start: int | None = None) -> list[tuple[int, float]]:
-    """The best path through the candidates (verse, score) of each step, as (verse, its own score).
+def viterbi(emissions: list[list[tuple[int, float]]], surah: list[int], locked: bool | int = False, beam: int = 30, start: int | None = None, first: list[bool] | None = None, online: bool = False, most: int = 20) -> list[tuple[int, float]]:
+    """The best path through the candidates (verse, score; the best first) of each step, as (verse, its own score).
 
-    Each step is padded by the verses kept before and those after them, at score 0, so that a path can always go on; the best
-    `beam` states stay. Ties go to the lower verse."""
-    back: list[dict[int, tuple[float, int | None, float]]] = []
+    `start`: the chapter whose verses have 0.5 more in the first step. `locked`: a chapter (not True) leaves its own candidates only, or
+    where a step has none the others at 1.5 less. `online`: the chapter that a PathLock holds has 0.2 more, others 0.2 less. Then the
+    best `most` stay. Each step is padded by the verses kept before and those after them, at score 0, so that a path can always go on;
+    the best `beam` states stay. Ties go to the lower verse. `first`: which verses are their chapter's first."""
+    first = first or [i == 0 or surah[i] != surah[i - 1] for i in range(len(surah))]
+    only = locked if locked is not True and locked is not False else None
+    lock = PathLock()
+    steps: list[dict[int, float]] = []
     for t, cand in enumerate(emissions):
-        own = dict(cand)
+        if t == 0 and start is not None:
+            cand = sorted(((v, s + (0.5 if surah[v] == start else 0.0)) for v, s in cand), key=lambda x: -x[1])
+        if only is not None:
+            cand = [x for x in cand if surah[x[0]] == only] or [(v, s - 1.5) for v, s in cand]
+        elif online and (held := lock.update(cand, surah)) is not None:
+            cand = sorted(((v, s + (0.2 if surah[v] == held else -0.2)) for v, s in cand), key=lambda x: -x[1])
+        steps.append(dict(cand[:most] if online else cand))
+    fixed = locked is True or only is not None or lock.locked is not None  # as it is in the end
+    back: list[dict[int, tuple[float, int | None]]] = []
+    for t, own in enumerate(steps):
         if t == 0:
-            now = {v: (s + (0.5 if v == start else 0.0), None, s) for v, s in own.items()} or {0: (0.0, None, 0.0)}
+            now = {v: (s, None) for v, s in own.items()} or {0: (0.0, None)}
         else:
             before = back[-1]
+            own = dict(own)
             for v in before:
                 for w in (v, v + 1):
                     if w < len(surah):
                         own.setdefault(w, 0.0)
             now = {}
             for v, s in own.items():
-                score, prev = max(((p[0] + transition(u, v, surah, locked), -u) for u, p in before.items()))
-                now[v] = (score + s, -prev, s)
+                score, prev = max((p[0] + transition(u, v, surah, first, fixed), -u) for u, p in before.items())
+                now[v] = (score + s, -prev)
         back.append(dict(sorted(now.items(), key=lambda x: (-x[1][0], x[0]))[:beam]))
     if not back:
         return []
     v: int | None = min(back[-1], key=lambda x: (-back[-1][x][0], x))
     path = []
-    for step in reversed(back):
-        path.append((v, step[v][2]))
+    for step, raw in zip(reversed(back), reversed(emissions)):
+        path.append((v, dict(raw).get(v, 0.0)))
         v = step[v][1]
     return path[::-1]
 

@@ -104,8 +104,9 @@ def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFra
     return one.select(key, "surah", c("b.final").alias("score"), F.round("b.bm25", 4).alias("bm25"), F.round("b.fuzzy", 4).alias("fuzzy"))
 
 
-def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step: int = 3) -> DataFrame:
-    """`key, step, global_idx, emission`: the best path of each text through the corpus, in windows of words.
+def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step: int = 3, online: bool = False, locked: int | None = None, start: int | None = None) -> DataFrame:
+    """`key, step, global_idx, emission`: the best path of each text through the corpus, in windows of words; with the chapter found on
+    the way (`online`), or given (`locked`), or with one that the path more likely starts in (kernels.viterbi).
 
     Emissions (0.6 x shared n-grams + 0.4 x ratio) are taken once per different window: of its candidates in the index of 2- and
     3-grams, an equi-join; where it has none, of the whole corpus, whose texts (small and fixed) go to each task. The search runs per
@@ -120,11 +121,12 @@ def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step:
     index = corpus.ngram_index(ref).where(F.size(F.split("gram", " ")) == c("n"))  # texts shorter than n are no n-gram here
     cand = ngram_candidates(texts, "window", index).groupBy("window").agg(F.sort_array(F.collect_list(F.struct("rank", "global_idx"))).alias("hits"))  # at most 30
     each = spread(texts.select("window").join(cand, "window", "left").select("window", c("hits.global_idx").alias("hits")), "window")
-    fixed = bounded(ref.select("global_idx", "surah", "norm_text").orderBy("global_idx"))  # one short text per verse of the fixed corpus
-    order, verses = [r["surah"] for r in fixed], [r["norm_text"] for r in fixed]
+    fixed = bounded(ref.select("global_idx", "surah", "ayah", "norm_text").orderBy("global_idx"))  # one short text per verse of the fixed corpus
+    order, verses, first = [r["surah"] for r in fixed], [r["norm_text"] for r in fixed], [r["ayah"] == 1 for r in fixed]
+    within = 0.4 if online else 0.0  # what the lock may add to one verse and take from another
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = kernels.emitter(verses)
+        of = kernels.emitter(verses, within=within)
         for b in batches:
             cand = [of(w.split(" "), None if h is None else [int(x) for x in h]) for w, h in zip(b["window"], b["hits"])]
             yield pd.DataFrame({"window": b["window"], "cand": [[{"global_idx": v, "emission": s} for v, s in x] for x in cand]})
@@ -136,8 +138,20 @@ def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step:
         for b in batches:
             rows = []
             for k, st in zip(b[key], b["steps"]):
-                path = kernels.viterbi([[(int(x["global_idx"]), float(x["emission"])) for x in s["cand"]] for s in st], order)
+                path = kernels.viterbi([[(int(x["global_idx"]), float(x["emission"])) for x in s["cand"]] for s in st], order, False if locked is None else locked, start=start, first=first, online=online)
                 rows += [(k, s["t"], v, e) for s, (v, e) in zip(st, path)]
             yield pd.DataFrame(rows, columns=[key, "step", "global_idx", "emission"])
 
     return paths.mapInPandas(run, f"{key} {dict(queries.dtypes)[key]}, step int, global_idx long, emission double")
+
+
+def aligned(paths: DataFrame, queries: DataFrame, key: str, step: int = 3) -> DataFrame:
+    """`key, at, global_idx, words, confidence, level`: the verses of each path with the words said of them, the mean emission in
+    percent, and high where that is over 75. The last window takes the words that are left."""
+    c = F.col
+    last = paths.groupBy(key).agg(F.max("step").alias("last"))
+    each = paths.join(last, key).join(queries.select(key, "words"), key)
+    n = F.when(c("step") == c("last"), F.size("words")).otherwise(step)
+    said = each.select(key, "step", "global_idx", "emission", F.slice("words", c("step") * step + 1, n).alias("said"))
+    g = said.groupBy(key, "global_idx").agg(F.min("step").alias("at"), F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("step", "said"))), lambda x: x["said"])), " ").alias("words"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.avg("emission") * 100)).alias("confidence"))
+    return g.where("words <> ''").select(key, "at", "global_idx", "words", F.round("confidence", 4).alias("confidence"), F.when(c("confidence") > 75, "high").otherwise("low").alias("level"))

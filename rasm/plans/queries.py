@@ -350,7 +350,7 @@ def fuzzy_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.viterbi(_queries(spark, d), "q", _ref(spark, d))
+    return retrieve.viterbi(_queries(spark, d), "q", _ref(spark, d), online=True)
 
 
 # Sessions

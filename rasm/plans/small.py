@@ -330,3 +330,16 @@ def legacy_errors(spark: SparkSession, d: str) -> DataFrame:
     from rasm.plans.queries import _pairs
 
     return _pairs(spark, d).select(*_KEY, F.inline(align.word_errors(c("a"), c("ref"))))
+
+
+def _session_words(spark: SparkSession, d: str) -> DataFrame:
+    text = _once(spark, d, "raw_asr").where("raw_asr <> ''").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "raw_asr"))), lambda x: x["raw_asr"]), " ").alias("text"))
+    norm = tx.normalize(c("text"))
+    return text.select(c("session_id").alias("q"), norm.alias("norm"), tx.tokens(norm).alias("words"))
+
+
+@query()
+def session_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Each session as a whole: its text through the path search, regrouped by verse."""
+    q = _session_words(spark, d)
+    return retrieve.aligned(retrieve.viterbi(q, "q", _ref(spark, d), online=True), q, "q")

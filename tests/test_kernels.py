@@ -104,3 +104,40 @@ def test_long_audio_is_cut_where_it_is_quiet():
     assert got[0][1] in range(15_050, 15_072) and all(b == c for (_, b), (c, _) in zip(got, got[1:])) and got[-1][1] == 40_000
     assert k.split_long(x[:15_000], rate=1000) == [(0, 15_000)] and k.split_long(x[:0], rate=1000) == [(0, 0)]
     assert k.split_long(np.zeros(16_000, np.float32), rate=1000) == [(0, 14_700)]  # the rest is under 1.5 s
+
+
+def test_lock_of_a_path():
+    surah = [1] * 5 + [2] * 5
+    lock = k.PathLock()
+    assert [lock.update([(6, 0.9), (1, 0.5)], surah) for _ in range(3)] == [None, None, 2]
+    assert lock.update([(6, 0.5)], surah) == 2 and lock.update([], surah) == 2  # let go by a window with nothing, and locked again by the history
+    lock = k.PathLock()
+    for _ in range(4):
+        lock.update([(6, 0.9)], surah)
+    assert lock.locked == 2 and [lock.update([(1, 0.9)], surah) for _ in range(3)] == [2, 2, 1]
+    assert k.PathLock().update([(6, 0.9), (1, 0.8)], surah) is None
+
+
+def test_locked_and_started_paths():
+    surah, e = [1, 1, 1, 2, 2, 2], [[(0, 0.8), (3, 0.7)], [(1, 0.5), (4, 0.45)]]
+    assert [v for v, _ in k.viterbi(e, surah)] == [0, 1]
+    assert [v for v, _ in k.viterbi(e, surah, 2)] == [3, 4] and [v for v, _ in k.viterbi(e, surah, start=2)] == [3, 4]
+    assert [s for _, s in k.viterbi(e, surah, 2)] == [0.7, 0.45]  # emissions as they are
+    steps = [[(3, 0.95), (0, 0.1)]] * 4 + [[(1, 0.5), (4, 0.35)]]
+    assert k.viterbi(steps, surah, online=True)[-1][0] == 4
+    first = [True, False, False, True, False, False]
+    assert k.transition(2, 3, surah, first, True) == -1.0 and k.transition(5, 0, surah, first, True) == -1.0 and k.transition(1, 3, surah, first, True) == -10.0 and k.transition(2, 4, surah, first, False) == -2.0
+
+
+def test_emitter_keeps_what_a_lock_may_lift():
+    import random
+
+    r = random.Random(4)
+    verses = [" ".join(r.choice("abcdefgh") * 2 for _ in range(r.randint(2, 6))) for _ in range(60)]
+    few, more, every = k.emitter(verses, 5), k.emitter(verses, 5, 0.1), k.emitter(verses, 60)
+    for _ in range(30):
+        w = [r.choice("abcdefgh") * 2 for _ in range(5)]
+        a, b, c = few(w, None), more(w, None), every(w, None)
+        assert a == c[:5] and b == c[:5] + [x for x in c[5:] if x[1] > c[4][1] - 0.1]
+        some = list(range(0, 60, 2))
+        assert few(w, some) == every(w, some)[:5] and set(more(w, some)) >= set(few(w, some))
