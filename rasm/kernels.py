@@ -199,6 +199,31 @@ def wrong_phrases(statuses: list[str], words: list[str | None]) -> list[tuple[st
     return out
 
 
+def teachable(words: list[dict]) -> list[tuple[str, int | None, int | None]]:
+    """Phrases of reference words to be taught (text, first, last place): major or missing words in a row, from the first such word to
+    the next correct one. A minor word ends a phrase; extra and uncertain words do not."""
+    out: list[tuple[str, int | None, int | None]] = []
+    run: list[dict] = []
+    started = False
+
+    def close() -> None:
+        places = [x["ref_index"] for x in run if x["ref_index"] is not None]
+        out.append((" ".join(x["reference"] for x in run), min(places, default=None), max(places, default=None)))
+        run.clear()
+
+    for x in words:
+        if x["status"] in ("major", "missing") and x["reference"]:
+            started = True
+            run.append(x)
+        elif started and x["status"] == "correct":
+            break
+        elif run and x["status"] not in ("extra", "uncertain"):
+            close()
+    if run:
+        close()
+    return out
+
+
 class Lock:
     """Which chapter a session is in, from the best candidate of each chunk.
 

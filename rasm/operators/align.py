@@ -67,6 +67,12 @@ def word_errors(hyp: Column, ref: Column) -> Column:
     return F.from_json(_each(run, "string")(hyp, ref), "array<struct<kind: string, expected: string, got: string>>")
 
 
+def teachable(words: Column) -> Column:
+    """Phrases of reference words to be taught, with their places."""
+    f = _each(lambda w: json.dumps([{"text": t, "first": a, "last": z} for t, a, z in k.teachable([x if isinstance(x, dict) else x.asDict() for x in w])]), "string")
+    return F.from_json(f(words), "array<struct<text: string, first: int, last: int>>")
+
+
 def minor_fixes(words: Column) -> Column:
     """The text with minor slips put right: the reference's word where the status is minor, else the word itself."""
     kept = F.filter(words, lambda x: x["word"].isNotNull())

@@ -59,7 +59,7 @@ def closest(hyp: DataFrame, ref: DataFrame, keys: list[str], k: int, back: int =
     rows = match.band(hyp.where("norm <> ''"), ref.select("surah", "ayah", "norm_text"), "ayah", back, ahead, fallback=None)
     pairs = spread(rows.select(*keys, "norm", F.inline("near")), *keys).withColumn("ratio", F.round(likeness(c("norm"), c("norm_text")), 6))
     best = pairs.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-c("ratio")).alias("m"), "surah", "ayah"))), 1, k).alias("b"))  # of one band
-    return best.select(*keys, F.posexplode("b").alias("i", "x")).select(*keys, (c("i") + 1).alias("rank"), "x.surah", "x.ayah", (-c("x.m")).alias("ratio"))
+    return best.select(*keys, F.posexplode("b").alias("_at", "_x")).select(*keys, (c("_at") + 1).alias("rank"), "_x.surah", "_x.ayah", (-c("_x.m")).alias("ratio"))
 
 
 def perfect(queries: DataFrame, key: str, ref: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rasm.functions import columns as col
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.operators import evaluate, guard, report, retrieve, sessions, windows
+from rasm.operators import evaluate, guard, pipeline, report, retrieve, sessions, windows
 from rasm.plans import folds
 from rasm.plans import sql as S
 from rasm.plans.queries import _BM25, _QUERIES, _SKEL, SQL, _hyp, _once, _queries, _ref, query
@@ -343,3 +343,38 @@ def session_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Each session as a whole: its text through the path search, regrouped by verse."""
     q = _session_words(spark, d)
     return retrieve.aligned(retrieve.viterbi(q, "q", _ref(spark, d), online=True), q, "q")
+
+
+@query("""with n as (select session_id, max(end_sample) as n from chunk_results where end_sample > 0 group by session_id),
+w as (select session_id, n, unnest(range(0, n, 368000)) as s from n where n > 480000)
+select session_id, 0 as "start", n as "end" from n where n <= 480000
+union all select session_id, s, least(s + 400000, n) from w where s = 0 or s - 368000 + 400000 < n""")
+def redecode_windows(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "chunk_results").where("end_sample > 0").groupBy("session_id").agg(F.max("end_sample").alias("n"))
+    return n.select("session_id", F.inline(pipeline.redecode(c("n"))))
+
+
+@query(f"""with {S.ONCE}, p as (select session_id, chunk_index, r.ayah as m, r.ver as v, lag(r.ayah) over w as cur, lag(r.ver) over w as before from once window w as (partition by session_id order by chunk_index)),
+f as (select *, coalesce(before = 'error', false) and cur is not null and m is distinct from cur as strict from p)
+select session_id, chunk_index, case when strict then cur else m end as matched_ayah, case when strict then 'error' else v end as verdict from f""")
+def strict_matches(spark: SparkSession, d: str) -> DataFrame:
+    """After a chunk with an error only its verse counts."""
+    w = Window.partitionBy("session_id").orderBy("chunk_index")
+    t = _once(spark, d, "matched_ayah", "verdict").withColumns({"cur": F.lag("matched_ayah").over(w), "fsm": F.when(F.lag("verdict").over(w) == "error", "VERIFYING").otherwise("LISTENING")})
+    return pipeline.strict(t, "fsm", "cur", "matched_ayah", "verdict").select(*_KEY, "matched_ayah", "verdict")
+
+
+@query()
+def chunk_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk from its text to verdict, lock and correction."""
+    t = _once(spark, d, "raw_asr", "corrected_text", "duration_s", "matched_ayah")
+    t = t.select(*_KEY, c("duration_s").alias("seconds"), F.lit(0.1).alias("level"), c("raw_asr").alias("raw"), c("corrected_text").alias("second"), c("matched_ayah").alias("reached"))
+    starts = table(spark, d, "sessions").groupBy("session_id").agg(F.min(F.struct("started_at", "surah", "start_ayah")).alias("s")).select("session_id", "s.surah", "s.start_ayah")
+    return pipeline.chunks(t, starts, table(spark, d, "ayah_entries"))
+
+
+@query()
+def upload_results(spark: SparkSession, d: str) -> DataFrame:
+    """Each different text of the evaluation as an upload of its own."""
+    e = table(spark, d, "eval_rows").where("raw is not null").groupBy("eval_id").agg(F.min(F.struct("ingested_at", "surah", "ayah", "raw")).alias("r"))
+    return pipeline.upload(e.select("eval_id", "r.surah", c("r.ayah").alias("expected"), "r.raw"), "eval_id", _ref(spark, d))

@@ -181,3 +181,56 @@ def test_invocations_and_corrupted_labels(spark):
     assert c == guard.corrupted(v.repartition(3)).orderBy("surah", "ayah", "word_index").collect() or sorted(map(tuple, c)) == sorted(map(tuple, guard.corrupted(v.repartition(3)).collect()))
     share = Counter(r["word_label"] for r in c)["incorrect"] / len(c)
     assert 0.1 < share < 0.2 and all((r["predicted"] == r["reference"]) == (r["word_label"] == "correct" and r["vowel_label"] != "incorrect") for r in c)
+
+
+def test_phrases_to_teach():
+    w = lambda status, ref, at: {"status": status, "reference": ref, "ref_index": at}
+    words = [w("correct", "a", 0), w("major", "b", 1), w("extra", None, None), w("missing", "c", 2), w("minor", "d", 3), w("major", "e", 4), w("correct", "f", 5), w("major", "g", 6)]
+    assert k.teachable(words) == [("b c", 1, 2), ("e", 4, 4)]
+    assert k.teachable([]) == [] and k.teachable([w("extra", None, None)]) == [] and k.teachable([w("missing", "x", None)]) == [("x", None, None)]
+
+
+def test_chunks_in_one_plan(spark):
+    from rasm.operators import pipeline
+
+    verses = spark.createDataFrame([(2, 1, "ابت جدح"), (2, 2, "درس علم نهو"), (2, 3, "يحب ثمر سلم"), (2, 4, "كتب جلس"), (3, 1, "حرم عدل")], "surah int, ayah int, text string")
+    rows = [("s", 0, 3.0, "ابت جدح", None, 1), ("s", 1, 0.4, "درس علم نهو", None, None), ("s", 2, 3.0, "بسم الله الرحمن الرحيم", None, 1), ("s", 3, 3.0, "درس علمم نهو", None, 2), ("s", 4, 3.0, "كتب جلس", None, 4), ("s", 5, 3.0, "", "يحب زقف سلم", 3), ("s", 6, 3.0, None, None, None)]
+    df = spark.createDataFrame(rows, "session_id string, chunk_index int, seconds double, raw string, second string, reached int").selectExpr("*", "0.1 as level")
+    starts = spark.createDataFrame([("s", 2, 1)], "session_id string, surah int, start_ayah int")
+    got = {r["chunk_index"]: r for r in pipeline.chunks(df, starts, verses).collect()}
+    assert sorted(got) == list(range(7))
+    assert [got[i]["verdict"] for i in (0, 1, 2, 3)] == ["ok", "skipped", "skipped", "minor"]
+    assert (got[0]["ayah"], got[3]["ayah"]) == (1, 2) and got[3]["corrected"] == "درس علم نهو"
+    assert got[4]["verdict"] == "error" and got[4]["ayah"] == 2 and got[4]["action"] == "pause"  # a verse was left out
+    assert got[5]["action"] == "retry" and got[5]["fsm"] == "CORRECTING" and got[1]["action"] is None
+    assert pipeline.chunks(df.limit(0), starts, verses).count() == 0
+
+
+def test_two_models_and_positions(spark):
+    from pyspark.sql import functions as F
+
+    ref = corpus.reference(spark.createDataFrame([(2, 1, "ابت جدح"), (2, 2, "درس علم نهو")], "surah int, ayah int, text string"))
+    df = spark.createDataFrame([(1, 2, 1, "ابت جدح", "ابت جدح"), (2, 2, 2, "درس علم نهو", "ابت"), (3, None, None, "ابت", "ابت")], "i int, surah int, expected int, first string, second string")
+    got = {r["i"]: r for r in guard.dual(df, ref, ["i"]).collect()}
+    assert got[1]["same_verdict"] and got[1]["first_ayah"] == 1 and not got[2]["same_corrected"] and got[3]["first_verdict"] == "rule_only" and got[3]["same_corrected"]
+    p = spark.createDataFrame([(2, 1, 2), (2, 2, 2), (2, 5, 2), (2, 1, 9), (2, None, 2)], "surah int, matched int, due int")
+    assert sorted((str(r["matched"]), r["wrong"]) for r in guard.forced(p, ref).collect()) == [("1", False), ("2", False), ("2", False), ("2", True), ("None", False)]
+    assert guard.from_api(spark.createDataFrame([(2, 0, None, None, None)], "surah int, matched_ayah int, raw_asr string, corrected_text string, verdict string"), "surah").select("raw_asr", "matched_key", "verdict").first() == ("", None, "unknown")
+
+
+def test_display_classes_and_closest_verses(spark):
+    from pyspark.sql import functions as F
+
+    from rasm.functions import columns as col
+    from rasm.operators import align, retrieve
+
+    rows = [("ab", "ab", 0.1), ("ab", "cd", 0.1), ("ابتج", "ابتد", 0.9), ("ابتج", "حدرس", None), (None, "ا", 0.9)]
+    df = spark.createDataFrame(rows, "a string, b string, c double")
+    like = retrieve.likeness(F.coalesce("a", F.lit("")), F.col("b")) / 100
+    assert [r[0] for r in df.select(col.word_class(F.col("a"), F.col("b"), F.col("c"), like)).collect()] == ["correct", "correct", "minor", "major", "major"]
+    ref = corpus.reference(spark.createDataFrame([(1, a, t) for a, t in enumerate(["ابت", "ابتث", "جدح", "ابتثج"], 1)], "surah int, ayah int, text string"))
+    hyp = spark.createDataFrame([(1, 1, 1, "ابتث"), (2, 9, 1, "ابت"), (3, 1, 1, "")], "i int, surah int, expected int, norm string")
+    got = [(r["rank"], r["ayah"]) for r in retrieve.closest(hyp, ref, ["i"], 3).orderBy("rank").collect()]
+    assert got == [(1, 2), (2, 4), (3, 1)]
+    e = spark.createDataFrame([("a x c d", "a b c e f")], "h string, r string").select(F.inline(align.word_errors(F.col("h"), F.col("r")))).collect()
+    assert [tuple(r) for r in e] == [("substitution", "b", "x"), ("substitution", "e f", "d")]
