@@ -46,7 +46,11 @@ def rule_report(df: DataFrame, rule: str, true: str, pred: str) -> DataFrame:
 def eval_report(evals: DataFrame, worst: int = 20) -> DataFrame:
     """`section, name, line` of a whole evaluation: totals, verdicts, chapters, and the worst rows with their rank."""
     c = F.col
-    rate = lambda x: F.format_string("%.4f", x)
+
+    def rate(x: Column) -> Column:  # four places, halves up
+        n = F.round(x * 10_000).cast("long")
+        return F.concat(F.floor(n / 10_000), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
+
     row = lambda section, name, *line: [F.lit(section).alias("section"), F.coalesce(name.cast("string"), F.lit("-")).alias("name"), F.concat_ws(" ", *line).alias("line")]
     total = evals.agg(F.count("*").alias("n"), F.avg("corrected_wer").alias("w"), F.avg("corrected_cer").alias("e")).select(*row("total", F.lit("all"), c("n"), rate(c("w")), rate(c("e"))))
     verdicts = evals.groupBy("verdict").agg(F.count("*").alias("n")).select(*row("verdict", c("verdict"), c("n")))

@@ -282,11 +282,14 @@ def api_results(spark: SparkSession, d: str) -> DataFrame:
 _EV = "ev as (select eval_id, min_by(struct_pack(surah := surah, reciter := reciter, cer := corrected_cer, wer := corrected_wer, ver := verdict), ingested_at) as r from eval_rows group by eval_id), e as (select eval_id, r.* from ev where r.cer is not null and not isnan(r.cer) and r.wer is not null and not isnan(r.wer))"
 
 
+_RATE = lambda x: f"cast(round({x} * 10000) as bigint) // 10000 || '.' || lpad(cast(cast(round({x} * 10000) as bigint) % 10000 as varchar), 4, '0')"
+
+
 @query(f"""with {_EV}, w as (select row_number() over (order by wer desc, eval_id) as i, eval_id, wer from e qualify i <= 20)
-select 'total' as section, 'all' as name, count(*) || ' ' || printf('%.4f', avg(wer)) || ' ' || printf('%.4f', avg(cer)) as line from e
+select 'total' as section, 'all' as name, count(*) || ' ' || {_RATE('avg(wer)')} || ' ' || {_RATE('avg(cer)')} as line from e
 union all select 'verdict', coalesce(ver, '-'), cast(count(*) as varchar) from e group by 2
-union all select 'surah', coalesce(cast(surah as varchar), '-'), count(*) || ' ' || printf('%.4f', avg(wer)) from e group by 2
-union all select 'worst', cast(i as varchar), eval_id || ' ' || printf('%.4f', wer) from w""")
+union all select 'surah', coalesce(cast(surah as varchar), '-'), count(*) || ' ' || {_RATE('avg(wer)')} from e group by 2
+union all select 'worst', cast(i as varchar), eval_id || ' ' || {_RATE('wer')} from w""")
 def eval_report(spark: SparkSession, d: str) -> DataFrame:
     e = evaluate.latest(table(spark, d, "eval_rows"), ["eval_id"], "ingested_at", ["surah", "corrected_cer", "corrected_wer", "verdict"])
     return report.eval_report(e.where("corrected_cer is not null and not isnan(corrected_cer) and corrected_wer is not null and not isnan(corrected_wer)"))

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
-SLOW = {"sequence_match_best"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
