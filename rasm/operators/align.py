@@ -4,14 +4,14 @@ The kernels run in Arrow-batched Python over pairs that are already bounded (a c
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
+from inspect import signature
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from rasm import kernels as k
 from rasm.functions import text as tx
@@ -22,37 +22,48 @@ DAGGER = chr(0x670)
 
 
 def _each(f: Callable, kind: str) -> Callable[..., Column]:
-    """f over rows as an Arrow-batched UDF; a row with a null argument gives null."""
+    """f over rows as an Arrow-batched UDF; a row with a null argument gives null. What f gives becomes an Arrow array at once."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    @F.pandas_udf(kind)
-    def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*cols)], dtype=object)
+    target = to_arrow_type(_parse_datatype_string(kind))
 
-    return run
+    def run(cols: tuple) -> pa.Array:
+        return pa.array([None if any(x is None for x in row) else f(*row) for row in zip(*(c.to_pylist() for c in cols))], target)
+
+    # a UDF of a fixed number of arguments each: the kind of UDF is read off its signature
+    def one(a: pa.Array) -> pa.Array:
+        return run((a,))
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return run((a, b))
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return run((a, b, c))
+
+    return F.arrow_udf((one, two, three)[len(signature(f).parameters) - 1], kind)
 
 
 def annotations(hyp: Column, ref: Column, confidence: Column) -> Column:
     """Word annotations of two texts with single spaces, by a shortest edit script; null of a null text."""
-    f = _each(lambda h, r, c: json.dumps(k.annotate(h.split(), r.split(), None if c != c else c)), "string")
-    return F.from_json(f(hyp, ref, F.coalesce(confidence.cast("double"), F.lit(float("nan")))), WORD)
+    f = _each(lambda h, r, c: k.annotate(h.split(), r.split(), None if c != c else c), WORD)
+    return f(hyp, ref, F.coalesce(confidence.cast("double"), F.lit(float("nan"))))
 
 
 def best_annotations(first: Column, second: Column, ref: Column) -> Column:
     """For each reference word the better of two recognizers' annotations, the first of equals."""
-    f = _each(lambda a, b, r: json.dumps(k.best_of(k.annotate(a.split(), r.split(), None), k.annotate(b.split(), r.split(), None))), "string")
-    return F.from_json(f(first, second, ref), WORD)
+    return _each(lambda a, b, r: k.best_of(k.annotate(a.split(), r.split(), None), k.annotate(b.split(), r.split(), None)), WORD)(first, second, ref)
 
 
 def wrong_words(statuses: Column, words: Column) -> Column:
     """Phrases of wrong words with their places."""
-    f = _each(lambda s, w: json.dumps([{"phrase": p, "first": a, "last": z} for p, a, z in k.wrong_phrases(list(s), list(w))]), "string")
-    return F.from_json(f(statuses, words), "array<struct<phrase: string, first: int, last: int>>")
+    f = lambda s, w: [{"phrase": p, "first": a, "last": z} for p, a, z in k.wrong_phrases(list(s), list(w))]
+    return _each(f, "array<struct<phrase: string, first: int, last: int>>")(statuses, words)
 
 
 def word_errors(hyp: Column, ref: Column) -> Column:
     """What differs between two texts by matching runs: (kind, expected, got) with a word missing or extra, or a phrase substituted."""
 
-    def run(h: str, r: str) -> str:
+    def run(h: str, r: str) -> list[dict]:
         a, b = r.split(), h.split()
         out = []
         for tag, i1, i2, j1, j2 in k.blocks(a, b):
@@ -62,15 +73,15 @@ def word_errors(hyp: Column, ref: Column) -> Column:
                 out += [{"kind": "extra", "expected": None, "got": w} for w in b[j1:j2]]
             elif tag == "replace":
                 out.append({"kind": "substitution", "expected": " ".join(a[i1:i2]), "got": " ".join(b[j1:j2])})
-        return json.dumps(out)
+        return out
 
-    return F.from_json(_each(run, "string")(hyp, ref), "array<struct<kind: string, expected: string, got: string>>")
+    return _each(run, "array<struct<kind: string, expected: string, got: string>>")(hyp, ref)
 
 
 def teachable(words: Column) -> Column:
     """Phrases of reference words to be taught, with their places."""
-    f = _each(lambda w: json.dumps([{"text": t, "first": a, "last": z} for t, a, z in k.teachable([x if isinstance(x, dict) else x.asDict() for x in w])]), "string")
-    return F.from_json(f(words), "array<struct<text: string, first: int, last: int>>")
+    f = lambda w: [{"text": t, "first": a, "last": z} for t, a, z in k.teachable(w)]
+    return _each(f, "array<struct<text: string, first: int, last: int>>")(words)
 
 
 def minor_fixes(words: Column) -> Column:
@@ -122,8 +133,8 @@ CHECK = "struct<skipped: boolean, reason: string, words: array<struct<index: int
 
 
 def vowel_check(predicted: Column, reference: Column, surah: Column, ayah: Column) -> Column:
-    f = _each(lambda p, r, one: json.dumps(check_vowels(p, r, bool(one))), "string")
-    return F.from_json(f(F.coalesce(predicted, F.lit("")), F.coalesce(reference, F.lit("")), F.coalesce((surah == 1) & (ayah == 1), F.lit(False))), CHECK)
+    f = _each(lambda p, r, one: check_vowels(p, r, bool(one)), CHECK)
+    return f(F.coalesce(predicted, F.lit("")), F.coalesce(reference, F.lit("")), F.coalesce((surah == 1) & (ayah == 1), F.lit(False)))
 
 
 def smart(word: str) -> str:
