@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rasm.functions.text import tokens
+from rasm.functions.text import let, tokens
 
 
 def cer(hyp: Column, ref: Column) -> Column:
@@ -21,11 +19,6 @@ def _coded(t: Column, words: Column) -> Column:
     return F.array_join(F.transform(t, char), "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once however often body names it: an expression in a lambda is computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def token_edits(hyp: Column, ref: Column) -> Column:
     """Levenshtein distance of two arrays of words, up to 20,000 different words in a pair."""
     both = F.struct(hyp.alias("h"), ref.alias("r"), F.array_distinct(F.concat(hyp, ref)).alias("w"))

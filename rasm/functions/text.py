@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -146,8 +147,17 @@ def differing_marks(predicted: Column, reference: Column) -> Column:
     return F.when((F.size(pb) != F.size(rb)) | (F.size(pb) == 0), F.array().cast("array<int>")).otherwise(at)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it: an expression in a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def drop_partial_tail(t: Column, ref: Column) -> Column:
     """Words without a last one of up to 4 letters that is no reference word but begins one."""
-    last = F.try_element_at(t, F.lit(-1))
-    cut = F.exists(ref, lambda r: F.startswith(r, last) & (F.length(r) > F.length(last))) & ~F.array_contains(ref, last) & (F.length(last) <= 4)
-    return F.when(F.coalesce(cut, F.lit(False)), F.slice(t, 1, F.size(t) - 1)).otherwise(t)
+
+    def cut(x: Column) -> Column:
+        last = x["last"]
+        begins = F.exists(x["ref"], lambda r: F.startswith(r, last) & (F.length(r) > F.length(last))) & ~F.array_contains(x["ref"], last) & (F.length(last) <= 4)
+        return F.when(F.coalesce(begins, F.lit(False)), F.slice(x["t"], 1, F.size(x["t"]) - 1)).otherwise(x["t"])
+
+    return let(t, lambda w: let(F.struct(w.alias("t"), ref.alias("ref"), F.try_element_at(w, F.lit(-1)).alias("last")), cut))

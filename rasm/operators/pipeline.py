@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasm.functions import columns as col
 from rasm.functions import text as tx
 from rasm.operators import align, corpus, guard, retrieve, sessions, windows
-from rasm.session import broadcast_if_small, written
+from rasm.session import broadcast_if_small, spread, written
 
 #: How far matching looks while a correction is open, and else: (back, ahead, verses of a run).
 STRICT, WIDE = (0, 0, 1), (5, 10, 8)
@@ -30,7 +30,8 @@ def word_scores(df: DataFrame, text: str, ref: str) -> DataFrame:
     c = F.col
     t = tx.tokens(tx.fix_rules(c(text)))
     hyp = F.array_join(tx.drop_partial_tail(t, tx.tokens(c(ref))), " ")
-    out = df.withColumn("_hyp", hyp).withColumn("words", align.spoken(align.annotations(c("_hyp"), c(ref), F.lit(None))))
+    first = written(df.withColumn("_hyp", hyp).withColumn("_words", align.annotations(c("_hyp"), c(ref), F.lit(None))))  # used many times
+    out = spread(first).withColumn("words", align.spoken(c("_words"))).drop("_words")
     some = lambda p: F.exists("words", p)
     verdict = F.when(some(lambda x: ~x["status"].isin("correct", "minor")), "error").when(some(lambda x: x["status"] == "minor"), "minor").when(F.size("words") > 0, "ok")
     fixed = align.minor_fixes(c("words"))
