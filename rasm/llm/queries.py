@@ -69,6 +69,15 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d, 1).select(c("entity").alias("session_id"), c("event").cast("int").alias("matched_ayah"), c("first_index").cast("int").alias("first_chunk_index"), c("last_index").cast("int").alias("last_chunk_index"), c("n").alias("chunks"), c("from_s"), c("to_s"))
 
 
+def p5_text_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of two or more chunks of a session with nearly the same text: the same letters, whatever else stands between them."""
+    c = F.col
+    letters = F.regexp_replace(F.coalesce("corrected_text", F.lit("")), r"[^\p{L}]", "")
+    event = F.when(letters != "", F.xxhash64(letters))
+    r = runs.collapse_runs(table(spark, d, "chunk_results"), "session_id", "chunk_index", event, "start_time_s", "end_time_s", "received_at", 2)
+    return r.select(c("entity").alias("session_id"), c("first_index").cast("int").alias("first_chunk_index"), c("last_index").cast("int").alias("last_chunk_index"), c("n").alias("chunks"), c("from_s"), c("to_s"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(_texts(spark, d), "text")
 
@@ -81,7 +90,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "documents").select("doc_id", "text", "paper_key"), "doc_id", "text", "paper_key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_percentiles, p2_by_month, p3_found, p3_groups, p5_found, p5_runs, p6_ids, p7_pack, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_percentiles, p2_by_month, p3_found, p3_groups, p5_found, p5_runs, p5_text_runs, p6_ids, p7_pack, p8_found)}
 
 _RUNS = """
 with once as (select session_id, chunk_index, arg_min(matched_ayah, received_at) as m, arg_min(start_time_s, received_at) as s, arg_min(end_time_s, received_at) as e
@@ -101,6 +110,8 @@ node as (select w, count(distinct rec_key) filter (where role = 0) as c, count(d
 hit as (select win.* from win join node using (w) where (role = 0 and (c >= 2 or v >= 1)) or (role = 1 and v >= 2))
 """
 
+_LETTERS = _RUNS.replace("arg_min(matched_ayah, received_at)", "nullif(regexp_replace(coalesce(arg_min_null(corrected_text, received_at), ''), '[^\\p{{L}}]', '', 'g'), '')")
+
 SQL = {
     "p1_found": _WINDOWS + "select distinct rec_key from hit",
     "p1_shared": _WINDOWS + """,
@@ -110,5 +121,6 @@ select rec_key, cast(sum(case when before is null or i > before + 60 then 1 else
        round(cast(sum(case when before is null then 60 else least(60, i - before) end) as double) / max(n), 6) as share
 from step group by rec_key""",
     "p5_found": _RUNS.format(columns=_ENDS) + " having count(*) > 1",
+    "p5_text_runs": _LETTERS.format(columns=f"{_ENDS}, count(*) as chunks, arg_min_null(s, r) as from_s, arg_max_null(e, r) as to_s") + " having count(*) > 1",
     "p5_runs": _RUNS.format(columns=f"cast(m as int) as matched_ayah, {_ENDS}, count(*) as chunks, arg_min_null(s, r) as from_s, arg_max_null(e, r) as to_s"),
 }
