@@ -54,5 +54,5 @@ def test_nearly_the_same_texts(spark):
     rows = [("s", 1, "ab c", 1.0, 2.0, 1), ("s", 2, "a b, C".lower(), 2.0, 3.0, 1), ("s", 3, None, 3.0, 4.0, 1), ("s", 4, "abc!", 4.0, 5.0, 1), ("s", 5, "x", 5.0, 6.0, 1)]
     df = spark.createDataFrame(rows, "session_id string, i int, t string, a double, z double, at int")
     letters = F.regexp_replace("t", r"[^\p{L}]", "")
-    got = runs.collapse_runs(df, "session_id", "i", F.when(letters != "", F.xxhash64(letters)), "a", "z", "at", 2).collect()
+    got = collapse_runs(df, "session_id", "i", F.when(letters != "", F.xxhash64(letters)), "a", "z", "at", 2).collect()
     assert [(r["first_index"], r["last_index"], r["n"], r["seconds"]) for r in got] == [(1, 4, 3, 4.0)]
