@@ -427,6 +427,20 @@ def sticky(old: str | None, new: str | None) -> str | None:
     return old if old == "correct" or new is None else new
 
 
+def heard_statuses(said: list[str], ref: list[str], before: list[str | None], voweled: set[str] = frozenset(), least: float = 0.72) -> list[str | None]:
+    """Statuses of the reference's words after something was said of them, by matching runs: equal ones are correct (harakaat if among
+    `voweled`), replaced ones correct from a likeness of `least`, else wrong; correct stays, and so does what was not touched."""
+    out = list(before)
+    for tag, i1, i2, j1, j2 in blocks(said, ref):
+        if tag not in ("equal", "replace"):
+            continue
+        for i, j in zip(range(i1, i2), range(j1, j2)):
+            if out[j] != "correct":
+                like = 1.0 if tag == "equal" else indel_ratio(said[i], ref[j]) / 100
+                out[j] = "harakaat" if tag == "equal" and ref[j] in voweled else "correct" if like >= least else "wrong"
+    return out
+
+
 def transition(previous: int, current: int, surah: list[int], first: list[bool], locked: bool) -> float:
     """Score of going from verse to verse (numbers in corpus order): from the end of a chapter to the first verse of any is a boundary."""
     if surah[previous] != surah[current]:

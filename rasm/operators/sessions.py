@@ -138,6 +138,32 @@ def word_statuses(df: DataFrame, key: list[str], at: str, status: str, seq: str)
     return df.where(c(status).isNotNull()).groupBy(*key, at).agg(F.when(ok, "correct").otherwise(last).alias("status"))
 
 
+def healed(df: DataFrame, key: str, order: str, said: str, ref: str, voweled: str) -> DataFrame:
+    """`key, statuses`: the words of each verse after all that was said of it (arrays of words), by kernels.heard_statuses; `key` names a
+    session's verse."""
+
+    class Words:
+        of: list | None = None
+
+    def step(s: Words, r: dict) -> dict:
+        s.of = k.heard_statuses(r[said] or [], r[ref] or [], s.of if s.of is not None else [None] * len(r[ref] or []), set(r[voweled] or []))
+        return {"statuses": s.of}
+
+    each = fold(df, key, [order], Words, step, "statuses array<string>", [said, ref, voweled])
+    return each.groupBy(key).agg(F.max_by("statuses", order).alias("statuses"))
+
+
+def progressed(df: DataFrame, key: str = "session_id", order: str = "chunk_index", share: float = 0.60) -> DataFrame:
+    """`key, matched_ayah, cer, wer, confidence, low_share, verdict` of whole sessions: the verse before the pointer, and means. Where `share`
+    of the chunks are of low confidence the pointer is not trusted: no verse, no means, and the text goes by the rules alone."""
+    c = F.col
+    last = progress(df, key, order).groupBy(key).agg(F.max_by("pointer", order).alias("pointer"))
+    sums = df.groupBy(key).agg(F.avg("cer").alias("cer"), F.avg("wer").alias("wer"), F.avg("confidence").alias("confidence"), F.avg(F.when(c("confidence_level") == "low", 1.0).otherwise(0.0)).alias("low_share"))
+    weak = c("low_share") >= share
+    means = [F.when(~weak, F.round(x, 8)).alias(x) for x in ("cer", "wer", "confidence")]
+    return sums.join(last, key).select(key, F.when(~weak, c("pointer") - 1).alias("matched_ayah"), *means, F.round("low_share", 6).alias("low_share"), F.when(weak, "fallback_fullpass_rule_only").otherwise("progressive").alias("verdict"))
+
+
 def without_stale(pending: DataFrame, gone: DataFrame, key: str, index: str, at: str, within: float) -> DataFrame:
     """`pending` without the rows that start less than `within` from another row of `gone` of the same session: met in buckets of time."""
     c = F.col

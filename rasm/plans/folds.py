@@ -20,6 +20,11 @@ POINTER = fold(
     f"{_MOVE('1')} as pointer", f"{_MOVE('f.pointer')}", "cast(pointer as int) as pointer",
 )
 
+RESULTS = f"""{POINTER.split(' select session_id, chunk_index, cast(pointer')[0]}, p as (select session_id, arg_max(pointer, chunk_index) as pointer from f group by session_id),
+m as (select session_id, avg(r.cer) as cer, avg(r.wer) as wer, avg(r.conf) as conf, avg(case when r.lev = 'low' then 1.0 else 0.0 end) as low from once group by session_id)
+select session_id, cast(case when low < 0.60 then pointer - 1 end as int) as matched_ayah, case when low < 0.60 then round(cer, 8) end as cer, case when low < 0.60 then round(wer, 8) end as wer, case when low < 0.60 then round(conf, 8) end as confidence,
+round(low, 6) as low_share, case when low < 0.60 then 'progressive' else 'fallback_fullpass_rule_only' end as verdict from m join p using (session_id)"""
+
 _WORDS = lambda s: S.tokens(f"trim({s} || ' ' || n.t)").replace("string_split(trim", "string_split(trim")
 _CUT = lambda w: f"len({w}) > 0 and not list_contains(n.ref, ({w})[-1]) and len(list_filter(n.ref, lambda x: starts_with(x, ({w})[-1]) and length(x) > length(({w})[-1]))) > 0"
 _FR = lambda s: f"case when {_CUT(_WORDS(s))} then ({_WORDS(s)})[-1] else '' end"
@@ -60,4 +65,4 @@ f as (select session_id, i, last, s as a, e as z, e - s >= 4.0 as closed from n
  union all select session_id, i, last, a, z, z - a >= 4.0 from (select n.session_id, n.i, n.last, case when f.closed then n.s else f.a end as a, case when f.closed then n.e else greatest(f.z, n.e) end as z from f join n on n.session_id = f.session_id and n.i = f.i + 1))
 select session_id, a as from_s, z as to_s from f where closed or i = last"""
 
-SQL = {"progressive_pointer": POINTER, "fragment_carry": FRAGMENTS, "lock_fsm": LOCKS, "correction_fsm": CORRECTIONS, "blip_fold": BLIPS}
+SQL = {"progressive_pointer": POINTER, "progress_results": RESULTS, "fragment_carry": FRAGMENTS, "lock_fsm": LOCKS, "correction_fsm": CORRECTIONS, "blip_fold": BLIPS}

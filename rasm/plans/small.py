@@ -381,3 +381,23 @@ def upload_results(spark: SparkSession, d: str) -> DataFrame:
     """Each different text of the evaluation as an upload of its own."""
     e = table(spark, d, "eval_rows").where("raw is not null").groupBy("eval_id").agg(F.min(F.struct("ingested_at", "surah", "ayah", "raw")).alias("r"))
     return pipeline.upload(e.select("eval_id", "r.surah", c("r.ayah").alias("expected"), "r.raw"), "eval_id", _ref(spark, d))
+
+
+@query()
+def progress_results(spark: SparkSession, d: str) -> DataFrame:
+    """What the pointer of each session came to, or that too much was of low confidence."""
+    return sessions.progressed(_once(spark, d, "matched_ayah", "verdict", "cer", "wer", "coverage", "confidence", "confidence_level"))
+
+
+SQL["progress_results"] = folds.RESULTS
+
+
+@query()
+def healed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Status of each word of the verses of a session after all its chunks."""
+    ref = _ref(spark, d).select(F.concat_ws(":", "surah", "ayah").alias("id"), c("tokens").alias("ref"))
+    t = _once(spark, d, "corrected_text", "matched_surah_ayah_id", "harakaat_errors").join(broadcast_if_small(ref), c("matched_surah_ayah_id") == c("id"))
+    marks = F.transform(F.coalesce("harakaat_errors", F.array()), lambda x: tx.normalize(x["predicted"]))
+    t = t.select(F.concat_ws("|", "session_id", "id").alias("verse"), "chunk_index", tx.tokens(tx.normalize(c("corrected_text"))).alias("said"), "ref", marks.alias("marks"))
+    done = sessions.healed(t, "verse", "chunk_index", "said", "ref", "marks")
+    return done.select(F.substring_index("verse", "|", 1).alias("session_id"), F.substring_index("verse", "|", -1).alias("id"), F.posexplode("statuses").alias("at", "status")).where("status is not null")

@@ -141,3 +141,12 @@ def test_emitter_keeps_what_a_lock_may_lift():
         assert a == c[:5] and b == c[:5] + [x for x in c[5:] if x[1] > c[4][1] - 0.1]
         some = list(range(0, 60, 2))
         assert few(w, some) == every(w, some)[:5] and set(more(w, some)) >= set(few(w, some))
+
+
+def test_words_that_heal():
+    ref = "abcd efgh ijkl".split()
+    a = k.heard_statuses("abcx zzzz".split(), ref, [None] * 3)
+    assert a == ["correct", "wrong", None]
+    b = k.heard_statuses("efgh".split(), ref, a, {"efgh"})
+    assert b == ["correct", "harakaat", None] and k.heard_statuses(ref, ref, b) == ["correct"] * 3
+    assert k.heard_statuses([], ref, a) == a and k.heard_statuses(["x"], [], []) == []
