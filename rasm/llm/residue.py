@@ -144,6 +144,8 @@ def thrice(line: str) -> bool:
 
 def _suspect(line: str) -> bool:
     """Whether latin() or repeated() may find something, in a looser way than they do: a false answer is sure."""
+    if len(line) < 8:  # three words of two letters
+        return False
     low = line.lower()
     words = PIECE.findall(low)
     some = set(words)
@@ -222,6 +224,8 @@ class Units:
         own = key(p) if _says(p) else None
         if own is not None:
             self.units[own] = len(p)
+        if "¤" not in p and p[1:] == p[1:].lower():  # no capital within
+            return own
         h, at = blake2b(digest_size=8), 0
         for m in CAPITAL.finditer(p):  # every head from the one before it
             h.update(p[at : m.start()].casefold().encode("utf-8", "surrogatepass"))
