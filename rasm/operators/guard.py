@@ -38,6 +38,10 @@ def strip_invocations(text: Column, how: str = "fuzzy") -> Column:
     return align._each(run, "string")(norm)
 
 
+# Names of columns that the guard makes; a key of such a name has to be renamed before.
+OWN = {"surah", "expected", "raw", "lock", "rules", "working", "norm", "at", "in", "found", "seq", "first_ayah", "last_ayah", "verse", "said", "cer", "wer", "coverage", "confidence", "alignment", "level", "verdict", "correction", "corrected", "b", "band", "near", "few", "is_sequence", "_key"}
+
+
 def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[str], mode: str = "balanced", preserve: bool = True, auto: bool = False, back: int = 1, ahead: int = 3, basmala: bool = True, lock: str | None = None) -> DataFrame:
     """keys and `raw, rules, surah, first_ayah, last_ayah, is_sequence, cer, wer, coverage, confidence, alignment, level, verdict, correction,
     corrected` for hypotheses (keys, surah, expected, raw, and the column `lock` if named).
@@ -52,6 +56,8 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
     Without a candidate the scores are 1, 1, 0, 0, 0 and the verdict is error; a null raw text is ''."""
     if mode not in ("safe", "balanced", "aggressive"):
         raise ValueError(f"no such mode: {mode}")
+    if taken := set(keys) & OWN:
+        raise ValueError(f"key columns with names of the guard's own: {sorted(taken)}")
     mode = "balanced" if auto and mode == "safe" else mode
     c = F.col
     base = hyp.select(*keys, "surah", "expected", F.coalesce("raw", F.lit("")).alias("raw"), (c(lock) if lock else F.lit(None)).cast("int").alias("lock"))
@@ -71,15 +77,15 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
         runs = match.sequences(base.where("surah is not null").select(*keys, c("in").alias("surah"), c("at").alias("expected"), "norm"), spans, keys, back, ahead)
         one = one.unionByName(runs.select(*keys, F.lit(None).cast("int").alias("found"), c("start").alias("first_ayah"), c("end").alias("last_ayah"), F.lit(1).alias("seq"), *score))
         one = one.groupBy(*keys).agg(F.max(F.struct("alignment", "seq", *[x for x in one.columns if x not in (*keys, "alignment", "seq")])).alias("b")).select(*keys, "b.*")
-    texts = ref.select("surah", F.struct("surah", c("ayah").alias("a"), c("ayah").alias("z")).alias("k"), "norm_text")
+    texts = ref.select("surah", F.struct("surah", c("ayah").alias("a"), c("ayah").alias("z")).alias("_key"), "norm_text")
     if spans is not None:
-        texts = texts.unionByName(spans.where("start < end").select("surah", F.struct("surah", c("start").alias("a"), c("end").alias("z")).alias("k"), c("text").alias("norm_text")))
+        texts = texts.unionByName(spans.where("start < end").select("surah", F.struct("surah", c("start").alias("a"), c("end").alias("z")).alias("_key"), c("text").alias("norm_text")))
     g = base.join(one, keys, "left")
     if spans is not None:  # without a surah a run of score 0 stands against the verse, and wins at 0
         none = c("surah").isNull() & (c("alignment") <= 0)
         g = g.select(*base.columns, *[F.when(~F.coalesce(none, F.lit(False)), c(x)).alias(x) for x in one.columns if x not in keys])
-    g = g.withColumn("surah", F.when(c("in") == -1, c("surah")).otherwise(F.coalesce("surah", "found"))).withColumn("k", F.struct("surah", c("first_ayah").alias("a"), c("last_ayah").alias("z")))
-    g = spread(g.join(broadcast_if_small(texts.select("k", c("norm_text").alias("verse"))), "k", "left"), *keys)
+    g = g.withColumn("surah", F.when(c("in") == -1, c("surah")).otherwise(F.coalesce("surah", "found"))).withColumn("_key", F.struct("surah", c("first_ayah").alias("a"), c("last_ayah").alias("z")))
+    g = spread(g.join(broadcast_if_small(texts.select("_key", c("norm_text").alias("verse"))), "_key", "left"), *keys)
     said = align._each(lambda h, r: " ".join(k.spoken_reference(h.split(), r.split())), "string")(c("norm"), c("verse"))
     g = g.withColumn("said", said).withColumn("said", F.when((c("said") != "") & (F.length("said") < F.length("verse")), c("said")))
     h, r = tx.tokens(c("norm")), tx.tokens(c("said"))
