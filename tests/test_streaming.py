@@ -10,8 +10,10 @@ from rasm.streaming import processors as P
 def streamed(spark, df, build, tmp_path, name):
     df.repartition(1).write.mode("overwrite").parquet(str(tmp_path / name))
     src = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a state store for each takes its time
     q = build(src).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert q.exception() is None
     return spark.table(name)
 
