@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,27 +83,38 @@ def ngram_candidates(queries: DataFrame, key: str, index: DataFrame, sizes: tupl
     return hits.withColumn("rank", rank).where(c("rank") <= k)
 
 
-def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30) -> DataFrame:
-    """`key, surah, score, bm25, fuzzy`: best verse of each chapter by 0.4 x BM25 (of the perfect score) + 0.6 x partial ratio."""
-    c = F.col
-    top = bm25(queries, key, ref, k).select(key, "global_idx", "score")
-    have = top.groupBy(key).agg(F.count("*").alias("have"), F.collect_set("global_idx").alias("in"))  # at most k
-    lacking = queries.select(key).join(have, key, "left").where(F.coalesce("have", F.lit(0)) < k)
-    first = ref.where(c("global_idx") < 2 * k).select("global_idx")  # with at most k taken, k zero scores lie within the first 2k
-    fill = lacking.crossJoin(F.broadcast(first)).where(~F.coalesce(F.array_contains("in", c("global_idx")), F.lit(False)))
-    fill = fill.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("global_idx"))).where(c("r") <= k - F.coalesce("have", F.lit(0)))
-    cand = top.unionByName(fill.select(key, "global_idx", F.lit(0.0).alias("score")))
-    pairs = cand.join(broadcast_if_small(ref.select("global_idx", "surah", "norm_text")), "global_idx").join(queries.select(key, "norm"), key).join(perfect(queries, key, ref), key, "left")
-    pairs = spread(pairs, key, "global_idx")
-
-    @F.pandas_udf("double")
-    def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.partial_ratio(x or "", y or "") / 100 for x, y in zip(a, b)], dtype=float)
+def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30, best: bool = False) -> DataFrame:
+    """`key, surah, score, bm25, fuzzy`: best verse of each chapter by 0.4 x BM25 (of the perfect score) + 0.6 x partial ratio; with `best`
+    only the best of all, of equal ones the first chapter.
 
-    share = F.least(F.lit(1.0), F.coalesce(F.try_divide("score", "perfect"), F.lit(0.0)))
-    s = pairs.withColumns({"bm25": share, "fuzzy": fuzzy("norm", "norm_text")}).withColumn("final", F.round(0.4 * c("bm25") + 0.6 * c("fuzzy"), 6))
-    one = s.groupBy(key, "surah").agg(F.max(F.struct("final", (-c("global_idx")).alias("i"), "bm25", "fuzzy")).alias("b"))
-    return one.select(key, "surah", c("b.final").alias("score"), F.round("b.bm25", 4).alias("bm25"), F.round("b.fuzzy", 4).alias("fuzzy"))
+    Each different text is ranked once, in one pass over arrays of the small and fixed corpus."""
+    c = F.col
+    order = bounded(ref.select("global_idx", "surah", "norm_text").orderBy("global_idx"))
+    mean = ref.select(F.avg(F.size("tokens")).alias("mean"))
+    own = corpus.postings(ref).join(broadcast_if_small(corpus.term_stats(ref)), "term").crossJoin(F.broadcast(mean)).join(broadcast_if_small(ref.select("surah", "ayah", "global_idx")), ["surah", "ayah"])
+    place = {r["global_idx"]: i for i, r in enumerate(order)}
+    terms: dict[str, list[tuple[int, float]]] = {}
+    idf: dict[str, float] = {}
+    for r in bounded(own.select("term", "idf", "global_idx", corpus.bm25(c("tf"), c("idf"), c("dl"), c("mean")).alias("w"))):
+        terms.setdefault(r["term"], []).append((place[r["global_idx"]], r["w"]))
+        idf[r["term"]] = r["idf"]
+    weights = {t: (np.array([i for i, _ in sorted(x)]), np.array([w for _, w in sorted(x)])) for t, x in terms.items()}
+    verses, surah = [r["norm_text"] or "" for r in order], np.array([r["surah"] for r in order], np.int32)
+    group = np.zeros(len(surah), np.int32) if best else surah
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranker = kernels.Ranker(verses, weights, idf)
+        for b in batches:
+            found = ranker.best([(t or "", w or []) for t, w in zip(b.column("norm").to_pylist(), b.column("words").to_pylist())], group, k)
+            each = [x for f in found for x in f]
+            own = pa.StructArray.from_arrays([pa.array([int(surah[i]) for i, _, _ in each], pa.int32()), pa.array([s for _, s, _ in each], pa.float64()), pa.array([f for _, _, f in each], pa.float64())], ["surah", "bm25", "fuzzy"])
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("norm"), b.column("words"), pa.ListArray.from_arrays(ends, own)], names=["norm", "words", "found"])
+
+    texts = spread(queries.select("norm", "words").distinct(), "norm")
+    done = texts.mapInArrow(run, "norm string, words array<string>, found array<struct<surah: int, bm25: double, fuzzy: double>>").withColumnsRenamed({"norm": "_norm", "words": "_words"})
+    rows = queries.join(done, c("norm").eqNullSafe(c("_norm")) & c("words").eqNullSafe(c("_words"))).select(key, F.inline("found"))
+    return rows.select(key, "surah", F.round(0.4 * c("bm25") + 0.6 * c("fuzzy"), 6).alias("score"), F.round("bm25", 4).alias("bm25"), F.round("fuzzy", 4).alias("fuzzy"))
 
 
 def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step: int = 3, online: bool = False, locked: int | None = None, start: int | None = None) -> DataFrame:
