@@ -138,24 +138,29 @@ def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step:
     order, verses, first = [r["surah"] for r in fixed], [r["norm_text"] for r in fixed], [r["ayah"] == 1 for r in fixed]
     within = 0.4 if online else 0.0  # what the lock may add to one verse and take from another
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = kernels.emitter(verses, within=within)
         for b in batches:
-            cand = [of(w.split(" "), None if h is None else [int(x) for x in h]) for w, h in zip(b["window"], b["hits"])]
-            yield pd.DataFrame({"window": b["window"], "cand": [[{"global_idx": v, "emission": s} for v, s in x] for x in cand]})
+            cand = of.many([(w.split(" "), h) for w, h in zip(b.column("window").to_pylist(), b.column("hits").to_pylist())])
+            ends = pa.array(np.cumsum([0, *map(len, cand)]), pa.int32())
+            each = [pa.array([x[i] for c in cand for x in c], t) for i, t in ((0, pa.int64()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("window"), *[pa.ListArray.from_arrays(ends, x) for x in each]], names=["window", "verses", "scores"])
 
-    em = each.mapInPandas(emit, "window string, cand array<struct<global_idx: long, emission: double>>")
-    paths = wins.join(em, "window").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "cand"))).alias("steps"))
+    em = each.mapInArrow(emit, "window string, verses array<long>, scores array<double>")
+    paths = spread(wins.join(em, "window"), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "verses", "scores"))).alias("steps"))
+    paths = paths.select(key, *[c(f"steps.{x}").alias(x) for x in ("t", "verses", "scores")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, st in zip(b[key], b["steps"]):
-                path = kernels.viterbi([[(int(x["global_idx"]), float(x["emission"])) for x in s["cand"]] for s in st], order, False if locked is None else locked, start=start, first=first, online=online)
-                rows += [(k, s["t"], v, e) for s, (v, e) in zip(st, path)]
-            yield pd.DataFrame(rows, columns=[key, "step", "global_idx", "emission"])
-
-    return paths.mapInPandas(run, f"{key} {dict(queries.dtypes)[key]}, step int, global_idx long, emission double")
+            every, size = [], []
+            for t, v, s in zip(*(b.column(x).to_pylist() for x in ("t", "verses", "scores"))):
+                path = kernels.viterbi([list(zip(x, y)) for x, y in zip(v, s)], order, False if locked is None else locked, start=start, first=first, online=online)
+                every += [(n, *x) for n, x in zip(t, path)]
+                size.append(len(path))
+            own = b.column(key).take(pa.array(np.repeat(np.arange(len(size)), size), pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, *[pa.array([x[i] for x in every], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.float64()))]], names=[key, "step", "global_idx", "emission"])
+
+    return paths.mapInArrow(run, f"{key} {dict(queries.dtypes)[key]}, step int, global_idx long, emission double")
 
 
 def aligned(paths: DataFrame, queries: DataFrame, key: str, step: int = 3) -> DataFrame:
