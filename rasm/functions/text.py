@@ -85,15 +85,20 @@ def tokens(c: Column) -> Column:
 
 
 def collapse_repeats(t: Column) -> Column:
-    """Words without those equal to the one before."""
-    return F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1)))
+    """Words without those equal to the one before. No lambda names t, which would be computed again for each word."""
+    before = F.concat(F.array(F.lit(None).cast("string")), t)
+    return F.filter(F.zip_with(t, before, lambda x, y: F.when(y.isNull() | (x != y), x)), lambda x: x.isNotNull())
 
 
 def tile(t: Column) -> Column:
     """The shortest block that, repeated, gives all words."""
-    n = F.size(t)
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda k: (n % k == 0) & F.forall(F.sequence(F.lit(0), n - 1), lambda i: F.get(t, i) == F.get(t, i % k)))
-    return F.when(n <= 1, t).otherwise(F.slice(t, 1, F.get(fits, F.lit(0))))
+
+    def block(w: Column) -> Column:
+        n = F.size(w)
+        fits = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda k: (n % k == 0) & F.forall(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, i) == F.get(w, i % k)))
+        return F.when(n <= 1, w).otherwise(F.slice(w, 1, F.get(fits, F.lit(0))))
+
+    return let(t, block)
 
 
 def ngrams(t: Column, n: int) -> Column:

@@ -22,7 +22,9 @@ def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int, fallba
     c = F.col
     struct = F.struct(*[c(x) for x in cand.columns])
     places = F.sequence(c(at) - ahead, c(at) + back)
-    bands = cand.where(c(at) >= 1).select(c("surah").alias("band_surah"), F.explode(places).alias("band_at"), struct.alias("x")).groupBy("band_surah", "band_at").agg(F.collect_list("x").alias("band"))
+    bands = cand.where(c(at) >= 1).select(c("surah").alias("band_surah"), F.explode(places).alias("band_at"), struct.alias("x"))
+    nearest = F.sort_array(F.collect_list(F.struct(F.abs(c("x")[at] - c("band_at")).alias("off"), "x")))  # with the least CER early, others are soon given up
+    bands = bands.groupBy("band_surah", "band_at").agg(F.transform(nearest, lambda y: y["x"]).alias("band"))
     out = hyp.join(broadcast_if_small(written(bands)), (c("surah") == c("band_surah")) & (c("expected") == c("band_at")), "left").drop("band_surah", "band_at")
     if fallback is None:
         return out.where("band is not null").withColumnRenamed("band", "near")

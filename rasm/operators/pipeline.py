@@ -61,7 +61,7 @@ def chunks(df: DataFrame, starts: DataFrame, verses: DataFrame) -> DataFrame:
     keys = ["session_id", "chunk_index"]
     ref = corpus.reference(verses)
     one, two = combined(c("raw"), c("second"))
-    rows = df.join(starts.select("session_id", c("surah").alias("given"), "start_ayah"), "session_id", "left")
+    rows = spread(df.join(starts.select("session_id", c("surah").alias("given"), "start_ayah"), "session_id", "left"), *keys)
     rows = rows.withColumns({"text": F.coalesce(one, F.lit("")), "other": two}).withColumn("analysed", guard.strip_invocations(c("text"), "words"))
     quiet = windows.gate(c("seconds"), c("level")) == "skipped"
     rows = rows.withColumn("skipped", F.coalesce(quiet, F.lit(False)) | col.only_invocations(c("text"), c("analysed")))
@@ -75,7 +75,7 @@ def chunks(df: DataFrame, starts: DataFrame, verses: DataFrame) -> DataFrame:
     g = guard.forced(g, ref).withColumn("verdict", F.when(c("wrong"), "error").otherwise(c("verdict"))).drop("text")
     text = ref.select(c("surah").alias("s"), c("ayah").alias("a"), c("norm_text").alias("verse"))
     g = g.join(broadcast_if_small(text), (c("surah") == c("s")) & (c("matched") == c("a")), "left").drop("s", "a")
-    g = written(word_scores(g, "analysed", "verse"))
+    g = written(word_scores(spread(g, *keys), "analysed", "verse"))
     g = g.withColumn("verdict", F.when(c("wrong"), "error").otherwise(F.coalesce("word_verdict", "verdict")))
     n = F.count("*").over(Window.partitionBy("session_id").orderBy("chunk_index").rowsBetween(-7, 0))
     votes = g.select(*keys, c("surah").alias("matched"), c("matched").alias("ayah"), "confidence", n.alias("heard"), *[F.lit(None).cast(t).alias(x) for x, t in (("surah", "int"), ("score", "double"), ("margin", "double"))])
