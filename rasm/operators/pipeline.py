@@ -102,6 +102,6 @@ def upload(texts: DataFrame, key: str, ref: DataFrame) -> DataFrame:
     g = guard.guard(texts, ref, corpus.spans(ref, WIDE[2]), [key], back=2, ahead=10).select(key, c("surah").alias("guard_surah"), c("first_ayah").alias("guard_ayah"), "verdict")
     paths = retrieve.aligned(retrieve.viterbi(q, key, ref, online=True), q, key)
     begin = paths.groupBy(key).agg(F.min(F.struct("at", "global_idx", "confidence")).alias("p"))
-    best = retrieve.rerank(q.where("norm <> ''"), key, ref).groupBy(key).agg(F.max(F.struct("score", (-c("surah")).alias("m"))).alias("r"))
+    best = retrieve.rerank(q.where("norm <> ''"), key, ref, best=True).select(key, "surah", "score")
     out = texts.select(key).join(g, key, "left").join(begin, key, "left").join(best, key, "left")
-    return out.select(key, "guard_surah", "guard_ayah", "verdict", c("p.global_idx").alias("path_verse"), c("p.confidence").alias("path_confidence"), (-c("r.m")).alias("surah"), c("r.score").alias("score"))
+    return out.select(key, "guard_surah", "guard_ayah", "verdict", c("p.global_idx").alias("path_verse"), c("p.confidence").alias("path_confidence"), "surah", "score")

@@ -50,3 +50,20 @@ def test_rerank_best_of_all(spark):
         every.setdefault(x["q"], []).append((x["score"], -x["surah"], x["bm25"], x["fuzzy"]))
     assert {k: len(v) for k, v in every.items()} == dict.fromkeys("abcde", 3) and every["a"] == every["b"]
     assert {x["q"]: (x["score"], -x["surah"], x["bm25"], x["fuzzy"]) for x in retrieve.rerank(q, "q", ref, best=True).collect()} == {k: max(v) for k, v in every.items()}
+
+
+def test_upload_asks_for_the_best_chapter_only(spark, monkeypatch):
+    from rasm.operators import pipeline
+
+    ref = corpus.reference(spark.createDataFrame([(1, 1, "علم حرم"), (2, 1, "علم حرم"), (3, 1, "جدح")], "surah int, ayah int, text string"))
+    df = spark.createDataFrame([("a", 2, 1, "علم حرم"), ("b", None, None, "جدح علم"), ("c", 1, 1, None)], "k string, surah int, expected int, raw string")
+    most, rerank = [], retrieve.rerank
+
+    def counted(*args, **kwargs):
+        rows = rerank(*args, **kwargs)
+        most.extend(r["count"] for r in rows.groupBy("k").count().collect())
+        return rows
+
+    monkeypatch.setattr(retrieve, "rerank", counted)
+    got = {r["k"]: r["surah"] for r in pipeline.upload(df, "k", ref).collect()}
+    assert got == {"a": 1, "b": 3, "c": None} and most == [1, 1]
