@@ -110,12 +110,13 @@ def ngrams(t: Column, n: int) -> Column:
 def fix_rules(c: Column, mode: str = "balanced") -> Column:
     """Normalized text with repeated words dropped; but in safe mode known phrases and then known words put right, and in aggressive
     mode three more phrases."""
-    text = F.array_join(collapse_repeats(tokens(normalize(c))), " ")
+    words = lambda x: F.array_remove(F.split(x, " "), "")  # noqa: E731  (tokens() of single spaces, with x named once)
+    text = F.array_join(let(words(normalize(c)), collapse_repeats), " ")
     if mode == "safe":
         return text
     put = lambda x, fixes: reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), fixes, x)
     known = F.create_map(*[F.lit(x) for p in TOKEN_FIXES.items() for x in p])
-    text = F.array_join(F.transform(tokens(put(text, PHRASE_FIXES)), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+    text = F.array_join(F.transform(words(put(text, PHRASE_FIXES)), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
     return put(text, AGGRESSIVE_FIXES) if mode == "aggressive" else text
 
 

@@ -39,7 +39,7 @@ def strip_invocations(text: Column, how: str = "fuzzy") -> Column:
 
 
 # Names of columns that the guard makes; a key of such a name has to be renamed before.
-OWN = {"surah", "expected", "raw", "lock", "rules", "working", "norm", "at", "in", "found", "seq", "first_ayah", "last_ayah", "verse", "said", "cer", "wer", "coverage", "confidence", "alignment", "level", "verdict", "correction", "corrected", "b", "band", "near", "few", "is_sequence", "_key"}
+OWN = {"surah", "expected", "raw", "lock", "rules", "working", "norm", "at", "in", "found", "seq", "first_ayah", "last_ayah", "verse", "said", "cer", "wer", "coverage", "confidence", "alignment", "level", "verdict", "correction", "corrected", "b", "band", "near", "few", "is_sequence", "_key", "spoken"}
 
 
 def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[str], mode: str = "balanced", preserve: bool = True, auto: bool = False, back: int = 1, ahead: int = 3, basmala: bool = True, lock: str | None = None) -> DataFrame:
@@ -66,15 +66,15 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
         words.setdefault(r["surah"], set()).add(r["w"])
     base = spread(base, *keys).withColumn("rules", align.split_known_of(tx.fix_rules(c("raw"), mode), c("lock"), words))
     stripped = F.array_join(tx.without_basmala(tx.tokens(c("rules")), c("surah"), c("expected")), " ") if basmala else c("rules")
-    base = base.withColumn("working", stripped).withColumn("norm", tx.normalize(c("working")))
+    base = base.withColumn("working", stripped).withColumns({"norm": tx.normalize(c("working")), "spoken": F.size(tx.tokens(tx.normalize(c("raw"))))})
     # with a lock only its chapter has candidates: another one asked for has none (-1), and none asked for is all of it
     base = base.withColumn("at", F.when(c("lock").isNull() | (c("surah") == c("lock")), c("expected"))).withColumn("in", F.when(c("lock").isNull(), c("surah")).when(F.coalesce(c("surah"), c("lock")) == c("lock"), c("lock")).otherwise(-1))
     base = written(base)
     own = base.select(*keys, c("in").alias("surah"), c("at").alias("expected"), "norm")
     score = ["cer", "wer", "coverage", "confidence", "alignment"]
-    one = match.verses(own, ref, keys, back, ahead).select(*keys, c("surah").alias("found"), c("ayah").alias("first_ayah"), c("ayah").alias("last_ayah"), F.lit(0).alias("seq"), *score)
+    one = match.verses(own, ref, keys, back, ahead, fixed=True).select(*keys, c("surah").alias("found"), c("ayah").alias("first_ayah"), c("ayah").alias("last_ayah"), F.lit(0).alias("seq"), *score)
     if spans is not None:
-        runs = match.sequences(base.where("surah is not null").select(*keys, c("in").alias("surah"), c("at").alias("expected"), "norm"), spans, keys, back, ahead)
+        runs = match.sequences(base.where("surah is not null").select(*keys, c("in").alias("surah"), c("at").alias("expected"), "norm"), spans, keys, back, ahead, fixed=True)
         one = one.unionByName(runs.select(*keys, F.lit(None).cast("int").alias("found"), c("start").alias("first_ayah"), c("end").alias("last_ayah"), F.lit(1).alias("seq"), *score))
         one = one.groupBy(*keys).agg(F.max(F.struct("alignment", "seq", *[x for x in one.columns if x not in (*keys, "alignment", "seq")])).alias("b")).select(*keys, "b.*")
     texts = ref.select("surah", F.struct("surah", c("ayah").alias("a"), c("ayah").alias("z")).alias("_key"), "norm_text")
@@ -94,12 +94,11 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
     n = c("last_ayah") - c("first_ayah") + 1
     conf = F.when(c("seq") == 1, m.span_confidence(c("cer"), c("wer"), c("coverage"), n)).otherwise(m.verse_confidence(c("cer"), c("coverage")))
     g = g.withColumn("confidence", F.coalesce(F.when(c("said").isNull(), c("confidence")).otherwise(conf), F.lit(0.0)))
-    words = F.size(tx.tokens(tx.normalize(c("raw"))))
-    g = g.withColumn("level", F.when(c("verse").isNull(), "low").otherwise(m.level(c("confidence"), words)))
+    g = g.withColumn("level", F.when(c("verse").isNull(), "low").otherwise(m.level(c("confidence"), c("spoken"))))
     sure, fair = c("level") == "high", c("level") != "low"
     single = F.array_join(m.constrained_words(h, tx.tokens(c("verse")), F.when(sure, 0.44).otherwise(0.33)), " ")
     partly = align._each(lambda a, b: " ".join(k.fix_partly(a.split(), b.split())), "string")(c("norm"), c("verse"))
-    whole = (sure if mode == "balanced" else fair) & F.lit(auto) & (F.size(tx.tokens(tx.normalize(c("raw")))) >= 3)
+    whole = (sure if mode == "balanced" else fair) & F.lit(auto) & (c("spoken") >= 3)
     if mode == "safe":
         g = g.withColumns({"corrected": c("working"), "correction": F.lit("safe")})
     elif preserve:

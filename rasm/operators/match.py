@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from rasm import kernels
 from rasm.functions import metrics as m
 from rasm.functions import text as tx
-from rasm.session import broadcast_if_small, spread, written
+from rasm.session import bounded, broadcast_if_small, spread, written
 
 
 def band(hyp: DataFrame, cand: DataFrame, at: str, back: int, ahead: int, fallback: str | None = "all", first: int = 12) -> DataFrame:
@@ -61,12 +66,70 @@ def closest(norm: Column, near: Column) -> Column:
     return F.aggregate(near, start, step, lambda acc: acc["few"])
 
 
+def fewest(hyp: DataFrame, keys: list[str], cand: DataFrame, at: str, back: int, ahead: int, first: int | None = None) -> DataFrame:
+    """`keys, norm, few` of hypotheses (keys, surah, expected, norm): what band(), with fallback="first" if `first` is given, and closest()
+    come to, with the candidates of a small and fixed corpus as arrays in each task. Without a surah every candidate with a text counts."""
+    c = F.col
+    rows = bounded(cand.orderBy(*cand.columns))
+    texts = [r["norm_text"] for r in rows]
+    some = np.array([t is not None for t in texts], bool)
+    of: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        if r["surah"] is not None:
+            of.setdefault(r["surah"], []).append(i)
+    places = np.array([-1 if r[at] is None else r[at] for r in rows], np.int64)  # 1 and more count in bands
+    all_of = pa.StructArray.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in to_arrow_schema(cand.schema)], cand.columns)
+
+    def near(surah: int | None, expected: int | None) -> np.ndarray | None:
+        """Candidates that have a text; None where there are no candidates at all."""
+        if surah is None:
+            own = np.flatnonzero(some)
+            return own if len(own) else None
+        own = np.array(of.get(surah, []), np.int64)
+        if not len(own):
+            return None
+        place = places[own]
+        if expected is not None and (band := own[(place >= max(1, expected - back)) & (place <= expected + ahead)]).size:
+            own = band
+        elif first is not None:
+            own = own[place <= np.unique(place)[:first][-1]]
+        return own[some[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_texts, seen = kernels.Nearest([t or "" for t in texts]), {}
+        for b in batches:
+            kept, asked, size = [], [], []
+            for i, (s, e, t) in enumerate(zip(*(b.column(x).to_pylist() for x in ("surah", "expected", "norm")))):
+                if (s, e) not in seen:
+                    seen[s, e] = near(s, e)
+                if (own := seen[s, e]) is None:
+                    continue
+                kept.append(i)
+                own = own[of_texts.sizes[own] == 0] if t is None else own  # an empty one has CER 1 whatever was said
+                size.append(len(own) > 0)
+                if size[-1]:
+                    asked.append((t or "", own))
+            found = of_texts.many(asked)
+            won = iter(len(w) for _, w in found)
+            ends = pa.array(np.cumsum([0, *(next(won) if x else 0 for x in size)]), pa.int32())
+            ids = np.concatenate([np.zeros(0, np.int64), *(w for _, w in found)])
+            cer = np.repeat([x for x, _ in found], [len(w) for _, w in found])
+            few = pa.StructArray.from_arrays([pa.array(cer, pa.float64()), all_of.take(pa.array(ids))], ["cer", "x"])
+            at_rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at_rows) for x in (*keys, "norm")), pa.ListArray.from_arrays(ends, few)], names=[*keys, "norm", "few"])
+
+    hyp = hyp.select(*keys, "surah", "expected", "norm")
+    few = T.ArrayType(T.StructType([T.StructField("cer", T.DoubleType()), T.StructField("x", cand.schema)]))
+    return hyp.mapInArrow(run, T.StructType([*(f for f in hyp.schema if f.name in (*keys, "norm")), T.StructField("few", few)])).select(*keys, "norm", c("few"))
+
+
 def nearest(hyp: DataFrame, keys: list[str], order: Callable[[Column, Column, Column, Column], list], columns: list[str], scores: Callable[[Column, Column, Column, Column], dict]) -> DataFrame:
-    """Of each hypothesis with `near` the candidate of the least CER, then of the least `order(cer, wer, coverage, x)`, with `scores`.
+    """Of each hypothesis with `near` (or `few`, where fewest() found them) the candidate of the least CER, then of the least
+    `order(cer, wer, coverage, x)`, with `scores`.
 
     CER comes first in the order, so the dearer scores are taken only of the candidates that share the least. No shuffle."""
     c = F.col
-    few = hyp.select(*keys, "norm", closest(c("norm"), c("near")).alias("few"))
+    few = hyp if "few" in hyp.columns else hyp.select(*keys, "norm", closest(c("norm"), c("near")).alias("few"))
     h = tx.tokens(c("norm"))
 
     def scored(x: Column) -> Column:
@@ -84,10 +147,11 @@ def nearest(hyp: DataFrame, keys: list[str], order: Callable[[Column, Column, Co
     return best.select(*keys, *[f"b.{n}" for n in (*columns, "cer", "wer", "coverage", "confidence", "alignment")])
 
 
-def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead: int = 3, known: bool = False) -> DataFrame:
+def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead: int = 3, known: bool = False, fixed: bool = False) -> DataFrame:
     """Best single verse: keys, surah, ayah, cer, wer, coverage, confidence, alignment. Least CER, then most coverage, then confidence, then order.
 
-    Without a surah every verse of the corpus is a candidate, each different text once. `known`: none is without."""
+    Without a surah every verse of the corpus is a candidate, each different text once. `known`: none is without. `fixed`: the corpus
+    is small and fixed, and goes to each task (fewest)."""
     c = F.col
 
     def score(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,20 +159,32 @@ def verses(hyp: DataFrame, ref: DataFrame, keys: list[str], back: int = 1, ahead
         return nearest(rows, keys, order, ["surah", "ayah"], lambda cer, wer, cov, x: {"confidence": m.verse_confidence(cer, cov), "alignment": m.verse_alignment(cer, wer, cov)})
 
     cand = ref.select("surah", "ayah", "norm_text")
-    near = score(band(spread(hyp, *keys), cand, "ayah", back, ahead), keys)
+    if fixed:
+        here = spread(hyp.where("surah is not null"), *keys)
+        near = score(fewest(here, keys, cand, "ayah", back, ahead), keys)
+    else:
+        near = score(band(spread(hyp, *keys), cand, "ayah", back, ahead), keys)
     if known:
         return near
     lost = hyp.where("surah is null").select(*keys, c("norm").alias("said"))
     # each different text once, against one array of the small and fixed corpus
+    if fixed:
+        said = spread(lost.select("said").distinct()).select("said", F.lit(None).cast("int").alias("surah"), F.lit(None).cast("int").alias("expected"), c("said").alias("norm"))
+        far = score(fewest(said, ["said"], cand, "ayah", back, ahead), ["said"])
+        return near.unionByName(lost.join(far, "said").drop("said"))
     whole = cand.where("norm_text is not null").groupBy(F.lit(0).alias("one")).agg(F.sort_array(F.collect_list(F.struct("surah", "ayah", "norm_text"))).alias("near"))
     texts = spread(lost.select("said").distinct()).withColumns({"norm": c("said"), "zero": F.lit(0)})
     far = score(texts.join(broadcast_if_small(written(whole)), c("zero") == c("one")), ["said"])
     return near.unionByName(lost.join(far, "said").drop("said"))
 
 
-def sequences(hyp: DataFrame, spans: DataFrame, keys: list[str], back: int = 1, ahead: int = 3) -> DataFrame:
-    """Best run of verses, with its first and last. Starts are those of the band, else the first 12 of the chapter."""
-    rows = band(spread(hyp, *keys), spans.select("surah", "start", "end", F.col("text").alias("norm_text")), "start", back, ahead, fallback="first")
+def sequences(hyp: DataFrame, spans: DataFrame, keys: list[str], back: int = 1, ahead: int = 3, fixed: bool = False) -> DataFrame:
+    """Best run of verses, with its first and last. Starts are those of the band, else the first 12 of the chapter. `fixed`: see verses()."""
+    cand = spans.select("surah", "start", "end", F.col("text").alias("norm_text"))
+    if fixed:
+        rows = fewest(spread(hyp.where("surah is not null"), *keys), keys, cand, "start", back, ahead, first=12)
+    else:
+        rows = band(spread(hyp, *keys), cand, "start", back, ahead, fallback="first")
 
     def scores(cer: Column, wer: Column, cov: Column, x: Column) -> dict:
         return {"confidence": m.span_confidence(cer, wer, cov, x["end"] - x["start"] + 1), "alignment": m.span_alignment(cer, wer, cov)}

@@ -95,13 +95,18 @@ def redecode(n: Column, rate: int = 16_000) -> Column:
 
 def upload(texts: DataFrame, key: str, ref: DataFrame) -> DataFrame:
     """`key` and verse and verdict of the guard, the first verse of the path search and the best chapter by reranking, of texts
-    (key, surah, expected, raw)."""
+    (key, surah, expected, raw).
+
+    Equal uploads are worked on once, under one of their keys."""
     c = F.col
+    same = ["surah", "expected", "raw"]
+    every = written(texts.select(key, *same))
+    texts = written(every.groupBy(*same).agg(F.min(key).alias(key)))
     norm = tx.normalize(c("raw"))
     q = written(texts.select(key, norm.alias("norm"), tx.tokens(norm).alias("words")))
     g = guard.guard(texts, ref, corpus.spans(ref, WIDE[2]), [key], back=2, ahead=10).select(key, c("surah").alias("guard_surah"), c("first_ayah").alias("guard_ayah"), "verdict")
-    paths = retrieve.aligned(retrieve.viterbi(q, key, ref, online=True), q, key)
-    begin = paths.groupBy(key).agg(F.min(F.struct("at", "global_idx", "confidence")).alias("p"))
+    begin = retrieve.beginnings(retrieve.viterbi(q, key, ref, online=True), key)
     best = retrieve.rerank(q.where("norm <> ''"), key, ref, best=True).select(key, "surah", "score")
-    out = texts.select(key).join(g, key, "left").join(begin, key, "left").join(best, key, "left")
-    return out.select(key, "guard_surah", "guard_ayah", "verdict", c("p.global_idx").alias("path_verse"), c("p.confidence").alias("path_confidence"), "surah", "score")
+    each = texts.withColumnsRenamed({x: f"_{x}" for x in same}).join(g, key, "left").join(begin, key, "left").join(best, key, "left").drop(key)
+    out = every.withColumnRenamed("surah", "_given").join(each, c("_given").eqNullSafe(c("_surah")) & c("expected").eqNullSafe(c("_expected")) & c("raw").eqNullSafe(c("_raw")))
+    return out.select(key, "guard_surah", "guard_ayah", "verdict", c("global_idx").alias("path_verse"), c("confidence").alias("path_confidence"), "surah", "score")

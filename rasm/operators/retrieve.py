@@ -173,3 +173,12 @@ def aligned(paths: DataFrame, queries: DataFrame, key: str, step: int = 3) -> Da
     said = each.select(key, "step", "global_idx", "emission", F.slice("words", c("step") * step + 1, n).alias("said"))
     g = said.groupBy(key, "global_idx").agg(F.min("step").alias("at"), F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("step", "said"))), lambda x: x["said"])), " ").alias("words"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.avg("emission") * 100)).alias("confidence"))
     return g.where("words <> ''").select(key, "at", "global_idx", "words", F.round("confidence", 4).alias("confidence"), F.when(c("confidence") > 75, "high").otherwise("low").alias("level"))
+
+
+def beginnings(paths: DataFrame, key: str) -> DataFrame:
+    """`key, global_idx, confidence`: the verse that each path begins with, as aligned() has it, with the paths read once."""
+    c = F.col
+    steps = paths.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "global_idx", "emission"))).alias("p")).withColumn("global_idx", F.get("p", F.lit(0))["global_idx"])
+    own = F.transform(F.filter("p", lambda x: x["global_idx"] == c("global_idx")), lambda x: x["emission"])
+    mean = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)
+    return steps.select(key, "global_idx", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), mean * 100)), 4).alias("confidence"))
