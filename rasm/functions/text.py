@@ -84,6 +84,11 @@ def tokens(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
+def words(c: Column) -> Column:
+    """tokens() of a text with single spaces only, which names c once."""
+    return F.array_remove(F.split(c, " "), "")
+
+
 def collapse_repeats(t: Column) -> Column:
     """Words without those equal to the one before. No lambda names t, which would be computed again for each word."""
     before = F.concat(F.array(F.lit(None).cast("string")), t)
@@ -110,7 +115,6 @@ def ngrams(t: Column, n: int) -> Column:
 def fix_rules(c: Column, mode: str = "balanced") -> Column:
     """Normalized text with repeated words dropped; but in safe mode known phrases and then known words put right, and in aggressive
     mode three more phrases."""
-    words = lambda x: F.array_remove(F.split(x, " "), "")  # noqa: E731  (tokens() of single spaces, with x named once)
     text = F.array_join(let(words(normalize(c)), collapse_repeats), " ")
     if mode == "safe":
         return text

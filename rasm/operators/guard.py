@@ -66,7 +66,7 @@ def guard(hyp: DataFrame, ref: DataFrame, spans: DataFrame | None, keys: list[st
         words.setdefault(r["surah"], set()).add(r["w"])
     base = spread(base, *keys).withColumn("rules", align.split_known_of(tx.fix_rules(c("raw"), mode), c("lock"), words))
     stripped = F.array_join(tx.without_basmala(tx.tokens(c("rules")), c("surah"), c("expected")), " ") if basmala else c("rules")
-    base = base.withColumn("working", stripped).withColumns({"norm": tx.normalize(c("working")), "spoken": F.size(tx.tokens(tx.normalize(c("raw"))))})
+    base = base.withColumn("working", stripped).withColumns({"norm": c("working"), "spoken": F.size(tx.words(tx.normalize(c("raw"))))})  # the rules leave a normalized text
     # with a lock only its chapter has candidates: another one asked for has none (-1), and none asked for is all of it
     base = base.withColumn("at", F.when(c("lock").isNull() | (c("surah") == c("lock")), c("expected"))).withColumn("in", F.when(c("lock").isNull(), c("surah")).when(F.coalesce(c("surah"), c("lock")) == c("lock"), c("lock")).otherwise(-1))
     base = written(base)

@@ -100,13 +100,16 @@ def upload(texts: DataFrame, key: str, ref: DataFrame) -> DataFrame:
     Equal uploads are worked on once, under one of their keys."""
     c = F.col
     same = ["surah", "expected", "raw"]
-    every = written(texts.select(key, *same))
-    texts = written(every.groupBy(*same).agg(F.min(key).alias(key)))
+    first = F.first(key).over(Window.partitionBy(*same).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    every = spread(texts.select(key, *same), *same).withColumn("_first", first)
+    own = c(key) == c("_first")
+    every = written(every.select(key, "_first", *[F.when(own, c(x)).alias(x) for x in same]))
+    texts = every.where(own).select(key, *same)
     norm = tx.normalize(c("raw"))
-    q = written(texts.select(key, norm.alias("norm"), tx.tokens(norm).alias("words")))
+    q = texts.select(key, norm.alias("norm"), tx.words(norm).alias("words"))
     g = guard.guard(texts, ref, corpus.spans(ref, WIDE[2]), [key], back=2, ahead=10).select(key, c("surah").alias("guard_surah"), c("first_ayah").alias("guard_ayah"), "verdict")
-    begin = retrieve.beginnings(retrieve.viterbi(q, key, ref, online=True), key)
-    best = retrieve.rerank(q.where("norm <> ''"), key, ref, best=True).select(key, "surah", "score")
-    each = texts.withColumnsRenamed({x: f"_{x}" for x in same}).join(g, key, "left").join(begin, key, "left").join(best, key, "left").drop(key)
-    out = every.withColumnRenamed("surah", "_given").join(each, c("_given").eqNullSafe(c("_surah")) & c("expected").eqNullSafe(c("_expected")) & c("raw").eqNullSafe(c("_raw")))
+    begin = retrieve.beginnings(q, key, ref)
+    best = retrieve.rerank(q.where("norm <> ''"), key, ref, best=True, once=True).select(key, "surah", "score")
+    each = g.join(begin, key, "left").join(best, key, "left").withColumnRenamed(key, "_first")
+    out = every.select(key, "_first").join(each, "_first")
     return out.select(key, "guard_surah", "guard_ayah", "verdict", c("global_idx").alias("path_verse"), c("confidence").alias("path_confidence"), "surah", "score")

@@ -83,11 +83,12 @@ def ngram_candidates(queries: DataFrame, key: str, index: DataFrame, sizes: tupl
     return hits.withColumn("rank", rank).where(c("rank") <= k)
 
 
-def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30, best: bool = False) -> DataFrame:
+def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30, best: bool = False, once: bool = False) -> DataFrame:
     """`key, surah, score, bm25, fuzzy`: best verse of each chapter by 0.4 x BM25 (of the perfect score) + 0.6 x partial ratio; with `best`
     only the best of all, of equal ones the first chapter.
 
-    Each different text is ranked once, in one pass over arrays of the small and fixed corpus."""
+    Each different text is ranked once, in one pass over arrays of the small and fixed corpus. `once`: the texts are known to differ, and
+    are ranked where they are."""
     c = F.col
     order = bounded(ref.select("global_idx", "surah", "norm_text").orderBy("global_idx"))
     mean = ref.select(F.avg(F.size("tokens")).alias("mean"))
@@ -109,12 +110,17 @@ def rerank(queries: DataFrame, key: str, ref: DataFrame, k: int = 30, best: bool
             each = [x for f in found for x in f]
             own = pa.StructArray.from_arrays([pa.array([int(surah[i]) for i, _, _ in each], pa.int32()), pa.array([s for _, s, _ in each], pa.float64()), pa.array([f for _, _, f in each], pa.float64())], ["surah", "bm25", "fuzzy"])
             ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("norm"), b.column("words"), pa.ListArray.from_arrays(ends, own)], names=["norm", "words", "found"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.ListArray.from_arrays(ends, own)], names=[*kept, "found"])
 
+    kept = [key] if once else ["norm", "words"]
+    kind = "found array<struct<surah: int, bm25: double, fuzzy: double>>"
+    score = [F.round(0.4 * c("bm25") + 0.6 * c("fuzzy"), 6).alias("score"), F.round("bm25", 4).alias("bm25"), F.round("fuzzy", 4).alias("fuzzy")]
+    if once:
+        return queries.select(key, "norm", "words").mapInArrow(run, f"{key} {dict(queries.dtypes)[key]}, {kind}").select(key, F.inline("found")).select(key, "surah", *score)
     texts = spread(queries.select("norm", "words").distinct(), "norm")
-    done = texts.mapInArrow(run, "norm string, words array<string>, found array<struct<surah: int, bm25: double, fuzzy: double>>").withColumnsRenamed({"norm": "_norm", "words": "_words"})
+    done = texts.mapInArrow(run, f"norm string, words array<string>, {kind}").withColumnsRenamed({"norm": "_norm", "words": "_words"})
     rows = queries.join(done, c("norm").eqNullSafe(c("_norm")) & c("words").eqNullSafe(c("_words"))).select(key, F.inline("found"))
-    return rows.select(key, "surah", F.round(0.4 * c("bm25") + 0.6 * c("fuzzy"), 6).alias("score"), F.round("bm25", 4).alias("bm25"), F.round("fuzzy", 4).alias("fuzzy"))
+    return rows.select(key, "surah", *score)
 
 
 def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step: int = 3, online: bool = False, locked: int | None = None, start: int | None = None) -> DataFrame:
@@ -151,10 +157,11 @@ def viterbi(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step:
     paths = paths.select(key, *[c(f"steps.{x}").alias(x) for x in ("t", "verses", "scores")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = kernels.chapters(order, first)
         for b in batches:
             every, size = [], []
             for t, v, s in zip(*(b.column(x).to_pylist() for x in ("t", "verses", "scores"))):
-                path = kernels.viterbi([list(zip(x, y)) for x, y in zip(v, s)], order, False if locked is None else locked, start=start, first=first, online=online)
+                path = kernels.viterbi([list(zip(x, y)) for x, y in zip(v, s)], order, False if locked is None else locked, start=start, first=first, online=online, corpus=whole)
                 every += [(n, *x) for n, x in zip(t, path)]
                 size.append(len(path))
             own = b.column(key).take(pa.array(np.repeat(np.arange(len(size)), size), pa.int64()))
@@ -175,10 +182,44 @@ def aligned(paths: DataFrame, queries: DataFrame, key: str, step: int = 3) -> Da
     return g.where("words <> ''").select(key, "at", "global_idx", "words", F.round("confidence", 4).alias("confidence"), F.when(c("confidence") > 75, "high").otherwise("low").alias("level"))
 
 
-def beginnings(paths: DataFrame, key: str) -> DataFrame:
-    """`key, global_idx, confidence`: the verse that each path begins with, as aligned() has it, with the paths read once."""
+def beginnings(queries: DataFrame, key: str, ref: DataFrame, window: int = 5, step: int = 3) -> DataFrame:
+    """`key, global_idx, confidence` of texts (key, norm): the verse that each path of viterbi(online=True) begins with, as aligned() has
+    it. All of a text is done where it is, with arrays of the small and fixed corpus; nothing is shuffled."""
     c = F.col
-    steps = paths.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "global_idx", "emission"))).alias("p")).withColumn("global_idx", F.get("p", F.lit(0))["global_idx"])
-    own = F.transform(F.filter("p", lambda x: x["global_idx"] == c("global_idx")), lambda x: x["emission"])
-    mean = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)
-    return steps.select(key, "global_idx", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), mean * 100)), 4).alias("confidence"))
+    fixed = bounded(ref.select("global_idx", "surah", "ayah", "norm_text", "tokens").orderBy("global_idx"))
+    order, verses, first = [r["surah"] for r in fixed], [r["norm_text"] for r in fixed], [r["ayah"] == 1 for r in fixed]
+    places: dict[tuple[str, ...], list[int]] = {}
+    for r in fixed:
+        for n in (2, 3):
+            for i in range(len(r["tokens"]) - n + 1):
+                places.setdefault(tuple(r["tokens"][i : i + n]), []).append(r["global_idx"])
+
+    def candidates(words: list[str], k: int = 30) -> list[int]:
+        """As ngram_candidates()."""
+        hits: dict[int, int] = {}
+        for g in dict.fromkeys(tuple(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)):
+            for v in places.get(g, ()):
+                hits[v] = hits.get(v, 0) + len(g)
+        return sorted(hits, key=lambda v: (-hits[v], v))[:k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, whole, known = kernels.emitter(verses, within=0.4), kernels.chapters(order, first), {}
+        for b in batches:
+            if len(known) > 1 << 15:
+                known.clear()
+            words = [t.split(" ") if t else [] for t in b.column("norm").to_pylist()]
+            cut = [[tuple(w[i : i + window]) for i in range(0, len(w), step)] for w in words]
+            new = [w for w in dict.fromkeys(w for x in cut for w in x) if w not in known]
+            known.update(zip(new, of.many([(list(w), candidates(list(w)) or None) for w in new])))
+            kept, begin, mean = [], [], []
+            for i, x in enumerate(cut):
+                if x:
+                    path = kernels.viterbi([known[w] for w in x], order, first=first, online=True, corpus=whole)
+                    own = [s for v, s in path if v == path[0][0]]
+                    kept.append(i)
+                    begin.append(path[0][0])
+                    mean.append(sum(own) / len(own))
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(kept, pa.int64())), pa.array(begin, pa.int64()), pa.array(mean, pa.float64())], names=[key, "global_idx", "mean"])
+
+    done = queries.select(key, "norm").mapInArrow(run, f"{key} {dict(queries.dtypes)[key]}, global_idx long, mean double")
+    return done.select(key, "global_idx", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), c("mean") * 100)), 4).alias("confidence"))

@@ -73,4 +73,4 @@ def test_beginnings_are_those_of_the_regrouped_paths(spark):
     q = spark.createDataFrame([(i, t, t.split()) for i, t in enumerate(texts)], "q int, norm string, words array<string>")
     paths = retrieve.viterbi(q, "q", ref, online=True)
     first = retrieve.aligned(paths, q, "q").groupBy("q").agg(F.min(F.struct("at", "global_idx", "confidence")).alias("p"))
-    assert {r["q"]: (r["global_idx"], r["confidence"]) for r in retrieve.beginnings(paths, "q").collect()} == {r["q"]: tuple(r["p"])[1:] for r in first.collect()}
+    assert {r["q"]: (r["global_idx"], r["confidence"]) for r in retrieve.beginnings(q, "q", ref).collect()} == {r["q"]: tuple(r["p"])[1:] for r in first.collect()}
